@@ -57,10 +57,9 @@ def split_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     """
     state = quotas.where("blocks > 0").groupBy().agg(F.array_sort(F.collect_list(F.struct("source", F.col("blocks").cast("long").alias("n")))).alias("left_over"))
     state = state.select(F.lit(0).cast("long").alias("node"), "left_over")
-    for level in range(levels):
-        total = F.aggregate("left_over", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
 
-        def draw(acc: Column, x: Column, level: int = level) -> Column:
+    def drawing(level: int):
+        def draw(acc: Column, x: Column) -> Column:
             one = F.aggregate(
                 F.when(x["n"] > 0, F.sequence(F.lit(1).cast("long"), x["n"])).otherwise(F.array().cast("array<long>")),
                 F.struct(acc["places"].alias("places"), acc["blocks"].alias("blocks"), F.lit(0).cast("long").alias("took")),
@@ -72,7 +71,11 @@ def split_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
             )
             return F.struct(one["places"].alias("places"), one["blocks"].alias("blocks"), F.concat(acc["taken"], F.array(one["took"])).alias("taken"))
 
-        dealt = F.aggregate("left_over", F.struct(F.floor(F.col("total") / 2).cast("long").alias("places"), F.col("total").alias("blocks"), F.array().cast("array<long>").alias("taken")), draw)
+        return draw
+
+    for level in range(levels):
+        total = F.aggregate("left_over", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        dealt = F.aggregate("left_over", F.struct(F.floor(F.col("total") / 2).cast("long").alias("places"), F.col("total").alias("blocks"), F.array().cast("array<long>").alias("taken")), drawing(level))
         state = state.withColumn("total", total).withColumn("taken", dealt["taken"])
         left = F.zip_with("left_over", "taken", lambda x, t: F.struct(x["source"].alias("source"), t.alias("n")))
         right = F.zip_with("left_over", "taken", lambda x, t: F.struct(x["source"].alias("source"), (x["n"] - t).alias("n")))
