@@ -61,7 +61,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_ann, op4_mixing, op5_warc, op7_quality, op8_fingerprints, op10_packing)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import train_and_score
+
+    return train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_ann, op4_mixing, op5_warc, op7_quality, op8_fingerprints, op9_lm_scoring, op10_packing)}
 
 _LINK = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 
