@@ -67,7 +67,13 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_ann, op4_mixing, op5_warc, op7_quality, op8_fingerprints, op9_lm_scoring, op10_packing)}
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_ann, op4_mixing, op5_warc, op6_substrings, op7_quality, op8_fingerprints, op9_lm_scoring, op10_packing)}
 
 _LINK = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 
