@@ -19,13 +19,13 @@ POWERS = 3 ** np.arange(SEGMENTS, dtype=np.int64)
 SMALL_GROUP = 16
 
 
-def simhash(text: str | None, shingle: int = 4) -> int:
-    """The 64-bit SimHash of one text: a bit is 1 if set in over half of the XXH64 (seed 42) hashes of its word shingles."""
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle, repeats included; of the whole sequence if it is shorter."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -34,23 +34,41 @@ def simhash(text: str | None, shingle: int = 4) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], 42) for s, e in zip(starts.tolist(), ends.tolist())], dtype="<u8")
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts.tolist(), ends.tolist())], dtype="<u8")
+
+
+def _majority(h: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(h), 65536):
         counts += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text, as a signed long. Null and empty texts have fingerprint 0."""
+def simhash(text: str | None, shingle: int = 4, view: int = 0) -> int:
+    """The 64-bit SimHash of one text. Views other than 0 mix the hashes anew, which makes independent fingerprints."""
+    return _majority(_view(_shingle_hashes(text, shingle), view))
+
+
+def _view(h: np.ndarray, view: int) -> np.ndarray:
+    if not view:
+        return h
+    h = (h ^ np.uint64(view)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, views: int = 1) -> DataFrame:
+    """(doc_id, fps): SimHashes of every whole text, one a view, as signed longs. Null and empty texts have fingerprints 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            hashes = (_shingle_hashes(t, shingle) for t in batch.column(1).to_pylist())
+            fps = np.array([[_majority(_view(h, k)) for k in range(views)] for h in hashes], np.uint64).reshape(-1, views).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(fps), pa.list_(pa.int64()))], ["doc_id", "fps"])
 
     plain = docs.select("doc_id", "text")
-    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, fp long")
+    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, fps array<long>")
 
 
 def grid_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,20 +177,33 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
     return dealt.mapInArrow(links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, views: int = 1) -> DataFrame:
     """Group documents whose SimHash fingerprints are linked by chains of `most` or fewer differing bits.
 
     docs: (doc_id, text, ...); other columns are ignored.  Texts are lower-cased (A-Z), split at ASCII white space and cut
     into shingles of `shingle` words, repeats included; a shorter text is one shingle, a text without words (or null) has
     fingerprint 0 and is linked like any other.  Equal fingerprints are one node, so groups of copies cost one entry.
-    Returns (doc_id, fp, component_id), a row for each input row; component_id is the least doc_id of the group (nulls are
-    ignored unless all are null).  An empty table gives an empty result.
+    With several `views`, documents linked in any view are one group: each view finds again what noise parts in another.
+    Returns (doc_id, fp, component_id), a row for each input row; fp is that of the first view, component_id the least doc_id
+    of the group (nulls are ignored unless all are null).  An empty table gives an empty result.
     """
-    found = scratch(fingerprints(docs, shingle), "fingerprints")
+    found = scratch(fingerprints(docs, shingle, views), "fingerprints")
+    grouped = [_groups(found.select("doc_id", F.col("fps")[k].alias("fp")), most) for k in range(views)]
+    first = found.select("doc_id", F.col("fps")[0].alias("fp")).join(grouped[0], "fp").select("doc_id", "fp", "component_id")
+    if views == 1:
+        return first
+    edges = first.select("doc_id", "component_id")
+    for k in range(1, views):
+        edges = edges.union(found.select("doc_id", F.col("fps")[k].alias("fp")).join(grouped[k], "fp").select("doc_id", "component_id"))
+    wider = connected_components(edges)
+    return first.join(wider, F.col("doc_id") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("component", "component_id").alias("component_id"))
+
+
+def _groups(found: DataFrame, most: int) -> DataFrame:
+    """(fp, component_id) of all fingerprints in found (doc_id, fp)."""
     least = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     components = connected_components(near_links(least.select("fp"), most))
     classes = least.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     classes = scratch(classes, "classes")
     heads = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(heads, "component").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    return classes.join(heads, "component").select("fp", "component_id")
