@@ -30,39 +30,39 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        self.known: dict[bytes, bytes] = {}
+        # A special token parts words that are encoded in one call.
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark_id, self.mark = special[0] if special else (-1, "")
 
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        got = [e.ids for e in encode([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)]
-        lengths = np.array([len(x) for x in got], np.int64)
-        flat = np.array([i for x in got for i in x], np.uint32)
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.starts = np.concatenate([self.starts, self.n_ids + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.n_ids += len(flat)
-        base = len(self.known)
-        self.known.update((w, base + k) for k, w in enumerate(words))
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        mark = self.mark.encode()
+        alone = [w for w in words if not mark or mark in w]
+        words = [w for w in words if mark and mark not in w]
+        for w, ids in zip(alone, self._encode([w.decode("utf-8", "surrogatepass") for w in alone])):
+            self.known[w] = np.array(ids, "<u4").tobytes()
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            ids = np.array(self._encode([mark.join(part).decode("utf-8", "surrogatepass")])[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            raw = ids.tobytes()
+            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.known = {}
         if new := list(set().union(*split) - self.known.keys()):
             self.learn(new)
-        known = self.known
+        known = self.known.__getitem__
         for words in split:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            lengths = self.lengths[at]
-            before = np.cumsum(lengths) - lengths
-            yield self.ids[np.repeat(self.starts[at] - before, lengths) + np.arange(int(lengths.sum()))]
+            yield b"".join(map(known, words))
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -80,10 +80,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 part = batch.slice(k, 200)
                 rows: list[tuple] = []
                 for j, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for n, start in enumerate(range(0, len(ids), capacity)):
-                        cut = ids[start : start + capacity]
-                        rows.append((j, n, start, len(cut), zlib.crc32(cut.tobytes())))
+                    ids += end_id.to_bytes(4, "little")
+                    for n, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut = ids[start : start + 4 * capacity]
+                        rows.append((j, n, start // 4, len(cut) // 4, zlib.crc32(cut)))
                 at, n, start, length, crc = (np.array(x, np.int64) for x in zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(n.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
