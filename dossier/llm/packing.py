@@ -24,40 +24,70 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and never joins over it, so words can be encoded once each."""
+    """Ids of whole texts by a tokenizer that drops white space and never joins over it, so words can be encoded once each.
+
+    Words of Latin letters and ASCII signs are cut into the tokenizer's pre-tokens here, by its own pattern, and each
+    pre-token is encoded once by its own BPE model; all other words go through the tokenizer as they are.
+    """
+
+    #: Normalisation and lower-casing of these are the same everywhere, and none is white space or part of a special token.
+    PLAIN = r"[!-;=-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+"
+    NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        import json
+
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        # A special token parts words that are encoded in one call.
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
-        self.mark_id, self.mark = special[0] if special else (-1, "")
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.tokens: dict[str, bytes] = {}
+        self.plain = regex.compile(self.PLAIN)
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.cut = None
+        if suffix and len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["invert"] and parts[0]["behavior"] == "Removed" and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == self.NORMALIZERS:
+            self.cut = regex.compile(parts[0]["pattern"]["Regex"]).findall
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         return [e.ids for e in encode(texts, add_special_tokens=False)]
 
+    def _learn_tokens(self, tokens: list[str]) -> None:
+        for k in range(0, len(tokens), 20_000):
+            part = tokens[k : k + 20_000]
+            ids = np.array(self._ids(self.model, [" ".join(part)])[0], "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the model doesn't close each pre-token")
+            raw = ids.tobytes()
+            self.tokens.update((t, raw[4 * a : 4 * b]) for t, a, b in zip(part, [0, *ends[:-1]], ends))
+
     def learn(self, words: list[bytes]) -> None:
-        mark = self.mark.encode()
-        alone = [w for w in words if not mark or mark in w]
-        words = [w for w in words if mark and mark not in w]
-        for w, ids in zip(alone, self._encode([w.decode("utf-8", "surrogatepass") for w in alone])):
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        plain = [self.cut is not None and self.plain.fullmatch(t) is not None for t in texts]
+        cuts = [self.cut(t.lower()) if p else None for t, p in zip(texts, plain)]
+        if new := list(set().union(*(c for c in cuts if c)) - self.tokens.keys()):
+            self._learn_tokens(new)
+        token = self.tokens.__getitem__
+        self.known.update((w, b"".join(map(token, c))) for w, c in zip(words, cuts) if c is not None)
+        others = [(w, t) for w, t, p in zip(words, texts, plain) if not p]
+        for (w, _), ids in zip(others, self._ids(self.tokenizer, [t for _, t in others])):
             self.known[w] = np.array(ids, "<u4").tobytes()
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            ids = np.array(self._encode([mark.join(part).decode("utf-8", "surrogatepass")])[0], "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            raw = ids.tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known, self.tokens = {}, {}
         if new := list(set().union(*split) - self.known.keys()):
             self.learn(new)
         known = self.known.__getitem__
