@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -100,7 +100,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
     target 0.  Rows with equal doc_id are separate documents drawn together.  An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    # Texts are read and counted once; all that follows works on the sizes.
+    rows = scratch(rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size")), "sizes")
     goals = source_targets(rows, share, most, weights)
     held = rows.groupBy(F.col("source").alias("held_source")).agg(F.count("*").alias("n_docs"))
     goals = (
