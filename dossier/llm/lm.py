@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,35 +17,44 @@ from .trie import Level, build_level, dump, load
 
 #: Bytes no word can be: white space ends words.
 END = b"\n"
-DOCS_PER_CHUNK, CHARS_PER_CHUNK = 400, 3_000_000
+DOCS_PER_CHUNK, BYTES_PER_CHUNK = 1000, 3_000_000
 ENTRIES_PER_BLOB = 1_500_000
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of the batches with a bounded number of documents and, unless one alone is longer, of characters."""
+def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with a bounded number of documents and, unless one alone is longer, of bytes; and their texts."""
     for batch in batches:
+        texts = batch.column(text_at)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
-            texts, size = [], 0
-            for t in batch.column(text_at).slice(at, DOCS_PER_CHUNK).to_pylist():
-                if texts and size + len(t or "") > CHARS_PER_CHUNK:
-                    break
-                texts.append(t)
-                size += len(t or "")
-            yield batch.slice(at, len(texts)), texts
-            at += len(texts)
+            done = sizes[at - 1] if at else 0
+            stop = min(at + DOCS_PER_CHUNK, max(at + 1, int(np.searchsorted(sizes, done + BYTES_PER_CHUNK, side="right"))))
+            part = batch.slice(at, stop - at)
+            yield part, part.column(text_at)
+            at = stop
 
 
-def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct tokens, place in them of every token, number of tokens of each text): words, then one end."""
     import xxhash
 
-    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() + [END] for t in texts]
-    distinct = list(set().union(*split))
-    index = {w: k for k, w in enumerate(distinct)}
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = parts.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.diff(parts.offsets.to_numpy())
+    # Leading and trailing white space leave empty strings, which are no words.
+    if b"" in words:
+        real = places != words.index(b"")
+        owner = np.repeat(np.arange(len(counts)), counts)
+        counts, places = np.bincount(owner[real], minlength=len(counts)), places[real]
+    lengths = counts.astype(np.int64) + 1
+    flat = np.full(int(lengths.sum()), len(words), np.int64)
+    inner = np.ones(len(flat), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    flat[inner] = places
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, [*words, END]), np.uint64, len(words) + 1)
     return hashes, flat, lengths
 
 
@@ -76,7 +86,7 @@ class _Tally:
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts

@@ -38,7 +38,7 @@ class EliasFano:
 
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
         self.n, self.shift = (int(x) for x in parts["head"])
-        self.low, self.high, self.ranks = parts["low"], parts["high"], parts["ranks"]
+        self.low, self.high, self.ranks, self.zeros = parts["low"], parts["high"], parts["ranks"], parts["zeros"]
 
     @staticmethod
     def parts(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -54,7 +54,7 @@ class EliasFano:
         bits[(values >> U64(shift)).astype(np.int64) + np.arange(n)] = 1
         high = _u64(bits)
         ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)[:-1]))
-        return {"head": np.array([n, shift], np.int64), "low": low, "high": high, "ranks": ranks}
+        return {"head": np.array([n, shift], np.int64), "low": low, "high": high, "ranks": ranks, "zeros": np.arange(len(ranks)) * 64 - ranks}
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.shift:
@@ -72,32 +72,35 @@ class EliasFano:
         return (((at - i).astype(U64) << U64(self.shift)) | self._lows(i)).astype(np.int64)
 
     def find(self, values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Place of each value within [start, stop), or -1: select the bucket of its high part, then compare low parts."""
+        """Place of each value within [start, stop), or -1: select the bucket of its high part, then bisect its low parts."""
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
         high = values >> self.shift
-        inside = np.flatnonzero((start < stop) & (high <= (self.high.size * 64 - 1)))
-        zeros = np.arange(len(self.ranks)) * 64 - self.ranks
-        k = high[inside] - 1
-        word = np.maximum(np.searchsorted(zeros, np.maximum(k, 0), side="right") - 1, 0)
-        at = word * 64 + _select_in_word(~self.high[word], np.maximum(k - zeros[word], 0)) + 1
-        at[k < 0] = 0
+        inside = np.flatnonzero((start < stop) & (high < self.high.size * 64 - self.ranks[-1]))
+        high = high[inside]
+        # Entries of a bucket stand between the zeros before and behind it.
+        first = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1, 0) - high
+        low_at, high_at = np.maximum(first, start[inside]), np.minimum(self._zero(high) - high, stop[inside])
         low = values[inside].astype(U64) & U64((1 << self.shift) - 1)
-        while len(inside):
-            word = at >> 6
-            one = (self.high[np.minimum(word, len(self.high) - 1)] >> (at & 63).astype(U64)) & ONE
-            place = at - high[inside]
-            live = (one == 1) & (place < stop[inside])
-            inside, at, low, place = inside[live], at[live], low[live], place[live]
-            got = self._lows(place)
-            hit = (got == low) & (place >= start[inside])
-            out[inside[hit]] = place[hit]
-            on = got < low
-            on |= (got == low) & ~hit
-            inside, at, low = inside[on], at[on] + 1, low[on]
+        end = high_at.copy()
+        active = np.flatnonzero(low_at < high_at)
+        while len(active):
+            middle = (low_at[active] + high_at[active]) >> 1
+            less = self._lows(middle) < low[active]
+            low_at[active] = np.where(less, middle + 1, low_at[active])
+            high_at[active] = np.where(less, high_at[active], middle)
+            active = active[low_at[active] < high_at[active]]
+        maybe = np.flatnonzero(low_at < end)
+        hit = maybe[self._lows(low_at[maybe]) == low[maybe]]
+        out[inside[hit]] = low_at[hit]
         return out
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th zero of the high bits."""
+        word = np.minimum(np.searchsorted(self.zeros, k, side="right") - 1, len(self.high) - 1)
+        return word * 64 + _select_in_word(~self.high[word], k - self.zeros[word])
+
 
 def dump(arrays: dict[str, np.ndarray]) -> bytes:
     """Arrays in one block of bytes that can be memory-mapped: a length, a JSON index, and the arrays, aligned to 64."""
