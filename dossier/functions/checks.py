@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import EXPIRY_WARNING_DAYS, FORMATS, MINIMUM_AGE
-from .text import compact, fold_digits, parse_date
+from .text import compact, fold_digits, let, parse_date
 
 
 def check_digit(text: Column) -> Column:
     """The 7-3-1 check digit: digits count as such, A-Z from 10 on, all else 0."""
+    return let(text, _check_digit)
+
+
+def _check_digit(text: Column) -> Column:
     n = F.length(text)
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 

@@ -57,3 +57,15 @@ def upsert_sink(path: str, key: str):
         rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
+
+
+def event_counts_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of the events table by a stream over its file, run until all is read."""
+    import tempfile
+    import uuid
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = event_stream(spark, f"{sf_dir}/events.parquet*", schema)
+    counts = windowed_counts(events).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dossier-")
+    return run_available(counts, "events_" + uuid.uuid4().hex[:8], f"{base}/stream-{uuid.uuid4().hex[:8]}", "complete")
