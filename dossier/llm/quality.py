@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-#: Classes of bytes: lower case, upper case, digit, space, line end, other control, above ASCII, and each other ASCII sign.
-_CLASS = np.zeros(256, np.int64)
-_CLASS[:] = 5
+#: Classes of bytes: lower case, upper case, digit, space, line end, other control, above ASCII, other signs, and common signs each.
+_SIGNS = b".,!?:;-|*$%&#"
+_CLASS = np.full(256, 5, np.int64)
+_CLASS[33:127] = 7
 _CLASS[ord("a") : ord("z") + 1] = 0
 _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("0") : ord("9") + 1] = 2
 _CLASS[[9, 32]] = 3
 _CLASS[[10, 13]] = 4
 _CLASS[128:] = 6
-_SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
-_CLASS[_SIGNS] = 7 + np.arange(len(_SIGNS))
-N_CLASSES = 7 + len(_SIGNS)
+_CLASS[list(_SIGNS)] = 8 + np.arange(len(_SIGNS))
+N_CLASSES = 8 + len(_SIGNS)
 EXTRA = 8
 N_FEATURES = N_CLASSES * N_CLASSES + EXTRA
 
