@@ -46,9 +46,12 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.diff(parts.offsets.to_numpy())
     # Leading and trailing white space leave empty strings, which are no words.
     if b"" in words:
-        real = places != words.index(b"")
+        empty = words.index(b"")
+        real = places != empty
         owner = np.repeat(np.arange(len(counts)), counts)
         counts, places = np.bincount(owner[real], minlength=len(counts)), places[real]
+        del words[empty]
+        places -= places > empty
     lengths = counts.astype(np.int64) + 1
     flat = np.full(int(lengths.sum()), len(words), np.int64)
     inner = np.ones(len(flat), bool)
