@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import crc_mod, table
 
 
@@ -75,6 +76,4 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_ann, op4_mixing, op5_warc, op6_substrings, op7_quality, op8_fingerprints, op9_lm_scoring, op10_packing)}
 
-_LINK = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-
-ORACLES = {}
+ORACLES = {"op1_url_filter": oracles.URL_FILTER, "op5_warc": oracles.WARC, "op6_substrings": oracles.SUBSTRINGS}

@@ -24,7 +24,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def reduce_sketch(values: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sorted distinct values below 2**32 / scale; the least one alone where none is below."""
-    low = np.unique(values[values < np.uint32((1 << 32) // scale)])
+    low = np.unique(values[values < np.uint64((1 << 32) // scale)])
     return low if len(low) or not len(values) else values.min(keepdims=True)
 
 

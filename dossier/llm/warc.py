@@ -76,7 +76,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int] | str:
         name, colon, value = line.partition(b":")
         if not colon:
             return "malformed header"
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "surrogatepass").strip()
+        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
     if not size.isdigit():
         return "no content length"
