@@ -142,7 +142,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if len(column) else np.zeros((0, dim))
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = 400, sample: int = 12_000, levels: int = 8, words: int = 256, block_rows: int = 16_384) -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = 1500, sample: int = 12_000, levels: int = 8, words: int = 256, block_rows: int = 16_384) -> DataFrame:
     """The k nearest rows by cosine of every row whose vec_id is divisible by `every`, the row itself excepted.
 
     vectors: (vec_id, embedding, ...); other columns are ignored.  Vectors that are null, zero, or hold a null or non-finite
