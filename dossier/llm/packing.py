@@ -14,7 +14,7 @@ from .common import scratch
 
 CAPACITY = 2048
 #: Distinct words a Python worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def default_tokenizer() -> str:
@@ -85,7 +85,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        # A tokenizer that lower-cases gives A-Z the same ids either way, but for what may be a special token.
+        split = [(r if self.cut is None or b"<|" in r else r.lower()).split() for r in raw]
         if len(self.known) > REMEMBERED:
             self.known, self.tokens = {}, {}
         if new := list(set().union(*split) - self.known.keys()):
