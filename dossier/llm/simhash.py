@@ -14,6 +14,7 @@ from .components import connected_components
 
 #: Half a fingerprint is 16 segments of 2 bits; a segment's popcount is 0, 1 or 2.
 SEGMENTS = 16
+CELLS = 2 * 3**SEGMENTS
 POWERS = 3 ** np.arange(SEGMENTS, dtype=np.int64)
 #: Groups of up to so many fingerprints are compared pairwise, larger ones by a search that skips what it has linked.
 SMALL_GROUP = 16
@@ -114,11 +115,11 @@ def _links_of_group(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _links(cells: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(cells: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Verified links of whole groups, sorted by cell."""
     starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
     sizes = np.diff(np.append(starts, len(cells)))
-    a, b = [], []
+    a, b, views = [], [], []
     small = np.repeat((sizes > 1) & (sizes <= SMALL_GROUP), sizes)
     own, keys = fps[small], cells[small]
     for d in range(1, SMALL_GROUP):
@@ -127,19 +128,21 @@ def _links(cells: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, n
         hit = np.flatnonzero((keys[d:] == keys[:-d]) & (np.bitwise_count(own[d:] ^ own[:-d]) <= most))
         a.append(own[hit])
         b.append(own[hit + d])
+        views.append(keys[hit] // CELLS)
     for g in np.flatnonzero(sizes > SMALL_GROUP):
         x, y = _links_of_group(fps[starts[g] : starts[g] + sizes[g]], most)
         a.append(x)
         b.append(y)
+        views.append(np.full(len(x), cells[starts[g]] // CELLS))
     if not a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(a), np.concatenate(b)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return np.concatenate(views), np.concatenate(a), np.concatenate(b)
 
 
 def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, enough to connect all pairs within `most` (4 or fewer) differing bits.
+    """Links (view, a, b) between distinct fingerprints, enough to connect all pairs of a view within `most` (4 or fewer) differing bits.
 
-    distinct: (fp), no value twice.  Every fingerprint goes to about 50 grid cells; each cell's fingerprints meet in one
+    distinct: (view, fp), no row twice.  Every fingerprint goes to about 50 grid cells; each cell's fingerprints meet in one
     task, which streams over cells sorted by Spark and holds one cell at a time, 8 bytes a fingerprint.  Each cell gives a
     spanning set of verified links, so their number is linear in the cells' sizes.
     """
@@ -148,19 +151,21 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            views, fps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             for k in range(0, len(fps), 4096):
                 part = fps[k : k + 4096]
                 where, cell = grid_cells(part)
+                # Each view has cells of its own.
+                cell = cell + views[k : k + 4096][where].astype(np.int64) * CELLS
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part[where])], ["cell", "fp"])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_c, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def emit(c: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = _links(c, f, most)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
+            views, a, b = _links(c, f, most)
+            rows = np.unique(np.stack([views.astype(np.uint64), np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in range(3)], ["view", "a", "b"])
 
         for batch in batches:
             c = np.concatenate([held_c, batch.column(0).to_numpy(zero_copy_only=False)])
@@ -173,8 +178,8 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
         if len(held_c):
             yield emit(held_c, held_f)
 
-    dealt = distinct.select("fp").mapInArrow(cells, "cell long, fp long").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(links, "a long, b long").distinct()
+    dealt = distinct.select(F.col("view").cast("long"), "fp").mapInArrow(cells, "cell long, fp long").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(links, "view long, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, views: int = 1) -> DataFrame:
@@ -188,22 +193,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, views: int
     of the group (nulls are ignored unless all are null).  An empty table gives an empty result.
     """
     found = scratch(fingerprints(docs, shingle, views), "fingerprints")
-    grouped = [_groups(found.select("doc_id", F.col("fps")[k].alias("fp")), most) for k in range(views)]
-    first = found.select("doc_id", F.col("fps")[0].alias("fp")).join(grouped[0], "fp").select("doc_id", "fp", "component_id")
-    if views == 1:
-        return first
-    edges = first.select("doc_id", "component_id")
-    for k in range(1, views):
-        edges = edges.union(found.select("doc_id", F.col("fps")[k].alias("fp")).join(grouped[k], "fp").select("doc_id", "component_id"))
-    wider = connected_components(edges)
-    return first.join(wider, F.col("doc_id") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("component", "component_id").alias("component_id"))
-
-
-def _groups(found: DataFrame, most: int) -> DataFrame:
-    """(fp, component_id) of all fingerprints in found (doc_id, fp)."""
-    least = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    components = connected_components(near_links(least.select("fp"), most))
-    classes = least.join(components.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    classes = scratch(classes, "classes")
-    heads = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return classes.join(heads, "component").select("fp", "component_id")
+    rows = found.select("doc_id", F.posexplode("fps").alias("view", "fp"))
+    least = scratch(rows.groupBy("view", "fp").agg(F.min("doc_id").alias("least")), "least")
+    end = lambda c: least.select(F.col("view").cast("long").alias("view"), F.col("fp").alias(c), F.col("least").alias(f"least_{c}"))
+    # Documents stand for their fingerprints: links between different ones, and each document with the first of its own.
+    linked = near_links(least.select("view", "fp"), most).join(end("a"), ["view", "a"]).join(end("b"), ["view", "b"]).select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    equal = rows.join(least, ["view", "fp"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    components = connected_components(linked.union(equal))
+    first = found.select("doc_id", F.col("fps")[0].alias("fp")).join(least.where("view = 0").select("fp", "least"), "fp")
+    return first.join(components, F.col("least") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("component", "least").alias("component_id"))

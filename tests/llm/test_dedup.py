@@ -63,7 +63,7 @@ def test_large_cells(spark):
     fps = np.unique([centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(700)] + [int(x) for x in rng.integers(0, 2**63, 300)]).astype(np.uint64)
     from dossier.llm.simhash import near_links
 
-    links = near_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")).collect()
+    links = near_links(spark.createDataFrame([(0, int(x)) for x in fps.view(np.int64)], "view int, fp long")).collect()
     place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
     want = components([(a, b) for a in range(len(fps)) for b in np.flatnonzero(np.bitwise_count(fps[:a] ^ fps[a]) <= 4)], len(fps))
     assert components([(place[r.a], place[r.b]) for r in links], len(fps)) == want
