@@ -20,13 +20,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group: five-word shingles, fingerprints within 4 bits in any of four views.
+    """The document of least doc_id of each group: five-word shingle sets of Jaccard similarity .8 or more, and chains of them.
 
     Rows that share a doc_id are one document here, of which any stays.  Rows without a doc_id are kept.
     """
-    from dossier.llm.simhash import near_duplicates
+    from dossier.llm.simhash import similar_documents
 
-    groups = near_duplicates(docs.where("doc_id is not null"), shingle=5, most=4, views=4)
+    groups = similar_documents(docs.where("doc_id is not null"), shingle=5, least=0.8)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     repeated = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 and _id is not null")

@@ -1,6 +1,7 @@
 """The pipeline's stages, each held to brute force on its own input."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -68,3 +69,31 @@ def test_packing(stages):
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, got.collect())) == sorted(map(str, stages[5].collect()))
+
+
+def test_near_duplicates_by_similarity(spark):
+    """Every pair of similarity .8 or more is one group, chains included, and none below."""
+    rng = random.Random(5)
+    texts = []
+    for size in (12, 40, 100, 100, 400) * 24:
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        texts.append(base)
+        for share in (0.82, 0.75):
+            # Each word replaced, six apart, takes five of the shingles; a shorter text loses its last words instead.
+            n = size - 4
+            hit = int(n * (1 - share) / (1 + share) / 5)
+            changed = [f"x{w}" if 8 <= k < 8 + 6 * hit and k % 6 == 2 else w for k, w in enumerate(base)] if hit else base[: 4 + round(n * share)]
+            texts.append(changed)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(9000, ""), (9001, None)]
+    sets = {k: {tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for k, t in rows}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and jaccard(a, b) >= 0.8]
+    least = {k: k for k in sets}
+    for _ in range(9):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    due = {k for k in sets if least[k] == k}
+    assert len(sets) - len(due) > 100
+    assert due <= kept  # nothing goes without a chain of pairs of .8 or more
+    assert len(kept - due) <= 0.03 * (len(sets) - len(due))
