@@ -158,12 +158,14 @@ def match_areas(addresses: DataFrame, areas: DataFrame, alike: float = 0.72) ->
 def neighbours(queries: DataFrame, base: DataFrame, k: int = 2) -> DataFrame:
     """The k nearest base vectors of each query by Euclidean distance, with Lowe's ratio of the first to the second.
 
-    queries: (query_id, v array<double>), a stated bounded set, against all of base: (id, v); each partition of base keeps k
-    per query before anything is shuffled.
+    queries: (query_id, v array<double>); base: (id, v).  The base is dealt into as many slabs as there are shuffle partitions and
+    every slab meets all queries in a sorted join, which spills; each slab keeps k per query before anything else is shuffled.
     """
-    pairs = base.join(F.broadcast(queries.select("query_id", F.col("v").alias("q"))), F.col("id") != F.col("query_id"))
+    slabs = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = queries.select("query_id", F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("part"))
+    pairs = base.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int")).join(dealt.hint("merge"), "part").where("id <> query_id")
     d = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x))
-    best = pairs.select("query_id", F.struct(d.alias("distance"), F.col("id")).alias("hit")).withColumn("part", F.spark_partition_id())
+    best = pairs.select("query_id", "part", F.struct(d.alias("distance"), F.col("id")).alias("hit"))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hit"))
     best = best.withColumn("n", rank("query_id", "part")).where(F.col("n") <= k).withColumn("rank", rank("query_id")).where(F.col("rank") <= k)
     ratio_of = F.try_divide(F.min("hit.distance").over(Window.partitionBy("query_id")), F.max("hit.distance").over(Window.partitionBy("query_id")))

@@ -248,6 +248,13 @@ def orphan_except(spark, sf_dir):
     return resolve.orphans(rows.where("l_orderkey % 10 = 3"), rows.where("l_orderkey % 100 = 4"), "l_partkey")
 
 
+@query("SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P')")
+def orphan_except_status(spark, sf_dir):
+    """Parts that no order in progress refers to, of all other orders."""
+    rows = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "o_orderstatus")
+    return resolve.orphans(rows.where("o_orderstatus <> 'P'"), rows.where("o_orderstatus = 'P'"), "l_partkey")
+
+
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def orders_without_lines(spark, sf_dir):
     return resolve.orphans(t(spark, sf_dir, "orders").select("o_orderkey"), t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
@@ -282,15 +289,27 @@ s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN ['serial:' || CAS
 SELECT c.id AS left_id, s.id AS right_id FROM c JOIN s ON c.keys[1] = s.keys[1] AND (len(s.keys) = 1 OR c.keys[2] = s.keys[2])"""
 )
 def entity_key_overlap(spark, sf_dir):
-    """Customers and suppliers with a common identity key and none in conflict."""
+    """A fifth of the customers, and suppliers, with a common identity key and none in conflict; the whole is entity_key_overlap_all."""
+    return _key_overlap(t(spark, sf_dir, "customer").where("c_custkey % 5 = 0"), t(spark, sf_dir, "supplier"))
+
+
+def _key_overlap(customer: DataFrame, supplier: DataFrame) -> DataFrame:
     serial = lambda nation, key: F.concat(F.lit("serial:"), F.col(nation).cast("string"), F.lit("-"), (F.col(key) % 97).cast("string"))
     national = lambda key: F.concat(F.lit("national:"), (F.col(key) % 11).cast("string"))
-    c = t(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.array(serial("c_nationkey", "c_custkey"), national("c_custkey")).alias("keys"))
-    s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array_compact(F.array(serial("s_nationkey", "s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, national("s_suppkey")))).alias("keys"))
+    c = customer.select(F.col("c_custkey").alias("id"), F.array(serial("c_nationkey", "c_custkey"), national("c_custkey")).alias("keys"))
+    s = supplier.select(F.col("s_suppkey").alias("id"), F.array_compact(F.array(serial("s_nationkey", "s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, national("s_suppkey")))).alias("keys"))
     # One-sided keys don't overlap on the national number alone here: the serial has to agree as well.
     return resolve.key_pairs(c, s)
 
 
+@query(
+    """SELECT c_custkey AS left_id, s_suppkey AS right_id FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 97 = s_suppkey % 97 WHERE s_suppkey % 2 <> 0 OR c_custkey % 11 = s_suppkey % 11"""
+)
+def entity_key_overlap_all(spark, sf_dir):
+    """All customers and suppliers with a common identity key and none in conflict."""
+    return _key_overlap(t(spark, sf_dir, "customer"), t(spark, sf_dir, "supplier"))
+
+
 @query(
     """WITH n AS (SELECT c_custkey, c_nationkey, regexp_replace(substr(c_name, -4), '^0+', '') AS tail FROM customer)
 SELECT a.c_custkey AS left_id, b.c_custkey AS right_id, levenshtein(a.tail, b.tail) AS distance FROM n a JOIN n b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND substr(a.tail, 1, 1) = substr(b.tail, 1, 1) WHERE levenshtein(a.tail, b.tail) <= 1"""
@@ -667,12 +686,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS
 SELECT query_id, best, round(d1 / d2, 4) AS ratio, d1 < 0.69 * d2 AS clear, d1 < 0.95 * d2 AS likely FROM k"""
 )
 def lowe_ratio_knn(spark, sf_dir):
+    """A stated query set: every 50th vector; all due queries are in lowe_ratio_knn_due."""
+    return _lowe_ratio(spark, sf_dir, 50)
+
+
+def _lowe_ratio(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
     v = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    # A stated query set: every 50th vector.
-    found = layout.neighbours(v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v"), v)
+    found = layout.neighbours(v.where(F.col("id") % step == 0).select(F.col("id").alias("query_id"), "v"), v)
     return found.where("rank = 1").select("query_id", F.col("id").alias("best"), F.round("ratio", 4).alias("ratio"), (F.col("ratio") < 0.69).alias("clear"), (F.col("ratio") < 0.95).alias("likely"))
 
 
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query_id, vec_id, sqrt(list_sum(list_transform(range(1, len(q) + 1), lambda i: (CAST(e.embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE)) * (CAST(e.embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE))))) AS d FROM q, embeddings e WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p), k AS (SELECT query_id, min(d) AS d1, max(d) AS d2, min(vec_id) FILTER (rank = 1) AS best FROM r WHERE rank <= 2 GROUP BY query_id)
+SELECT query_id, best, round(d1 / d2, 4) AS ratio, d1 < 0.69 * d2 AS clear, d1 < 0.95 * d2 AS likely FROM k"""
+)
+def lowe_ratio_knn_due(spark, sf_dir):
+    """Searches take the ids divisible by 20."""
+    return _lowe_ratio(spark, sf_dir, 20)
+
+
 # ---- streams
 
 

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,3 +47,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_inputs(spark):
+    """The whole queries take all customers, all due vectors and every order; no query set is broadcast."""
+    q, read = core().QUERIES, lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    assert {r.left_id % 5 for r in q["entity_key_overlap_all"](spark, SF.replace("0.001", "0.01")).collect()} == set(range(5))
+    found = q["lowe_ratio_knn_due"](spark, SF)
+    assert {r.query_id for r in found.collect()} == {r.vec_id for r in read("embeddings").where("vec_id % 20 = 0").collect()}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    kept = {r.l_partkey for r in read("lineitem").join(read("orders").where("o_orderstatus = 'P'"), F.col("l_orderkey") == F.col("o_orderkey")).collect()}
+    assert {r.l_partkey for r in q["orphan_except_status"](spark, SF).collect()} == {r.l_partkey for r in read("lineitem").collect()} - kept
