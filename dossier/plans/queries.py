@@ -364,8 +364,8 @@ def phrase_classification(spark, sf_dir):
 
 @query()
 def phrase_classification_tolerant(spark, sf_dir):
-    """As phrase_classification, with slips allowed in long phrases."""
-    rows = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.element_at(F.split("text", "\n"), -1), F.when(F.col("doc_id") % 3 == 0, " Licenzed undar the Apache").otherwise("")).alias("text"))
+    """As phrase_classification, over whole texts, with slips allowed in long phrases."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text"), F.when(F.col("doc_id") % 3 == 0, " Licenzed undar the Apache").otherwise("")).alias("text"))
     return extract.classify(rows, {"license": [("LICENSED UNDER", 5), ("COPYRIGHT", 4)], "other": [("ZZZZZZZ", 1)]}).select("doc_id", "kind", "score")
 
 

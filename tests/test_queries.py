@@ -58,3 +58,32 @@ def test_whole_inputs(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     kept = {r.l_partkey for r in read("lineitem").join(read("orders").where("o_orderstatus = 'P'"), F.col("l_orderkey") == F.col("o_orderkey")).collect()}
     assert {r.l_partkey for r in q["orphan_except_status"](spark, SF).collect()} == {r.l_partkey for r in read("lineitem").collect()} - kept
+
+
+def test_tolerant_phrases_anywhere(spark, tmp_path):
+    """Phrases on first, middle and last lines, with and without slips, against brute force over all windows of words."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def has(text, phrase, limit):
+        tight, words = phrase.replace(" ", ""), text.split()
+        near = any(distance("".join(words[i : i + n]), tight) <= limit for n in range(max(1, len(phrase.split()) - 1), len(phrase.split()) + 2) for i in range(len(words) - n + 1))
+        return tight in text.replace(" ", "") or near
+
+    fill = " ".join(f"word{k}" for k in range(60))
+    marks = ["Licensed under the Apache", "licenced undar it", "Copyrigt 2020", "copy right", "COPYRIGHT", "licen sed under", "lisenced ander", "copper night", "licensed", ""]
+    texts = [text for m in marks for text in (f"{m}\n{fill}\n{fill}", f"{fill}\n{m} and\n{fill}", f"{fill}\n{fill}\n{m}", f"{fill} {m}\nend")]
+    rows = [(3 * k + 1, text) for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.kind, r.score) for r in core().QUERIES["phrase_classification_tolerant"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, text in rows:
+        score = 5 * has(text.upper(), "LICENSED UNDER", 2) + 4 * has(text.upper(), "COPYRIGHT", 1)
+        want[k] = ("license" if score else "unknown", score)
+    assert got == want and len({v for v in want.values()}) >= 3
