@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
-from ..functions.text import fold_digits, normalize_name, words
+from ..functions.text import edit_distance, fold_digits, normalize_name, words
 
 
 def digest(*columns: Column) -> Column:
@@ -131,6 +131,26 @@ def name_proposals(people: DataFrame, housing: DataFrame) -> DataFrame:
     return out.withColumn("automatic", F.col("exact") & F.col("reliable") & (F.col("candidate_count") == 1))
 
 
+def near_names(rows: DataFrame) -> DataFrame:
+    """(left_id, right_id, distance) of rows (id, block, name) of one block whose names are at edit distance 1 or less, left_id < right_id.
+
+    Equal names are one entry.  Names meet over deletion variants (the name, and the name without one of its characters), so each
+    pair at distance 1 meets wherever the slip is, and the edit distance decides.
+    """
+    single = rows.where("id is not null").select("id", "block", "name").distinct()
+    n = single.select("block", "name").where("block is not null and name is not null").distinct()
+    size = F.char_length("name")
+    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    without = F.transform(places, lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, size)))
+    v = n.select("block", "name", F.explode(F.array_distinct(F.concat(F.array("name"), without))).alias("variant"))
+    met = v.join(v.select("block", F.col("name").alias("other"), "variant"), ["block", "variant"]).where("name < other").select("block", "name", "other").distinct()
+    near = met.where(edit_distance(F.col("name"), F.col("other"), 1) <= 1)
+    left, right = single.select(F.col("id").alias("a"), "block", "name"), single.select(F.col("id").alias("b"), "block", F.col("name").alias("other"))
+    apart = near.join(left, ["block", "name"]).join(right, ["block", "other"]).where("a <> b").select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.lit(1).alias("distance"))
+    same = left.join(right.withColumnRenamed("other", "name"), ["block", "name"]).where("a < b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.lit(0).alias("distance"))
+    return apart.union(same)
+
+
 def synchronize(seeds: DataFrame) -> DataFrame:
     """Assign identity fronts to people in order: to the only person of the same identity, else to a new one.
 

@@ -315,11 +315,17 @@ def entity_key_overlap_all(spark, sf_dir):
 SELECT a.c_custkey AS left_id, b.c_custkey AS right_id, levenshtein(a.tail, b.tail) AS distance FROM n a JOIN n b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND substr(a.tail, 1, 1) = substr(b.tail, 1, 1) WHERE levenshtein(a.tail, b.tail) <= 1"""
 )
 def fuzzy_name_pairs(spark, sf_dir):
-    """Near names within blocks of nation and first letter."""
-    n = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.regexp_replace(F.substring("c_name", -4, 4), "^0+", "").alias("tail")).withColumn("block", F.substring("tail", 1, 1))
-    b = n.select(F.col("c_custkey").alias("right_id"), "c_nationkey", F.col("tail").alias("other"), "block")
-    pairs = n.join(b, ["c_nationkey", "block"]).where("c_custkey < right_id").withColumn("distance", text.edit_distance(F.col("tail"), F.col("other"), 1))
-    return pairs.where("distance <= 1").select(F.col("c_custkey").alias("left_id"), "right_id", "distance")
+    """Near ends of names within blocks of nation and first letter; whole names are in fuzzy_whole_name_pairs."""
+    tail = F.regexp_replace(F.substring("c_name", -4, 4), "^0+", "")
+    return resolve.near_names(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.struct("c_nationkey", F.substring(tail, 1, 1).alias("first")).alias("block"), tail.alias("name")))
+
+
+@query(
+    """SELECT a.c_custkey AS left_id, b.c_custkey AS right_id, levenshtein(a.c_name, b.c_name) AS distance FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE levenshtein(a.c_name, b.c_name) <= 1"""
+)
+def fuzzy_whole_name_pairs(spark, sf_dir):
+    """Near names of a nation, whole and wherever they differ."""
+    return resolve.near_names(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("block"), F.col("c_name").alias("name")))
 
 
 @query()

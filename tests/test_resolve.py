@@ -58,3 +58,20 @@ def test_precedence(spark):
     b = spark.createDataFrame([("d", "name", "y", 0.9)], "doc_id string, key string, value string, confidence double")
     got = {r.key: (r.value, r.place) for r in extract.by_precedence([a, b], ["name", "sex"]).collect()}
     assert got == {"name": ("y", 0), "sex": ("", 1), "age": ("1", 2)}
+
+
+def test_near_names(spark):
+    """Slips in any place, first and last characters included; names that differ by more stay apart."""
+    names = ["1234", "2234", "91234", "1234", "123", "", "1", "علي", "على", "Customer#000012345", "Customer#000092345", "Customer#000092346", "ab", "ba"]
+    rows = [(k, block, name) for block in (1, 2) for k, name in enumerate(names, 100 * block)] + [(900, None, "1"), (901, 1, None)]
+    got = sorted(tuple(r) for r in resolve.near_names(spark.createDataFrame(rows, "id long, block long, name string")).collect())
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    assert got == sorted((i, j, distance(a, b)) for i, x, a in rows[:-2] for j, y, b in rows[:-2] if i < j and x == y and distance(a, b) <= 1)
