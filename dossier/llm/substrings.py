@@ -7,6 +7,9 @@ sampled, leftmost first.  Two equal strings then have a common shift at which bo
 and only two positions in 130 are sampled.  Suffixes are dealt into buckets by the gram at their sample.  Long ties, such as
 copies of whole documents, are resolved by precomputed ranks (hashes) of the whole run of strings around a sample.  What is
 left is compared byte by byte, one bucket at a time; a bucket above a fixed size is refined by longer common parts.
+
+Runs are taken for equal if both their gram's 64-bit hash and the 64-bit XXH64 of all their bytes agree; among n runs of
+different bytes a wrong match has a probability below n^2 / 2^128 for random hashes (3e-15 for 10^12 runs).  All other matches are by bytes.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from .common import is_empty, scratch
 LENGTH = 200
 #: Starts of strings worked on at a time within a document.
 SEGMENT = 1 << 20
-#: Bytes of runs that one bucket may hold in memory before it is refined.
-BUCKET_BYTES = 1 << 20
+#: Bytes of runs that one bucket may hold in memory; a larger bucket is dealt among several tasks and refined.
+BUCKET_BYTES = 1 << 22
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -163,6 +166,7 @@ def _sampled(docs: DataFrame, kind_of_id: str, length: int) -> DataFrame:
 
 
 _NODE = "node long, low int, high int, weight int, kd {0}, kt long, first long, shift int, bytes binary"
+_NODE_NAMES = ["node", "low", "high", "weight", "kd", "kt", "first", "shift", "bytes"]
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, kind_of_id: str, length: int, window: int) -> DataFrame:
@@ -187,105 +191,169 @@ def _contexts(docs: DataFrame, wanted: DataFrame, kind_of_id: str, length: int,
                 take = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(gram, pa.int64()), pa.array([0] * len(out), pa.int32()), pa.array([window - 1] * len(out), pa.int32()), pa.array(weight, pa.int32()), part.column(0).take(take), part.column(1).take(take), pa.array(first, pa.int64()), pa.array(shift, pa.int32()), pa.array(data, pa.binary())],
-                    ["node", "low", "high", "weight", "kd", "kt", "first", "shift", "bytes"],
+                    _NODE_NAMES,
                 )
 
     return texts.select("kd", "kt", "text", "runs").mapInArrow(run, _NODE.format(kind_of_id))
 
 
+class Bucket:
+    """Rows of one bucket, held together: which of their strings occur how often among them, by their bytes.
+
+    A row's run holds the strings of `length` bytes whose sample lies `shift` to 0 bytes after their start; the bucket takes
+    those of shifts low..high.  counts[k] and fresh[k] cover row k's strings in order of their place: how often the string occurs
+    (its weight counted), and whether row k is the first to have it.
+    """
+
+    #: Up to so many rows, strings are looked up one by one; above, all rows' strings of a shift are sorted by a rolling hash.
+    FEW = 64
+
+    def __init__(self, shifts: list[int], data: list[bytes], weights: list[int], low: int, high: int, length: int) -> None:
+        self.start = [max(0, s - high) for s in shifts]
+        self.stop = [min(len(d) - length, s - low) + 1 for s, d in zip(shifts, data)]
+        self.counts = [np.zeros(max(0, b - a), np.int64) for a, b in zip(self.start, self.stop)]
+        self.fresh = [np.ones(len(c), bool) for c in self.counts]
+        if len(data) <= self.FEW:
+            self._look_up(data, weights, length)
+        else:
+            self._sort(shifts, data, np.array(weights), low, high, length)
+
+    def _look_up(self, data: list[bytes], weights: list[int], length: int) -> None:
+        seen: dict[bytes, int] = {}
+        for k, d in enumerate(data):
+            for at in range(self.start[k], self.stop[k]):
+                text = d[at : at + length]
+                self.fresh[k][at - self.start[k]] = text not in seen
+                seen[text] = seen.get(text, 0) + weights[k]
+        for k, d in enumerate(data):
+            self.counts[k][:] = [seen[d[at : at + length]] for at in range(self.start[k], self.stop[k])]
+
+    def _sort(self, shifts: list[int], data: list[bytes], weights: np.ndarray, low: int, high: int, length: int) -> None:
+        # Rows aligned at their sample, which stands at column `top`; a string of shift s starts at column top - s.
+        top = max(shifts)
+        shift = np.array(shifts)
+        sizes = np.array([len(d) for d in data])
+        width = int((top - shift + sizes).max())
+        matrix = np.zeros((len(data), width), np.uint8)
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        row = np.repeat(np.arange(len(data)), sizes)
+        matrix[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(top - shift, sizes)] = flat
+        least = shift - (sizes - length)
+        powers, inverse = _powers(_ODD, length + 1), np.uint64(pow(_ODD, -1, 1 << 64))
+        h = None
+        for s in range(min(high, top), low - 1, -1):
+            at = top - s
+            if at + length > width:
+                break
+            if h is None:
+                h = (matrix[:, at : at + length].astype(np.uint64) * powers[:length]).sum(axis=1, dtype=np.uint64)
+            else:
+                h = (h - matrix[:, at - 1]) * inverse + matrix[:, at + length - 1].astype(np.uint64) * powers[length - 1]
+            rows = np.flatnonzero((least <= s) & (s <= shift))
+            if not len(rows):
+                continue
+            rows = rows[np.argsort(h[rows], kind="stable")]
+            # Equal hashes are candidates; their bytes decide. Strings other than their group's first meet in a group of their own.
+            group = np.concatenate(([0], np.cumsum(h[rows][1:] != h[rows][:-1])))
+            leader = rows[np.searchsorted(group, np.arange(group[-1] + 1))][group]
+            other = np.flatnonzero((leader != rows) & (matrix[rows, at : at + length] != matrix[leader, at : at + length]).any(axis=1))
+            if len(other):
+                texts = [matrix[r, at : at + length].tobytes() for r in rows[other]]
+                names = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+                group[other] = group[-1] + 1 + np.array([names[t] for t in texts])
+                order = np.argsort(group, kind="stable")
+                rows, group = rows[order], group[order]
+            total = np.bincount(group, weights[rows], group.max() + 1).astype(np.int64)[group]
+            fresh = np.concatenate(([True], group[1:] != group[:-1]))
+            for k, n, f in zip(rows.tolist(), total.tolist(), fresh.tolist()):
+                place = shifts[k] - s - self.start[k]
+                self.counts[k][place] = n
+                self.fresh[k][place] = f
+
+
+def _stretches(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(from, up to, value) of each maximal stretch of equal values."""
+    if not len(values):
+        return []
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return [(a, b, int(values[a])) for a, b in zip(edges[:-1], edges[1:])]
+
+
 def _refine(nodes: DataFrame, kind_of_id: str, length: int, bucket_bytes: int) -> DataFrame:
     """Settle nodes bucket by bucket: `bytes` null: a span (first, last in `shift`) that repeats; else a node to go on with.
 
-    A row's run holds the strings of `length` bytes whose sample lies `shift` to 0 bytes after their start, of which the node
-    takes shifts low..high.  A bucket of at most `bucket_bytes` is settled by comparing its strings themselves.  A larger one
-    is passed on in halves of the shifts, keyed by the bytes that all strings of the half share; a half of one shift is keyed
-    by the string itself, and settled by counting alone.
+    A bucket of at most `bucket_bytes` is settled by comparing its strings themselves.  A larger one is dealt by salt into parts of
+    about that size.  A part settles what repeats inside it, and hands on of each string one copy at most (weight 2 if it
+    repeats), in halves of the shifts, keyed by the bytes that all strings of a half share, and cut to them.  So what goes on
+    is one row for each different stretch of strings, however many copies there are, and strings around a common passage
+    part as soon as their half's key holds bytes of their own.  Parts of one shift hold one string and hand on one row each.
     """
+    sized = scratch(nodes.groupBy("node", "low").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > bucket_bytes).select(F.col("node").alias("large"), F.col("low").alias("large_low"), F.ceil(F.col("size") / bucket_bytes).cast("int").alias("parts")), "large")
+    # Rows here are bounded by the nodes' bytes over `bucket_bytes`; a small table is broadcast, a larger one joined by key.
+    small = sized.count() <= 1_000_000
+    split = nodes.join(F.broadcast(sized) if small else sized, (F.col("node") == F.col("large")) & (F.col("low") == F.col("large_low")), "left").drop("large", "large_low")
+    split = split.withColumn("salt", F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("kd", "kt", "first", "shift"), F.col("parts"))).cast("int")).drop("parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         key: tuple | None = None
         held: list[tuple] = []
-        size = 0
-        total = 0
         out: list[tuple] = []
         id_type = None
 
-        def halves(row: tuple) -> Iterator[tuple]:
-            _, low, high, weight, kd, kt, first, shift, data = row
+        def hand_on(row: tuple, begin: int, a: int, b: int, weight: int) -> None:
+            """Row's strings from place begin + a up to begin + b, in halves of the node's shifts."""
+            _, low, high, _, kd, kt, first, shift, data = row[:9]
             middle = (low + high) // 2
-            lengths = len(data) - length  # shifts of the run: shift - lengths .. shift
-            for a, b in ((low, middle), (middle + 1, high)):
-                if a > shift or b < shift - lengths:
-                    continue
-                # All strings with shifts a..b hold the bytes from a before the sample up to length - b after it.
-                start = shift - a
-                common = data[max(0, start) : shift + length - b] if start >= 0 else data[: shift + length - b]
-                yield (xxhash.xxh3_64_intdigest(common, a << 20 | b) - (1 << 63), a, b, weight, kd, kt, first, shift, data)
-
-        def settle(rows: list[tuple], low: int, high: int) -> None:
-            seen: dict[bytes, int] = {}
-            for _, _, _, weight, _, _, _, shift, data in rows:
-                for s in range(max(low, shift - (len(data) - length)), min(high, shift) + 1):
-                    text = data[shift - s : shift - s + length]
-                    seen[text] = seen.get(text, 0) + weight
-            for _, _, _, weight, kd, kt, first, shift, data in rows:
-                if weight > 1:
+            halves = ((low, middle), (middle + 1, high)) if low < high else ((low, high),)
+            for least, most in halves:
+                # Places of the half's shifts.
+                x, y = max(begin + a, shift - most), min(begin + b, shift - least + 1)
+                if x >= y:
                     continue
-                since = None
-                low_at, high_at = max(0, shift - high), min(len(data) - length, shift - low)
-                for at in range(low_at, high_at + 2):
-                    hit = at <= high_at and seen[data[at : at + length]] > 1
-                    if hit and since is None:
-                        since = at
-                    elif not hit and since is not None:
-                        out.append((0, 0, 0, 0, kd, kt, first + since, at - 1 - since + length, None))
-                        since = None
+                # All strings with shifts least..most hold the bytes from `least` before the sample up to length - most after it.
+                common = data[shift - least : shift + length - most]
+                node = xxhash.xxh3_64_intdigest(common, least << 20 | most) - (1 << 63)
+                out.append((node, least, most, weight, kd, kt, first + x, shift - x, data[x : y - 1 + length]))
 
         def close() -> None:
-            if held and sum(r[3] for r in held) > 1:
-                settle(held, held[0][1], held[0][2])
+            if not held or key[3] < 0 and sum(r[3] for r in held) < 2:
+                held.clear()
+                return
+            found = Bucket([r[7] for r in held], [r[8] for r in held], [r[3] for r in held], held[0][1], held[0][2], length)
+            for row, begin, counts, fresh in zip(held, found.start, found.counts, found.fresh):
+                if row[3] == 1:
+                    out.extend((0, 0, 0, 0, row[4], row[5], row[6] + begin + a, b - 1 - a + length, None) for a, b, hit in _stretches(counts > 1) if hit)
+                if key[3] >= 0:
+                    # 0: another row stands for the string; 1: it is alone so far; 2: it repeats, and this row stands for it.
+                    for a, b, weight in _stretches(np.where(fresh, np.minimum(counts, 2), 0)):
+                        if weight:
+                            hand_on(row, begin, a, b, weight)
             held.clear()
 
         def flush() -> pa.RecordBatch:
             c = list(zip(*out))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), id_type, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], ["node", "low", "high", "weight", "kd", "kt", "first", "shift", "bytes"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds)], _NODE_NAMES)
             out.clear()
             return batch
 
         for batch in batches:
             id_type = batch.schema.field(4).type
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
+                now = (row[0], row[1], row[2], row[9])
+                if now != key:
                     close()
-                    key, size, total = row[:3], 0, 0
-                total += row[3]
-                if row[1] == row[2] and (total > 2 * row[3] or size > bucket_bytes):
-                    # One string only, and known to repeat: count, don't hold.
-                    held.append(row)
-                    settle_single = [r for r in held if r[3] == 1]
-                    for r in settle_single:
-                        out.append((0, 0, 0, 0, r[4], r[5], r[6] + r[7] - r[1], length, None))
-                    held.clear()
-                    size = bucket_bytes + 1
-                elif size > bucket_bytes:
-                    out.extend(halves(row))
-                else:
-                    held.append(row)
-                    size += len(row[8])
-                    if size > bucket_bytes and row[1] < row[2]:
-                        for r in held:
-                            out.extend(halves(r))
-                        held.clear()
+                    key = now
+                held.append(row)
                 if len(out) > 4000:
                     yield flush()
         close()
         if out:
             yield flush()
 
-    dealt = nodes.repartition("node", "low").sortWithinPartitions("node", "low", "high", F.col("weight").desc())
+    dealt = split.select(*_NODE_NAMES, "salt").repartition("node", "low", "salt").sortWithinPartitions("node", "low", "high", "salt")
     return dealt.mapInArrow(run, _NODE.format(kind_of_id))
 
 
