@@ -17,7 +17,7 @@ from .trie import Level, build_level, dump, load
 
 #: Bytes no word can be: white space ends words.
 END = b"\n"
-DOCS_PER_CHUNK, BYTES_PER_CHUNK = 1000, 3_000_000
+DOCS_PER_CHUNK, BYTES_PER_CHUNK = 2000, 6_000_000
 ENTRIES_PER_BLOB = 1_500_000
 
 
@@ -146,25 +146,36 @@ class Vocabulary:
 
     def __init__(self, shards: list, n_shards: int) -> None:
         self.n_shards = n_shards
+        self.paths = {shard: path for shard, path, _ in shards}
         self.parts: dict[int, dict[str, np.ndarray]] = {}
         self.offsets: dict[int, int] = {}
         self.size = 0
-        for shard, path, facts in shards:
-            self.parts[shard] = load(path)
+        for shard, _, facts in shards:
             self.offsets[shard] = self.size
             self.size += facts[0]
 
+    def _part(self, shard: int) -> dict[str, np.ndarray] | None:
+        """A shard's file, opened when its first word is looked up."""
+        if shard not in self.parts and shard in self.paths:
+            self.parts[shard] = load(self.paths[shard])
+        return self.parts.get(shard)
+
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0)."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        shard = hash_shard(hashes, self.n_shards)
-        for s, part in self.parts.items():
-            mine = np.flatnonzero(shard == s)
-            if not len(mine) or not len(part["hashes"]):
+        # Shards are ranges of hashes: in sorted order each one's words stand together.
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        shard = hash_shard(ordered, self.n_shards)
+        cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(shard) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            part = self._part(int(shard[a]))
+            if part is None or not len(part["hashes"]):
                 continue
-            at = np.minimum(np.searchsorted(part["hashes"], hashes[mine]), len(part["hashes"]) - 1)
-            hit = part["hashes"][at] == hashes[mine]
-            ids[mine[hit]] = at[hit] + self.offsets[s]
+            mine = order[a:b]
+            at = np.minimum(np.searchsorted(part["hashes"], ordered[a:b]), len(part["hashes"]) - 1)
+            hit = part["hashes"][at] == ordered[a:b]
+            ids[mine[hit]] = at[hit] + self.offsets[int(shard[a])]
             counts[mine[hit]] = part["counts"][at[hit]]
         return ids, counts
 
@@ -181,11 +192,11 @@ class Trie:
         self.total = spec["train_tokens"]
         self.levels = []
         for level in spec["levels"]:
-            shards, offset = [], 0
+            shards, offset = {}, 0
             for shard, path, facts in level["shards"]:
-                shards.append((shard, Level(path), offset))
+                shards[shard] = (path, offset)
                 offset += facts[0]
-            self.levels.append({"shards": shards, "n_contexts": level["n_contexts"], "n_shards": level["n_shards"], "n_entries": offset})
+            self.levels.append({"shards": shards, "open": {}, "n_contexts": level["n_contexts"], "n_shards": level["n_shards"], "n_entries": offset})
 
     def descend(self, level: dict, contexts: np.ndarray, words: np.ndarray, weights: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(entry or -1, own share, freed share) of each (context, word); contexts and words may be -1. freed is 1 without context."""
@@ -198,11 +209,16 @@ class Trie:
         distinct, back = np.unique(pairs, return_inverse=True)
         c, w = distinct >> 32, (distinct & 0xFFFFFFFF) - 1
         e, o, f = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.ones(len(c))
-        cuts = np.searchsorted(c * level["n_shards"] // level["n_contexts"], np.arange(level["n_shards"] + 1))
-        for shard, part, offset in level["shards"]:
-            a, b = cuts[shard], cuts[shard + 1]
-            if a == b:
+        shard_of = c * level["n_shards"] // level["n_contexts"]
+        cuts = np.flatnonzero(np.concatenate(([True], shard_of[1:] != shard_of[:-1], [True])))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            shard = int(shard_of[a])
+            if shard not in level["shards"]:
                 continue
+            path, offset = level["shards"][shard]
+            if shard not in level["open"]:
+                level["open"][shard] = Level(path)
+            part = level["open"][shard]
             found, some = part.find(c[a:b], np.maximum(w[a:b], 0))
             found[w[a:b] < 0] = -1
             hit = np.flatnonzero(found >= 0)

@@ -20,17 +20,21 @@ def _u64(bits: np.ndarray) -> np.ndarray:
     return out
 
 
+_EACH, _TOPS = U64(0x0101010101010101), U64(0x8080808080808080)
+#: Position of the k-th one of a byte, at byte * 8 + k.
+_IN_BYTE = np.array([([j for j in range(8) if b >> j & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.uint8)
+
+
 def _select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th (from 0) one in each word."""
-    at = np.zeros(len(words), np.int64)
-    words, k = words.copy(), k.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(words & U64((1 << width) - 1)).astype(np.int64)
-        above = k >= low
-        k -= np.where(above, low, 0)
-        at += np.where(above, width, 0)
-        words = np.where(above, words >> U64(width), words)
-    return at
+    """Position of the k-th (from 0) one in each word: its byte by running sums of the bytes' ones, then its place in the byte."""
+    sums = words - ((words >> ONE) & U64(0x5555555555555555))
+    sums = (sums & U64(0x3333333333333333)) + ((sums >> U64(2)) & U64(0x3333333333333333))
+    sums = ((sums + (sums >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _EACH
+    k = k.astype(U64)
+    # The top bit of a byte stays where the ones up to its end are no more than k.
+    byte = np.bitwise_count((((k * _EACH) | _TOPS) - sums) & _TOPS).astype(U64) << U64(3)
+    before = ((sums << U64(8)) >> byte) & U64(255)
+    return (byte + _IN_BYTE[((((words >> byte) & U64(255)) << U64(3)) + (k - before)).astype(np.int64)]).astype(np.int64)
 
 
 class EliasFano:
@@ -69,8 +73,25 @@ class EliasFano:
         """Values at the given places, as int64."""
         word = np.searchsorted(self.ranks, i, side="right") - 1
         at = word * 64 + _select_in_word(self.high[word], i - self.ranks[word])
+        return self._value(i, at)
+
+    def _value(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
         return (((at - i).astype(U64) << U64(self.shift)) | self._lows(i)).astype(np.int64)
 
+    def access_pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at the given places and at the next ones, whose ones mostly stand in the same word."""
+        word = np.searchsorted(self.ranks, i, side="right") - 1
+        bits = self.high[word]
+        place = _select_in_word(bits, i - self.ranks[word])
+        at = word * 64 + place
+        rest = (bits >> place.astype(U64)) >> ONE
+        nearest = at + 1 + np.bitwise_count(rest ^ (rest - ONE)).astype(np.int64) - 1
+        following = self._value(i + 1, nearest)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            following[far] = self.access(i[far] + 1)
+        return self._value(i, at), following
+
     def find(self, values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Place of each value within [start, stop), or -1: select the bucket of its high part, then bisect its low parts."""
         out = np.full(len(values), -1, np.int64)
@@ -166,23 +187,41 @@ class Level:
     def __init__(self, uri: str) -> None:
         a = load(uri)
         self.first, self.n_contexts, self.n_entries = (int(x) for x in a["range"])
-        self.codes, self.book, self.backoffs, self.back_book = a["codes"], a["book"], a["backoffs"], a["back_book"]
+        self.codes, self.backoffs = a["codes"], a["backoffs"]
+        self.shares, self.freed_shares = 10.0 ** a["book"].astype(np.float64), 10.0 ** a["back_book"].astype(np.float64)
         self.pointers = EliasFano({k[2:]: v for k, v in a.items() if k.startswith("p_")})
         self.successors = EliasFano({k[2:]: v for k, v in a.items() if k.startswith("s_")})
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entry or -1, whether the context has entries) of each pair."""
+        """(entry or -1, whether the context has entries) of each pair; pairs come sorted by context.
+
+        A context's range and what its successors are relative to are read once for all its words; the first successor comes
+        with them, so a context with one successor needs no search.
+        """
         local = contexts - self.first
-        start, stop = self.pointers.access(local), self.pointers.access(local + 1)
+        fresh = np.concatenate(([True], local[1:] != local[:-1]))
+        of = np.cumsum(fresh) - 1
+        start, stop = self.pointers.access_pair(local[fresh])
         some = start < stop
-        before = np.where(some & (start > 0), start - 1, 0)
-        base = np.zeros(len(local), np.int64)
-        if self.n_entries:
-            base = np.where(start > 0, self.successors.access(before) + 1, 0)
-        return self.successors.find(base + words, start, np.where(some, stop, start)), some
+        out = np.full(len(local), -1, np.int64)
+        if not self.n_entries:
+            return out, some[of]
+        base, first = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        inner = np.flatnonzero(some & (start > 0))
+        last, first[inner] = self.successors.access_pair(start[inner] - 1)
+        base[inner] = last + 1
+        if len(edge := np.flatnonzero(some & (start == 0))):
+            first[edge] = self.successors.access(np.zeros(len(edge), np.int64))
+        values = base[of] + words
+        at_first = some[of] & (values == first[of])
+        out[at_first] = start[of][at_first]
+        more = np.flatnonzero((stop - start > 1)[of] & (values > first[of]))
+        if len(more):
+            out[more] = self.successors.find(values[more], start[of[more]] + 1, stop[of[more]])
+        return out, some[of]
 
     def own(self, entries: np.ndarray) -> np.ndarray:
-        return 10.0 ** self.book[self.codes[entries]].astype(np.float64)
+        return self.shares[self.codes[entries]]
 
     def freed(self, contexts: np.ndarray) -> np.ndarray:
-        return 10.0 ** self.back_book[self.backoffs[contexts - self.first]].astype(np.float64)
+        return self.freed_shares[self.backoffs[contexts - self.first]]
