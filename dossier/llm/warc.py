@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from .common import filesystem, scratch, shared_path
 
 VERSION = b"WARC/1.1\r\n"
+#: Version lines that the reader accepts and searches for.
+VERSIONS = (b"WARC/1.0\r\n", VERSION)
 MEMBER = b"\x1f\x8b\x08"
 CHUNK = 1 << 18
+#: Bytes in which a plain record's headers must end; a version line without such an end is not a record's start.
+HEADERS = 1 << 26
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -64,37 +68,45 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int] | str:
-    """(headers, block, bytes used) of the record at the start of data, or what is wrong with it."""
-    if not data.startswith(VERSION):
+def parse_record(data: bytes | bytearray, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
+    """(headers, block, bytes used) of the record at `at` in data, or what is wrong with it.
+
+    Header lines that begin with white space go on with the value of the line before.
+    """
+    if not any(data.startswith(v, at) for v in VERSIONS):
         return "no version line"
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         return "headers don't end"
     headers: dict[str, str] = {}
-    for line in data[len(VERSION) : end].split(b"\r\n"):
+    last = ""
+    for line in bytes(data[at + len(VERSION) : end]).split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and last:
+            headers[last] += " " + line.decode("utf-8", "replace").strip()
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             return "malformed header"
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        last = name.decode("utf-8", "replace").strip().lower()
+        headers[last] = value.decode("utf-8", "replace").strip()
     size = headers.get("content-length", "")
-    if not size.isdigit():
+    if not (size.isascii() and size.isdigit()):
         return "no content length"
     start, stop = end + 4, end + 4 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         return "record doesn't end"
-    block = data[start:stop]
+    block = bytes(data[start:stop])
     digest = headers.get("warc-block-digest", "")
     if digest.startswith("sha1:") and digest[5:] != base32_sha1(block):
         return "block digest differs"
-    return headers, block, stop + 4
+    return headers, block, stop + 4 - at
 
 
 class _Window:
     """A sliding window over a stream, so that a file of any size is read in bounded memory (that of its largest record)."""
 
     def __init__(self, stream) -> None:
-        self.stream, self.data, self.at, self.done = stream, b"", 0, False
+        self.stream, self.data, self.at, self.done = stream, bytearray(), 0, False
 
     def more(self) -> bool:
         if not self.done:
@@ -104,83 +116,106 @@ class _Window:
         return not self.done
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        del self.data[:n]
+        self.at += n
 
 
-def _member(window: _Window, most: int) -> tuple[bytes, int] | str:
+def _member(window: _Window, most: int | None) -> tuple[bytes, int] | str:
     """(content, bytes used) of the gzip member at the window's start."""
     unpack, fed, out, size = zlib.decompressobj(31), 0, [], 0
     try:
         while not unpack.eof:
             if fed == len(window.data) and not window.more():
                 return "member is cut short"
-            piece = unpack.decompress(window.data[fed:])
-            fed = len(window.data)
+            piece = unpack.decompress(bytes(window.data[fed : fed + CHUNK]))
+            fed = min(fed + CHUNK, len(window.data))
             size += len(piece)
-            if size > most:
-                return "member is too large"
+            if most is not None and size > most:
+                return "member is above the caller's limit"
             out.append(piece)
     except zlib.error as e:
         return f"bad member: {e}"[:60]
     return b"".join(out), fed - len(unpack.unused_data)
 
 
-def _plain(window: _Window, most: int) -> tuple[dict[str, str], bytes, int] | str:
+def _plain(window: _Window, most: int | None) -> tuple[dict[str, str], bytes, int] | str:
     """The uncompressed record at the window's start; reads on while it is incomplete."""
-    while True:
-        end = window.data.find(b"\r\n\r\n")
-        need = CHUNK
-        if end >= 0:
-            size = re.search(rb"\r\ncontent-length:[ \t]*(\d+)\r\n", window.data[: end + 2], re.I)
-            need = end + 8 + int(size[1]) if size else 0
-        if len(window.data) >= need or need > most:
-            break
-        if not window.more():
-            break
+    seen = 0
+    while (end := window.data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+        seen = len(window.data)
+        # A start that is no record's: headers are short.
+        if seen > HEADERS or not window.more():
+            return "headers don't end"
+    size = re.search(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?:\r\n|$)", bytes(window.data[:end]), re.I)
+    need = end + 8 + int(size[1]) if size else 0
+    if most is not None and need > most:
+        return "record is above the caller's limit"
+    while len(window.data) < need and window.more():
+        pass
     return parse_record(window.data)
 
 
-def salvage(stream, most: int = 1 << 30) -> Iterator[Record | Gap]:
-    """All records of a WARC stream whose checks hold, and the gaps between them, in order of offset.
+def _records_of(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str]:
+    """The records of a member's content up to the first that fails its checks, and what is wrong there (or nothing)."""
+    found, at = [], 0
+    while at < len(content):
+        record = parse_record(content, at)
+        if isinstance(record, str):
+            return found, record
+        found.append(record[:2])
+        at += record[2]
+    return found, "" if found else "empty member"
+
 
-    Members may be compressed (gzip, one record each) or plain.  Where a check fails (member checksum, version line, headers,
-    length, record end, block digest), the reader goes on byte by byte to the next place at which a whole member or record
-    passes all checks; what lies before is one gap.  Records and gaps together cover every byte once.
+def salvage(stream, most: int | None = None) -> Iterator[Record | Gap]:
+    """All records of a WARC stream (versions 1.0 and 1.1) whose checks hold, and the gaps between them, in order of offset.
+
+    Members may be compressed (gzip, one or more records each) or plain.  Where a check fails (member checksum, version line,
+    headers, length, record end, block digest), the reader goes on byte by byte to the next place at which a whole member or record
+    passes all checks; what lies before is one gap.  Records and gaps together cover every byte once: of the records in one member
+    the first has the member's bytes, and the others a length of 0 at its offset, as has a gap inside a member, whose other records are kept.
+    Records have no size limit: what is held in memory is one record, or one member's content.  A caller who must bound that sets
+    `most`; larger records are then gaps that say so.
     """
     window = _Window(stream)
     gap_at, gap_reason = None, ""
     while window.data or window.more():
-        found: Record | str
+        found: list[Record] = []
+        wrong = inside = ""
+        used = 0
         if window.data[:2] == MEMBER[:2] or len(window.data) < 3:
             got = _member(window, most)
             if isinstance(got, str):
-                found = got
+                wrong = got
             else:
-                record = parse_record(got[0])
-                if isinstance(record, str):
-                    found = record
-                elif record[2] != len(got[0]):
-                    found = "member holds more than a record"
-                else:
-                    found = Record(window.at, got[1], record[0], record[1])
+                records, inside = _records_of(got[0])
+                used = got[1]
+                found = [Record(window.at, 0 if k else used, *r) for k, r in enumerate(records)]
+                wrong = "" if found else inside
         elif window.data.startswith(b"WARC/") or len(window.data) < len(VERSION) and window.more():
-            got = _plain(window, most)
-            found = got if isinstance(got, str) else Record(window.at, got[2], got[0], got[1])
+            plain = _plain(window, most)
+            if isinstance(plain, str):
+                wrong = plain
+            else:
+                used = plain[2]
+                found = [Record(window.at, used, plain[0], plain[1])]
         else:
-            found = "neither a member nor a version line"
-        if isinstance(found, Record):
+            wrong = "neither a member nor a version line"
+        if found:
             if gap_at is not None:
-                yield Gap(gap_at, found.offset - gap_at, gap_reason)
+                yield Gap(gap_at, window.at - gap_at, gap_reason)
                 gap_at = None
-            yield found
-            window.skip(found.length)
+            yield from found
+            if inside:
+                yield Gap(window.at, 0, f"in a member: {inside}")
+            window.skip(used)
             continue
         if gap_at is None:
-            gap_at, gap_reason = window.at, found
+            gap_at, gap_reason = window.at, wrong
         # On to the next place that looks like a start.
         step = 1
         while True:
-            places = [p for p in (window.data.find(MEMBER, step), window.data.find(VERSION, step)) if p >= 0]
+            places = [p for p in (window.data.find(mark, step) for mark in (MEMBER, *VERSIONS)) if p >= 0]
             if places:
                 window.skip(min(places))
                 break
@@ -195,7 +230,7 @@ def salvage(stream, most: int = 1 << 30) -> Iterator[Record | Gap]:
 
 
 def resolve_duplicates(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, refers_to): refers_to is the response's page_id for revisits, else null.
+    """(page_id, payload_bytes, digest, payload_digest, refers_to): digest is in hexadecimal; refers_to is the response's page_id for revisits, else null.
 
     Of the records with equal payloads (UTF-8 of html, null as empty) of at least `min_bytes`, that with the largest page_id
     is the response.  Digests are combined map-side first, so a payload that a third of the pages share costs one row a task.
@@ -206,7 +241,7 @@ def resolve_duplicates(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     last = hashed.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = hashed.join(last, F.col("digest") == F.col("d"), "left")
     revisit = (F.col("payload_bytes") >= min_bytes) & (F.col("page_id") < F.col("last"))
-    return joined.select("page_id", "payload_bytes", base32_of_hex(F.col("digest")).alias("payload_digest"), F.when(revisit, F.col("last")).alias("refers_to"))
+    return joined.select("page_id", "payload_bytes", "digest", base32_of_hex(F.col("digest")).alias("payload_digest"), F.when(revisit, F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archives: int | None = None, level: int = 6) -> DataFrame:
@@ -217,29 +252,24 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archives:
     """
     spark = pages.sparkSession
     resolved = resolve_duplicates(pages, min_bytes)
-    resolved = resolved.groupBy(F.col("page_id").alias("id")).agg(F.max("refers_to").alias("refers_to"), F.collect_set(F.struct("payload_digest", "payload_bytes", "refers_to")).alias("all_of_id"))
     # Rows with one page_id and several payloads keep a digest each.
-    rows = pages.select("page_id", "url", "html").join(resolved.select("id", "all_of_id"), F.col("page_id").eqNullSafe(F.col("id")))
-    rows = rows.select("page_id", "url", "html", F.to_json("all_of_id").alias("known"))
+    resolved = resolved.groupBy(F.col("page_id").alias("id"), F.col("digest").alias("known")).agg(F.max("payload_digest").alias("payload_digest"), F.max("refers_to").alias("refers_to"))
+    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"))
+    rows = rows.join(resolved, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("known"))).select("page_id", "url", "html", "payload_digest", "refers_to")
     if archives:
         rows = rows.repartition(archives, "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         store, base = filesystem(folder)
         name = f"{base}/pages-{uuid.uuid4().hex}.warc.gz"
         n = size = 0
         sink = None
         for batch in batches:
-            for page_id, url, html, known in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if sink is None:
                     store.create_dir(base, recursive=True)
                     sink = store.open_output_stream(name, compression=None)
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                digest = base32_sha1(payload)
-                of_id = next((k for k in json.loads(known) if k["payload_digest"] == digest), {})
-                refers_to = of_id.get("refers_to")
                 ident = lambda k, d: f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{k}/{d}')}"
                 extra = [("WARC-Payload-Digest", "sha1:" + digest), ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload)))]
                 if refers_to is not None:

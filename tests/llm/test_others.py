@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,31 @@ def test_splitting_tree(spark):
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_hypergeometric_law(spark):
+    """Every draw lies in the law's support, and their frequencies follow the law, counted exactly."""
+    from dossier.llm.mixing import hypergeometric
+
+    for good, bad, drawn in ((7, 5, 6), (3, 40, 10), (0, 5, 2), (5, 0, 3), (2, 2, 0), (500, 700, 600)):
+        frame = spark.range(4000).select(F.lit(good).cast("long").alias("g"), F.lit(bad).cast("long").alias("b"), F.lit(drawn).cast("long").alias("d"), ((F.col("id") + 0.5) / 4000).alias("u"))
+        counts = Counter(r[0] for r in frame.select(hypergeometric(F.col("g"), F.col("b"), F.col("d"), F.col("u"))).collect())
+        law = {k: math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn) for k in range(max(0, drawn - bad), min(good, drawn) + 1)}
+        assert set(counts) <= set(law)
+        # The draws are the inverse at evenly spaced points, so each frequency is right within two points.
+        assert all(abs(counts[k] / 4000 - p) <= 2 / 4000 for k, p in law.items())
+
+
+def test_lay_out(spark):
+    from dossier.llm.mixing import lay_out, mix
+
+    frame = docs(spark, random_texts(300) + WEIRD)
+    mixed = mix(frame, block_docs=8, partial=False, levels=2)
+    laid = lay_out(frame, mixed)
+    assert laid.columns == [*frame.columns, "shard"]
+    want = Counter((r.doc_id, c.shard) for r in mixed.collect() for c in r.copies)
+    assert Counter((r.doc_id, r.shard) for r in laid.collect()) == want
+    assert all(len({r.shard for r in part}) <= 4 for part in laid.rdd.glom().collect())
+
+
 # ---- WARC
 
 
@@ -125,6 +151,37 @@ def test_salvage(gzip):
         assert sum(isinstance(x, Record) for x in found) >= 18 and sum(isinstance(x, Gap) for x in found) <= 2
 
 
+@pytest.mark.parametrize("gzip", [True, False])
+def test_salvage_versions_and_members(gzip):
+    """WARC/1.0 and 1.1, folded headers, several records a member, large records, and limits of the caller's."""
+    from dossier.llm.warc import Gap, format_record, gzip_member, salvage
+
+    old = lambda r: r.replace(b"WARC/1.1", b"WARC/1.0", 1)
+    one = format_record("response", "r1", "http://x", b"first", [("X-Long", "begins\r\n  and goes on\r\n\tto here")])
+    two, big = old(format_record("response", "r2", "http://y", b"second", [])), format_record("resource", "r3", "http://z", bytes(range(256)) * 12_000, [])
+    parts = [gzip_member(one + two + old(one)), gzip_member(big), gzip_member(two)] if gzip else [one, two, old(one), big, two]
+    found = list(salvage(io.BytesIO(b"".join(parts))))
+    assert [x.headers["warc-record-id"] for x in found] == ["<r1>", "<r2>", "<r1>", "<r3>", "<r2>"]
+    assert found[0].headers["x-long"] == "begins and goes on to here" and len(found[3].block) == 256 * 12_000
+    assert sum(x.length for x in found) == sum(map(len, parts))
+    less = list(salvage(io.BytesIO(b"".join(parts)), most=100_000))
+    assert [x.headers["warc-record-id"] for x in less if not isinstance(x, Gap)] == ["<r1>", "<r2>", "<r1>", "<r2>"]
+    assert any(isinstance(x, Gap) and "above" in x.reason for x in less)
+    # A record that fails inside a member leaves the others of the member.
+    if gzip:
+        half = list(salvage(io.BytesIO(gzip_member(one + two.replace(b"second", b"zecond")) + gzip_member(two))))
+        assert [type(x).__name__ for x in half] == ["Record", "Gap", "Record"] and "digest" in half[1].reason
+
+
+def test_warc_null_ids(spark):
+    from dossier.llm.warc import round_trip
+
+    rows = [(None, "u", "same"), (None, "u", "other"), (3, "u", "same"), (5, None, "same"), (5, "u", None), (None, "u", "same"), (7, "u", "x" * 300_000)]
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    want = [(None, 4, "response", None), (None, 5, "response", None), (3, 4, "revisit", 5), (5, 4, "response", None), (5, 0, "response", None), (None, 4, "response", None), (7, 300_000, "response", None)]
+    assert got == sorted(want, key=str)
+
+
 # ---- classifier
 
 
@@ -145,6 +202,43 @@ def test_classifier(spark):
     assert np.allclose(model.weights, again.weights, atol=1e-3)
 
 
+def test_prior_and_risk():
+    """The class prior from positives and unlabelled alone, and the risk's minimum against plain gradient steps on it."""
+    from dossier.llm import quality as Q
+
+    rng = np.random.default_rng(2)
+
+    def rows(n, good):
+        out = []
+        for _ in range(n):
+            words = ["the", "of", "lamp", "green", "river", "and"] if rng.random() < good else ["$$$", "!!", "buy", "NOW", "%%", "|"]
+            out.append(Q.features(" ".join(rng.choice(words, 30))))
+        x = np.stack(out)
+        at = [np.flatnonzero(r) for r in x]
+        return Q.Rows(np.concatenate(at), np.concatenate([r[a] for r, a in zip(x, at)]), np.array([len(a) for a in at]))
+
+    for share in (0.3, 0.8):
+        positive, unlabelled = rows(400, 1.0), rows(800, share)
+        prior = Q.estimate_prior(positive, unlabelled)
+        assert abs(prior - share) < 0.07
+        model = Q.fit_nnpu(positive, unlabelled, prior)
+        test = rows(400, share)
+        truth = test.dot(np.eye(Q.N_FEATURES)[0]) >= 0.7  # pair of two lower-case letters
+        assert np.mean((test.dot(model.weights) + model.bias >= 0) == truth) > 0.95
+
+
+def test_classifier_edges(spark):
+    from dossier.llm.quality import classify, train
+
+    frame = docs(spark, random_texts(60) + WEIRD + ["same", "same", "x" * 2_000_000])
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)] + [(None, 1), (3, None), (4, 0), (4, 1)], "doc_id long, quality int")
+    model = train(frame, labels)
+    got = classify(frame, model).collect()
+    assert len(got) == 60 + len(WEIRD) + 3 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.text == "same"}) == 1
+    assert classify(frame.limit(0), model).count() == 0 and train(frame.limit(0), labels) is None
+
+
 # ---- fingerprints
 
 
@@ -255,8 +349,9 @@ def test_encoder():
     e = WordEncoder(default_tokenizer())
     texts = [t for t in WEIRD + ["Σ ΑΣ <|endoftext|>x Iİ 's don't x\x1cy\x0bz ﬁ ²³ ª½ ǅ ß ẞ a b á"]]
     texts += ["".join(rng.choice([chr(rng.randrange(33, 0x250)), chr(rng.randrange(33, 127)), rng.choice(" '<|>sStTMmdD\u0085ẞ"), chr(rng.randrange(0x250, 0x3000))]) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
-    for t, got in zip(texts, e.encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
+    ids, lengths = e.encode(pa.array(texts, pa.string()))
+    for t, got in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+        assert got.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("capacity,group", [(2048, 50_000), (64, 5)])
@@ -286,6 +381,25 @@ def test_packing(spark, capacity, group):
     assert pack(frame.limit(0)).count() == 0
 
 
+def test_fitted_patterns():
+    """The fit's last prices hold for every exact pattern of two or three documents, against an enumeration of all of them."""
+    from dossier.llm.packing import fitted_patterns
+
+    rng = np.random.default_rng(3)
+    for capacity, n in ((40, 300), (40, 5), (64, 20_000)):
+        histogram = np.bincount(rng.integers(1, capacity, n), minlength=capacity + 1).astype(float)
+        patterns, x, slack = fitted_patterns(histogram, capacity)
+        assert (patterns.sum(axis=1) == capacity).all() and (x >= 0).all() and (histogram[patterns[patterns > 0]] > 0).all()
+        lacking = histogram.copy()
+        for p, k in zip(patterns, x):
+            for v in p[p > 0]:
+                lacking[v] -= k
+        have = [int(v) for v in np.flatnonzero(histogram)]
+        every = [(a, b) for a in have for b in have if a >= b and a + b == capacity] + [(a, b, capacity - a - b) for a in have for b in have if a >= b >= capacity - a - b > 0 and histogram[capacity - a - b] > 0]
+        assert max((sum(lacking[v] for v in p) for p in every), default=0) <= max(slack, 0.02) * histogram[have].mean() + 1e-9
+    assert len(fitted_patterns(np.zeros(41), 40)[0]) == 0
+
+
 def test_plan():
     from dossier.llm.packing import plan
 
