@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import EXPIRY_WARNING_DAYS, FORMATS, MINIMUM_AGE
-from .text import compact, fold_digits, let, parse_date
+from .text import compact, fold_digits, let, normalize_ocr, parse_date
 
 
 def check_digit(text: Column) -> Column:
@@ -117,3 +117,47 @@ def out_of_order(birth: Column, issue: Column, expiry: Column) -> Column:
 def yymmdd_matches(day: Column, yymmdd: Column) -> Column:
     """Whether a full date agrees with a zone date, which has no century; null if either is unknown."""
     return F.date_format(day, "yyMMdd") == fold_digits(yymmdd)
+
+
+def plausible_office(value: Column) -> Column:
+    """An office's name: no Latin letter, no digit in a word with letters, and three Arabic letters or more."""
+    plain = normalize_ocr(F.coalesce(value, F.lit("")))
+    glued = F.exists(F.split(plain, r"\s+"), lambda w: w.rlike("[0-9]") & w.rlike("[\u0621-\u064a]"))
+    return ~plain.rlike("[A-Za-z]") & ~glued & (F.regexp_count(plain, F.lit("[\u0621-\u064a]")) >= 3)
+
+
+def chronology_conflict(birth: Column, issue: Column, expiry: Column) -> Column:
+    """array of the keys whose dates (yyyy/MM/dd) stand in the wrong order: a later one may equal the earlier; unreadable dates don't count."""
+    day = lambda c: F.try_to_date(F.when(c.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), c), "yyyy/M/d")
+    wrong = lambda a, b: F.coalesce(day(a) > day(b), F.lit(False))
+    hits = [F.when(wrong(birth, issue), F.lit("birth_date")), F.when(wrong(birth, issue) | wrong(issue, expiry), F.lit("issue_date")), F.when(wrong(issue, expiry), F.lit("expiry_date"))]
+    return F.array_compact(F.array(*hits))
+
+
+def is_doubtful(probabilities: Column, occluded: Column, clutter: Column) -> Column:
+    """A digit below .8, something over it, or clutter above .3; a reading without digits is doubtful."""
+    return F.coalesce(occluded, F.lit(False)) | (F.coalesce(clutter, F.lit(0.0)) > 0.3) | (F.coalesce(F.array_min(probabilities), F.lit(0.0)) < 0.8)
+
+
+def is_unsettled(reading: Column, occluded: Column, clutter: Column) -> Column:
+    """No reading, something over it, or more than half of the ink unexplained."""
+    return (F.coalesce(reading, F.lit("")) == "") | F.coalesce(occluded, F.lit(False)) | (F.coalesce(clutter, F.lit(0.0)) > 0.5)
+
+
+def valid_id(value: Column) -> Column:
+    """32 hexadecimal digits in lower case: an id that can't lead out of its folder."""
+    return F.coalesce(value.rlike(r"\A[a-f0-9]{32}\z"), F.lit(False))
+
+
+def label(table: dict[str, str], key: Column) -> Column:
+    """A key's label from a small fixed table; else the key with blanks for underscores."""
+    found = F.lit(None).cast("string")
+    for k, v in table.items():
+        found = F.when(key == k, v).otherwise(found)
+    return F.coalesce(found, F.replace(key, F.lit("_"), F.lit(" ")))
+
+
+def card_side(has_machine_rows: Column, plain: Column, back_words: list[str], front_words: list[str]) -> Column:
+    """Side of a card from its text: machine-readable rows or words of the back, else words of the front, else unknown."""
+    some = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(plain, w))
+    return F.when(F.coalesce(has_machine_rows, F.lit(False)) | some(back_words), "back").when(some(front_words), "front").otherwise("unknown")

@@ -23,7 +23,7 @@ def reading_vote(readings: DataFrame, sure: float = 0.65, substantial: float = 0
 def year_consensus(readings: DataFrame) -> DataFrame:
     """(field, year) where no reading is full, the sure ones agree on one year, and two variants or more read it."""
     year = F.regexp_extract("value", r"^([12][0-9]{3})[0-9 /?.-]*$", 1)
-    rows = readings.withColumn("year", F.when((year != "") & year.cast("int").between(1800, 2199) & (F.col("confidence") >= 0.65), year))
+    rows = readings.withColumn("year", F.when((year != "") & year.try_cast("int").between(1800, 2199) & (F.col("confidence") >= 0.65), year))
     found = rows.groupBy("field").agg(F.bool_or("full").alias("any_full"), F.count_distinct("year").alias("years"), F.max("year").alias("year"), F.count_distinct(F.when(F.col("year").isNotNull(), F.col("variant"))).alias("variants"))
     return found.where(~F.col("any_full") & (F.col("years") == 1) & (F.col("variants") >= 2)).select("field", "year")
 

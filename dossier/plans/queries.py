@@ -776,3 +776,5 @@ def case_assessment(spark, sf_dir):
     """The full decision, from documents to verdict, with planted flaws that the SQL side counts."""
     a = decide.assess(order_documents(spark, sf_dir))
     return a.cases.select("case_id", "profile", F.col("documents").cast("int").alias("documents"), F.col("fields").cast("int").alias("fields"), F.col("routed_fields").cast("int").alias("routed_fields"), F.col("blocking_reasons").cast("int").alias("blocking_reasons"), "decision")
+
+from . import proofs  # noqa: E402,F401  more queries, registered in the same tables
