@@ -9,11 +9,20 @@ from pyspark.sql import types as T
 from ..schema import BATCH, DEFAULT_THRESHOLD
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Batch files, one JSON object each; files that can't be read are left out."""
+def _batch_files(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([*BATCH.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record is null and id is not null").drop("_corrupt_record")
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Batch files, one JSON object each; files that can't be read are left to unreadable_batches."""
+    return _batch_files(spark, path).where("_corrupt_record is null and id is not null").drop("_corrupt_record")
+
+
+def unreadable_batches(spark: SparkSession, path: str) -> DataFrame:
+    """(file, problem) of batch files that read_batches leaves out."""
+    rows = _batch_files(spark, path).select(F.input_file_name().alias("file"), F.when(F.col("_corrupt_record").isNotNull(), "not valid JSON of a batch").when(F.col("id").isNull(), "no id").alias("problem"))
+    return rows.where("problem is not null")
 
 
 def list_batches(batches: DataFrame) -> DataFrame:

@@ -40,23 +40,32 @@ def admit(requests: DataFrame, most_waiting: int = 3) -> DataFrame:
     return requests.withColumn("admitted", F.row_number().over(Window.partitionBy("queue").orderBy("ord")) <= most_waiting)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, into a table in memory, and return it; meant for tests and small tables."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def upsert_sink(path: str):
+    """A foreachBatch function that keeps versions of rows in a Parquet table: each micro-batch has a folder of its own, so a batch
+    that is run again replaces itself.  latest_rows reads the latest version of each key."""
 
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-def upsert_sink(path: str, key: str):
-    """A foreachBatch function that keeps the latest row of each key, in a Parquet table of versions.
+    return write
 
-    Each micro-batch goes to its own folder, so a batch that is run again replaces itself.
-    """
 
-    def write(rows: DataFrame, epoch: int) -> None:
-        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+def latest_rows(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The row of each key in the last micro-batch that holds the key."""
+    rows = spark.read.parquet(path)
+    names = [c for c in rows.columns if c != "epoch"]
+    latest = rows.groupBy(*key).agg(F.max_by(F.struct(*names), "epoch").alias("row"))
+    return latest.select("row.*")
 
-    return write
+
+def run_available(stream: DataFrame, path: str, key: list[str], checkpoint: str, mode: str = "update") -> DataFrame:
+    """Run a stream over what is there into a table of versions under `path`, and return the latest row of each key.
+
+    Nothing passes through the driver; a run that was interrupted goes on from its checkpoint.
+    """
+    query = stream.writeStream.outputMode(mode).foreachBatch(upsert_sink(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return latest_rows(stream.sparkSession, path, key)
 
 
 def event_counts_available(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +76,7 @@ def event_counts_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = event_stream(spark, f"{sf_dir}/events.parquet*", schema)
     counts = windowed_counts(events).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    # The shared folder of the session; one of its own only where none is named, as in tests.
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dossier-")
-    return run_available(counts, "events_" + uuid.uuid4().hex[:8], f"{base}/stream-{uuid.uuid4().hex[:8]}", "complete")
+    run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:8]}"
+    return run_available(counts, f"{run}/rows", ["start", "event_type"], f"{run}/checkpoint")
