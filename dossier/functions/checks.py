@@ -85,11 +85,14 @@ def finding(code: str, severity: str, message: Column | str) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
 
-def validate_field(key: Column, value: Column, kind: Column, today: Column, mrz_matches: Column, warning_days: int = EXPIRY_WARNING_DAYS, minimum_age: int = MINIMUM_AGE) -> Column:
-    """Findings about one field: array of struct(code, severity, message). Values are checked, never altered."""
+def validate_field(key: Column, value: Column, kind: Column, today: Column, mrz_matches: Column, warning_days: int = EXPIRY_WARNING_DAYS, minimum_age: int = MINIMUM_AGE, tight: Column | None = None, day: Column | None = None) -> Column:
+    """Findings about one field: array of struct(code, severity, message). Values are checked, never altered.
+
+    `tight` and `day`, where given, are columns that hold compact(value) and parse_date(value) already.
+    """
     v = F.trim(F.coalesce(value, F.lit("")))
-    tight = compact(v)
-    day = parse_date(v)
+    tight = compact(v) if tight is None else tight
+    day = parse_date(v) if day is None else day
     is_date = key.endswith("_date")
     age = F.year(today) - F.year(day) - F.when(F.date_format(today, "MMdd") < F.date_format(day, "MMdd"), 1).otherwise(0)
     bad_format = F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..operators import extract, geography, layout, learning, measure, people, resolve, vote
+from ..operators import decide, extract, geography, layout, learning, measure, people, resolve, vote
 from .queries import query, t
 
 _CONF_SQL = "((event_id * 37) % 101) / 100.0"
@@ -576,3 +576,71 @@ def ids_labels_sides(spark, sf_dir):
     key = F.when(F.col("o_orderstatus") == "F", "F").when(F.col("o_orderstatus") == "P", "P").otherwise("open_order")
     plain = F.concat_ws(" ", F.when(k % 7 == 0, "VALID UNTIL 2030"), F.when(k % 2 == 0, "GIVEN NAME"))
     return t(spark, sf_dir, "orders").select("o_orderkey", checks.valid_id(ident).alias("ok"), checks.label({"F": "Finished order", "P": "In progress"}, key).alias("label"), checks.card_side(k % 5 == 0, plain, ["VALID UNTIL", "ISSUED BY"], ["GIVEN NAME"]).alias("side"))
+
+
+# ---- parts of the decision
+
+
+@query(
+    """WITH d AS (SELECT o_custkey AS case_id, o_orderkey % 6 AS k, CASE o_orderkey % 6 WHEN 0 THEN 'national_id/front' WHEN 1 THEN 'national_id/back' WHEN 2 THEN 'passport/page' WHEN 3 THEN 'business_license/page' WHEN 4 THEN 'tax_card/page' ELSE 'unknown/unknown' END AS face FROM orders WHERE o_orderkey % 6 <> 5 OR o_orderkey % 4 = 3),
+p AS (SELECT c_custkey AS case_id, c_custkey % 2 = 1 AS merchant, coalesce(list(DISTINCT face) FILTER (face IS NOT NULL), []) AS faces, count(*) FILTER (k = 5) AS unidentified FROM customer LEFT JOIN d ON c_custkey = d.case_id GROUP BY ALL),
+r AS (SELECT *, unnest(CASE WHEN merchant THEN ['identity', 'business_license', 'tax_card'] ELSE ['identity'] END) AS requirement FROM p),
+m AS (SELECT *, list_filter(['national_id/back', 'national_id/front'], lambda x: NOT list_contains(faces, x)) AS m1, list_filter(['passport/page'], lambda x: NOT list_contains(faces, x)) AS m2, list_filter([requirement || '/page'], lambda x: NOT list_contains(faces, x)) AS m3 FROM r),
+c AS (SELECT *, CASE WHEN requirement <> 'identity' THEN m3 WHEN len(m1) <= len(m2) THEN m1 ELSE m2 END AS missing FROM m)
+SELECT case_id, requirement, unidentified, len(missing) = 0 AS satisfied, array_to_string(missing, ',') AS missing FROM c"""
+)
+def case_requirements(spark, sf_dir):
+    """What each case's profile requires and lacks: of several options the one that lacks least."""
+    k = F.col("o_orderkey") % 6
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("national_id", "national_id", "passport", "business_license", "tax_card", "unknown")]), (k + 1).cast("int"))
+    side = F.element_at(F.array(*[F.lit(x) for x in ("front", "back", "page", "page", "page", "unknown")]), (k + 1).cast("int"))
+    fields = F.when((k != 5) | (F.col("o_orderkey") % 4 == 3), F.array(F.lit("name"))).otherwise(F.array().cast("array<string>"))
+    docs = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), kind.alias("kind"), side.alias("side"), fields.alias("fields"))
+    profiles = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_custkey") % 2 == 1, "merchant").otherwise("individual").alias("profile"))
+    return decide.requirements(docs, profiles).select("case_id", "requirement", "unidentified", "satisfied", F.array_join("missing", ",").alias("missing"))
+
+
+_READ = "SELECT l_orderkey AS case_id, l_linenumber AS doc_no, 'N' || min(l_partkey) % 3 AS number, strftime(min(l_shipdate), '%Y/01/01') AS birth, max(round(l_discount * 10, 2)) AS raw, 0.85 + max(l_discount) AS confidence FROM lineitem GROUP BY ALL"
+
+
+def _line_documents(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("doc_no"))
+    rows = rows.agg(F.concat(F.lit("N"), (F.min("l_partkey") % 3).cast("string")).alias("number"), F.date_format(F.min("l_shipdate"), "yyyy/01/01").alias("birth"), F.max(F.round(F.col("l_discount") * 10, 2)).alias("raw"), (F.max("l_discount") + 0.85).alias("confidence"))
+    return rows.withColumn("doc_id", F.concat_ws("-", F.col("case_id").cast("string"), F.col("doc_no").cast("string"))).withColumns({"kind": F.lit("passport"), "side": F.lit("page")})
+
+
+@query(
+    f"""WITH r AS ({_READ}), p AS (SELECT a.case_id, a.doc_no, max(b.raw) AS other FROM r a JOIN r b ON a.case_id = b.case_id AND a.number = b.number AND a.doc_no <> b.doc_no GROUP BY ALL),
+v AS (SELECT r.case_id, r.doc_no, raw, CASE WHEN other IS NOT NULL THEN least(0.99, 1 - (1 - raw) * (1 - other)) END AS together FROM r LEFT JOIN p USING (case_id, doc_no))
+SELECT case_id, doc_no, round(CASE WHEN together > raw THEN together ELSE raw END, 4) AS raw, CASE WHEN together > raw THEN 'corroborated' ELSE 'ocr' END AS basis FROM v"""
+)
+def corroborated_numbers(spark, sf_dir):
+    """Numbers that two documents of a case state are raised by the best partner, as independent evidence."""
+    rows = _line_documents(spark, sf_dir).withColumns({"key": F.lit("national_number"), "value": F.col("number"), "basis": F.lit("ocr")})
+    return decide.corroborate(rows).select("case_id", "doc_no", F.round("raw", 4).alias("raw"), "basis")
+
+
+@query(
+    f"""WITH r AS ({_READ}), f AS (SELECT *, first_value(birth) OVER (PARTITION BY case_id ORDER BY doc_no) AS first_birth FROM r)
+SELECT case_id, 'birth_date_match' AS "check", CASE WHEN NOT bool_and(birth = first_birth) THEN 'fail' WHEN min(confidence) >= 0.9 THEN 'pass' ELSE 'unverifiable' END AS status FROM f GROUP BY case_id HAVING count(*) >= 2"""
+)
+def cross_checked_dates(spark, sf_dir):
+    """Every reading of a shared fact against the first one of the case."""
+    rows = _line_documents(spark, sf_dir).withColumns({"key": F.lit("birth_date"), "value": F.col("birth")})
+    return decide.cross_checks(rows, 0.9).select("case_id", "check", "status")
+
+
+@query("""SELECT o_orderkey, sha256('{"c0":' || o_custkey || ',"c1":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}') AS digest FROM orders""")
+def value_digest(spark, sf_dir):
+    """A digest of values that tells nulls from empty texts."""
+    return t(spark, sf_dir, "orders").select("o_orderkey", resolve.digest(F.col("o_custkey"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus"))).alias("digest"))
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, replace(upper(p_name), ' ', '') AS tight FROM part), s AS (SELECT p_partkey, 3 * CAST(contains(tight, 'COLD') AS INTEGER) + 2 * CAST(contains(tight, 'BOLT') AS INTEGER) AS a, 4 * CAST(contains(tight, 'GET') AS INTEGER) + 1 * CAST(contains(tight, 'COLD') AS INTEGER) AS b FROM c)
+SELECT p_partkey, CASE WHEN greatest(a, b) >= 4 AND abs(a - b) >= 2 THEN CASE WHEN a >= b THEN 'cold bolt' ELSE 'widget' END ELSE 'unknown' END AS kind, greatest(a, b) AS score FROM s"""
+)
+def phrase_kinds(spark, sf_dir):
+    """Kinds by weighted phrases with a margin; short phrases allow no slip."""
+    rows = t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return extract.classify(rows, {"cold bolt": [("COLD", 3), ("BOLT", 2)], "widget": [("GET", 4), ("COLD", 1)]}, text="p_name").select("p_partkey", "kind", "score")
