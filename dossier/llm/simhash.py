@@ -213,6 +213,8 @@ SKETCH_CELLS = 3**SKETCH_SEGMENTS
 LOOSE = 36
 #: Cells of up to so many sketches are compared pairwise.
 MANY = 256
+#: Links that a task joins before it hands them on.
+HELD_LINKS = 1_000_000
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -238,8 +240,28 @@ def sketch_cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(cells)
 
 
+def _join_labels(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Give x[k] and y[k] and all they lead to one label, the least; label[k] is k before."""
+    while len(x):
+        # Labels are roots here: the later root goes below the earlier one.
+        np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+        while not np.array_equal(label, label[label]):
+            label[:] = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+
+
+def spanning_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect what the links (a, b) connect: each node to the least of its component."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(nodes))
+    _join_labels(label, place[: len(a)], place[len(a) :])
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
 def _loosely_linked(cells: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (indices) of the pairs within LOOSE bits in whole cells, sorted by cell; (a, b) are the 128 bits."""
+    """Links (indices) of each sketch in whole cells, sorted by cell, to the first one that pairs within LOOSE bits lead to; (a, b) are the 128 bits."""
     starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
     sizes = np.diff(np.append(starts, len(cells)))
     label = np.arange(len(cells))
@@ -254,25 +276,19 @@ def _loosely_linked(cells: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np
         left.append(hit)
         right.append(hit + d)
     if left:
-        x, y = np.concatenate(left), np.concatenate(right)
-        while len(x):
-            # Labels are roots here: the later root goes below the earlier one.
-            np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
-            while not np.array_equal(label, label[label]):
-                label = label[label]
-            apart = label[x] != label[y]
-            x, y = x[apart], y[apart]
+        _join_labels(label, np.concatenate(left), np.concatenate(right))
     for g in np.flatnonzero(sizes > MANY):
         rest = np.arange(starts[g], starts[g] + sizes[g])
         queue: list[int] = []
         while len(rest) or queue:
             if not queue:
-                queue.append(int(rest[0]))
+                root = int(rest[0])
+                queue.append(root)
                 rest = rest[1:]
             seed = queue.pop()
             near = np.bitwise_count(a[rest] ^ a[seed]).astype(np.int16) + np.bitwise_count(b[rest] ^ b[seed]) <= LOOSE
             found, rest = rest[near], rest[~near]
-            label[found] = seed
+            label[found] = root
             queue.extend(found.tolist())
     linked = np.flatnonzero(label != np.arange(len(label)))
     return linked, label[linked]
@@ -352,21 +368,34 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, vie
     def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
-        def emit(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        kept: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+        def add(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Links of many cells are joined before they go out, so that a group of near copies costs a link each, not one a cell."""
             x, y = _loosely_linked(c, a, b)
-            rows = np.unique(np.stack([np.minimum(a[x], a[y]), np.maximum(a[x], a[y])], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in range(2)], ["a", "b"])
+            kept[:] = [np.concatenate([kept[0], a[x]]), np.concatenate([kept[1], a[y]])]
+            if len(kept[0]) > HELD_LINKS:
+                kept[:] = spanning_links(*kept)
+                if len(kept[0]) > HELD_LINKS // 2:
+                    yield out()
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(x.view(np.int64)) for x in spanning_links(*kept)]
+            kept[:] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
         for batch in batches:
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             new = [np.concatenate([h, n if k == 0 else n.view(np.uint64)]) for k, (h, n) in enumerate(zip(held, new))]
             whole = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
             if whole > 50_000:
-                yield emit(*[n[:whole] for n in new])
+                yield from add(*[n[:whole] for n in new])
                 new = [n[whole:] for n in new]
             held = new
         if len(held[0]):
-            yield emit(*held)
+            yield from add(*held)
+        if len(kept[0]):
+            yield out()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, sets = None, [], []
