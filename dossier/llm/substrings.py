@@ -374,7 +374,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     rows = scratch(rows.where((F.col("n") > 1) | F.col("single")).select("gram", "run", "weight", "kd", "kt", "place", "first", "last", "n", "single", "nth"), "candidates")
     known = [sampled.where("kind = 1").select("kd", "kt", "first", F.col("last").alias("stop")), rows.where("n > 1").select("kd", "kt", "first", (F.col("last") + length).alias("stop"))]
     wanted = rows.where("single and nth = 1").select("gram", F.when(F.col("n") > 1, 2).otherwise(1).alias("weight"), "kd", "kt", "place", "first", "last")
-    nodes = _contexts(docs, wanted, kind_of_id, length, window)
+    nodes = scratch(_contexts(docs, wanted, kind_of_id, length, window), "nodes")
     while True:
         settled = scratch(_refine(nodes, kind_of_id, length, bucket_bytes), "settled")
         known.append(settled.where("bytes is null").select("kd", "kt", "first", (F.col("first") + F.col("shift")).alias("stop")))
@@ -401,7 +401,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKE
     spans = repeated_spans(keyed, length, bucket_bytes).withColumnRenamed("kd", "_wd").withColumnRenamed("kt", "_wt").withColumnRenamed("spans", "_spans")
     names = list(docs.columns) if keep else ["doc_id", "text"]
     plain = docs.select(*names)
-    joined = plain.join(spans, F.col("doc_id").eqNullSafe(F.col("_wd")) & (F.xxhash64("text") == F.col("_wt")), "left").select(*names, "_spans")
+    fresh = "_spans" + "_" * max(map(len, names))
+    on = F.col("p.doc_id").eqNullSafe(F.col("s._wd")) & (F.xxhash64("p.text") == F.col("s._wt"))
+    joined = plain.alias("p").join(spans.alias("s"), on, "left").select(*[F.col(f"p.`{n}`") for n in names], F.col("s._spans").alias(fresh))
     at = names.index("text")
 
     def cuts(found: list | None) -> np.ndarray:
