@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Blocks of one source at most: what a window over a source's blocks holds, and how finely its rest is cut before documents are ordered.
+BLOCKS = 65_536
+#: Blocks of a shard, about.
+SHARD_BLOCKS = 256
 
 
 def _uniform(*parts: Column) -> Column:
@@ -46,13 +52,52 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def hypergeometric(good: Column, bad: Column, drawn: Column, u: Column) -> Column:
+    """How many of `drawn` draws without replacement from good + bad items are good: the law's inverse at u in [0, 1).
+
+    The law's weights follow from each other by ratios, from the mode on: first upwards, then downwards, as far as 12 standard
+    deviations and 20 more to either side (beyond lies less than 1e-30), so a draw of n items takes about 24 sqrt(n) / 2 steps.
+    """
+    total = good + bad
+    low, high = F.greatest(F.lit(0).cast("long"), drawn - bad), F.least(good, drawn)
+    mode = F.greatest(low, F.least(high, F.floor((drawn + 1.0) * (good + 1.0) / (total + 2.0)).cast("long")))
+    share = good / F.greatest(total, F.lit(1).cast("long"))
+    spread = F.sqrt(drawn * share * (1.0 - share) * (total - drawn) / F.greatest(total - 1, F.lit(1).cast("long")))
+    reach = (F.ceil(12 * spread) + 20).cast("long")
+    up = F.sequence(mode, F.least(high, mode + reach))
+    down = F.when(F.greatest(low, mode - reach) < mode, F.sequence(mode - 1, F.greatest(low, mode - reach), F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>"))
+
+    def rise(k: Column) -> Column:  # weight of k + 1 over that of k
+        return (good - k) * 1.0 * (drawn - k) / ((k + 1.0) * (bad - drawn + k + 1))
+
+    def fall(k: Column) -> Column:  # weight of k - 1 over that of k
+        return k * 1.0 * (bad - drawn + k) / ((good - k + 1.0) * (drawn - k + 1))
+
+    one, none = F.lit(1.0), F.lit(None).cast("long")
+    first = F.when(mode > low, fall(mode)).otherwise(0.0)
+
+    def weigh(ratio):
+        return lambda s, k: F.struct((s["w"] * F.coalesce(ratio(k), F.lit(0.0))).alias("w"), (s["sum"] + s["w"]).alias("sum"))
+
+    def pick(ratio):
+        hit = lambda s: s["k"].isNull() & (s["left"] < s["w"])
+        return lambda s, k: F.struct((s["w"] * F.coalesce(ratio(k), F.lit(0.0))).alias("w"), (s["left"] - F.when(s["k"].isNull() & ~hit(s), s["w"]).otherwise(0.0)).alias("left"), F.when(hit(s), k).otherwise(s["k"]).alias("k"))
+
+    above = F.aggregate(up, F.struct(one.alias("w"), F.lit(0.0).alias("sum")), weigh(rise))["sum"]
+    below = F.aggregate(down, F.struct(first.alias("w"), F.lit(0.0).alias("sum")), weigh(fall))["sum"]
+    upper = F.aggregate(up, F.struct(one.alias("w"), (u * (above + below)).alias("left"), none.alias("k")), pick(rise))
+    lower = F.aggregate(down, F.struct(first.alias("w"), upper["left"].alias("left"), upper["k"].alias("k")), pick(fall))
+    return F.coalesce(lower["k"], mode)
+
+
 def split_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     """Deal exact numbers of blocks among 2**levels shards by recursive multivariate-hypergeometric splits.
 
     `quotas` has (source, blocks), one row a source.  At each node of the tree half of the node's blocks (rounded down) go
-    left; how many of each source do is a draw without replacement, made block by block: the next block goes left with
-    probability (places left) / (blocks left).  Every shard thus gets an exact number of blocks, and what it holds of each
-    source is distributed as in a full random permutation, although only counts are moved.
+    left; how many of each source do is a draw without replacement: source after source, hypergeometric in the source's
+    blocks, those of the sources still to come, and the places left.  Every shard thus gets an exact number of blocks, and
+    what it holds of each source is distributed as in a full random permutation, although only counts are moved.
+    A node is one row with a count for each source; nodes are split in parallel.
     Returns (source, shard, n, start): n blocks of the source's permuted sequence from `start` on, disjoint over shards.
     """
     state = quotas.where("blocks > 0").groupBy().agg(F.array_sort(F.collect_list(F.struct("source", F.col("blocks").cast("long").alias("n")))).alias("left_over"))
@@ -60,43 +105,41 @@ def split_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
 
     def drawing(level: int):
         def draw(acc: Column, x: Column) -> Column:
-            one = F.aggregate(
-                F.when(x["n"] > 0, F.sequence(F.lit(1).cast("long"), x["n"])).otherwise(F.array().cast("array<long>")),
-                F.struct(acc["places"].alias("places"), acc["blocks"].alias("blocks"), F.lit(0).cast("long").alias("took")),
-                lambda s, k: F.struct(
-                    (s["places"] - F.when(_uniform(F.lit(seed), F.lit(level), F.col("node"), x["source"], k) * s["blocks"] < s["places"], 1).otherwise(0)).cast("long").alias("places"),
-                    (s["blocks"] - 1).cast("long").alias("blocks"),
-                    (s["took"] + F.when(_uniform(F.lit(seed), F.lit(level), F.col("node"), x["source"], k) * s["blocks"] < s["places"], 1).otherwise(0)).cast("long").alias("took"),
-                ),
-            )
-            return F.struct(one["places"].alias("places"), one["blocks"].alias("blocks"), F.concat(acc["taken"], F.array(one["took"])).alias("taken"))
+            took = hypergeometric(x["n"], acc["blocks"] - x["n"], acc["places"], _uniform(F.lit(seed), F.lit(level), F.col("node"), x["source"]))
+            # The draw stands in an array of one, so that it is made once.
+            return F.transform(F.array(took), lambda t: F.struct((acc["places"] - t).alias("places"), (acc["blocks"] - x["n"]).alias("blocks"), F.concat(acc["taken"], F.array(t)).alias("taken")))[0]
 
         return draw
 
     for level in range(levels):
         total = F.aggregate("left_over", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        state = state.withColumn("total", total)
         dealt = F.aggregate("left_over", F.struct(F.floor(F.col("total") / 2).cast("long").alias("places"), F.col("total").alias("blocks"), F.array().cast("array<long>").alias("taken")), drawing(level))
-        state = state.withColumn("total", total).withColumn("taken", dealt["taken"])
+        state = state.withColumn("taken", dealt["taken"])
         left = F.zip_with("left_over", "taken", lambda x, t: F.struct(x["source"].alias("source"), t.alias("n")))
         right = F.zip_with("left_over", "taken", lambda x, t: F.struct(x["source"].alias("source"), (x["n"] - t).alias("n")))
         state = state.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("left_over")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("left_over")))).alias("x")).select("x.*")
+        if level % 4 == 3:
+            state = scratch(state.repartition("node"), "nodes")
     leaves = state.select(F.col("node").alias("shard"), F.explode("left_over").alias("x")).select("x.source", "shard", "x.n").where("n > 0")
     start = F.sum("n").over(Window.partitionBy("source").orderBy("shard")) - F.col("n")
     return leaves.withColumn("start", start)
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, levels: int = 4, block_docs: int = 256, seed: int = 0, partial: bool = True) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, levels: int | None = None, block_docs: int = 256, seed: int = 0, partial: bool = True) -> DataFrame:
     """Take words of every source near its target, and deal what is taken among 2**levels output shards.
 
-    docs: (doc_id, text, source, ...); other columns are ignored.  A source takes whole passes over its documents and then,
-    for the rest of its target, permuted blocks of about `block_docs` documents until the rest is used up.  Inside the one
+    docs: (doc_id, text, source, ...); other columns are ignored.  A source's quota is whole passes over its blocks and then,
+    for the rest of its target, permuted blocks until the rest is used up.  Blocks have about `block_docs` documents, more where
+    a source would have over BLOCKS of them.  The splitting tree deals each source's quota of blocks among shards (`levels`: as many as
+    give a shard about SHARD_BLOCKS blocks, 4 at least), and a document is taken as often as the tree has dealt its block.  Inside the one
     block that the rest ends in, documents are taken in permuted order, and the document at the end in part (`partial`) or
     whole if that is nearer.  All draws are hashes of doc_id and `seed`, so reruns agree.
 
     Returns a row for each input row: doc_id, size, source_size, target, taken, copies (array of (copy, shard, place): one for
     each copy taken, whole or in part; shards hold what the splitting tree gives them, in an order shuffled within the
     shard by `place`).
-    Null texts and texts of white space have size 0 and are never taken.  A null source is a source.  A source of size 0 has
+    Null texts and texts of white space have size 0 and are never taken.  A very long text is one document of its size.  A null source is a source.  A source of size 0 has
     target 0.  Rows with equal doc_id are separate documents drawn together.  An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
@@ -108,7 +151,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
         goals.join(held, F.col("source").eqNullSafe(F.col("held_source"))).drop("held_source")
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
-        .withColumn("n_blocks", F.ceil(F.col("n_docs") / block_docs).cast("long"))
+        .withColumn("n_blocks", F.least(F.ceil(F.col("n_docs") / block_docs).cast("long"), F.lit(BLOCKS)))
     )
     goals = goals.withColumnRenamed("source", "goal_source")
     rows = rows.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
@@ -124,7 +167,11 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
     units = blocks.withColumn("n_units", F.col("passes") + F.when((F.col("room") > 0) & (F.col("words") > 0), 1).otherwise(0))
     numbered = Window.partitionBy("source").orderBy("rank")
     units = units.withColumn("first_unit", F.sum("n_units").over(numbered) - F.col("n_units"))
+    units = scratch(units, "units")
     quotas = units.groupBy("source").agg(F.sum("n_units").alias("blocks"))
+    if levels is None:
+        # One number for the whole mix.
+        levels = max(4, math.ceil(math.log2(max(1, quotas.agg(F.sum("blocks")).first()[0] or 0) / SHARD_BLOCKS)))
     runs = split_tree(quotas, levels, seed + 3).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("start", "n", "shard"))).alias("runs")).withColumnRenamed("source", "run_source")
     units = units.join(runs, F.col("source").eqNullSafe(F.col("run_source")), "left").withColumn(
         "shards",
@@ -136,7 +183,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
             ),
         ).otherwise(F.array().cast("array<long>")),
     )
-    placed = units.select(F.col("source").alias("block_source"), F.col("block").alias("block_no"), "room", "words", "shards")
+    # Whole passes that the tree has dealt of the block; the rest's copy, where there is one, is the last.
+    whole = F.size(F.filter("shards", lambda x: x.isNotNull())) - (F.col("n_units") - F.col("passes"))
+    placed = units.select(F.col("source").alias("block_source"), F.col("block").alias("block_no"), "room", "words", "shards", whole.cast("long").alias("whole"))
 
     rows = rows.join(placed, F.col("source").eqNullSafe(F.col("block_source")) & (F.col("block") == F.col("block_no")))
     # Only the block in which the rest ends needs an order of its documents; it has about block_docs of them.
@@ -149,11 +198,24 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS,
     ended = ended.withColumn("extra", extra).drop("free")
     others = rows.where(~cut).withColumn("extra", F.when(F.col("room") > 0, F.col("size")).otherwise(0))
     rows = ended.unionByName(others)
-    n_copies = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).otherwise(0)
+    n_copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).otherwise(0)
     rows = rows.withColumn("n_copies", n_copies)
     copies = F.when(
         F.col("n_copies") > 0,
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_copies").cast("long") - 1), lambda k: F.struct(k.alias("copy"), F.element_at("shards", (k + 1).cast("int")).alias("shard"), F.xxhash64(F.lit(seed + 4), "key", k).alias("place"))),
     ).otherwise(F.array().cast("array<struct<copy:bigint,shard:bigint,place:bigint>>"))
-    taken = F.when(F.col("size") > 0, F.col("passes") * F.col("size") + F.col("extra")).otherwise(0).cast("long")
+    taken = F.when(F.col("size") > 0, F.col("whole") * F.col("size") + F.col("extra")).otherwise(0).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+
+
+def lay_out(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """All columns of docs and `shard`: a row for each copy that `mixed` (of mix) takes, dealt by shard and shuffled inside it by place.
+
+    docs have one row for each doc_id.  Columns of docs called shard are replaced.
+    """
+    taken = mixed.where(F.size("copies") > 0).select(F.col("doc_id").alias("_taken_id"), F.explode("copies").alias("_copy")).select("_taken_id", F.col("_copy.shard").alias("_shard"), F.col("_copy.place").alias("_place"))
+    plain = docs.drop("shard")
+    ends = plain.select(F.struct(*[F.col(c) for c in plain.columns]).alias("_row"))
+    joined = ends.join(taken, F.col("_row.doc_id").eqNullSafe(F.col("_taken_id")))
+    dealt = joined.repartition("_shard").sortWithinPartitions("_shard", "_place")
+    return dealt.select("_row.*", F.col("_shard").alias("shard"))

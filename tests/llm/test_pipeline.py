@@ -37,9 +37,9 @@ def test_near_duplicates(stages):
     shingles = {k: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for k, t in before.items()}
     alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
     assert set(after) <= set(before)
-    assert not any(a < b and alike(a, b) >= 0.9 for a in after for b in after)
+    assert not any(a < b and alike(a, b) >= 0.8 for a in after for b in after)
     for gone in set(before) - set(after):
-        assert any(alike(gone, k) >= 0.5 for k in before if k < gone)
+        assert any(alike(gone, k) >= 0.8 for k in before if k != gone)
 
 
 def test_substrings(stages):
@@ -97,3 +97,53 @@ def test_near_duplicates_by_similarity(spark):
     assert len(sets) - len(due) > 100
     assert due <= kept  # nothing goes without a chain of pairs of .8 or more
     assert len(kept - due) <= 0.03 * (len(sets) - len(due))
+
+
+CLASHING = ["_gone", "_id", "_n", "_copies", "_copy", "_wd", "_wt", "_spans", "gone", "id", "n", "kd", "kt", "spans", "score", "predicted", "shard", "copies", "size", "rank", "least", "key", "component_id"]
+
+
+def edge_documents(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and extra columns with names that stages use."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    twin = words(120)
+    texts = [words(60) for _ in range(30)] + [None, "", "  \n\t", "x", twin, twin, twin + " end", words(40_000), "é" * 500]
+    rows = [(k, t, "en", ["a", "b", None][k % 3], len(t or "")) for k, t in enumerate(texts)]
+    rows += [(5, texts[5], "en", "b", len(texts[5])), (None, words(50), None, None, None), (None, None, None, None, None)]
+    extra = [tuple(f"{c}{k}" for c in CLASHING) for k in range(len(rows))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    return spark.createDataFrame([r + e for r, e in zip(rows, extra)], schema), rows
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_edges(spark, at):
+    docs, rows = edge_documents(spark)
+    name, stage = corpus_pipeline.STAGES[at]
+    if at == 0:
+        # score and predicted stand for what the classifier adds; they are kept as they came.
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and {r.doc_id for r in got.collect()} <= {r[0] for r in rows}
+        assert all(r.score.startswith("score") for r in got.collect())
+    elif at == 1:
+        got = stage(spark, docs, SF).collect()
+        kept = Counter(r.doc_id for r in got)
+        assert kept[None] == 2 and kept[5] == 1 and kept[30] == 1 and not kept[31] and not kept[32] and kept[34] == 1 and not kept[35] and not kept[36]
+        assert all(r["_gone"].startswith("_gone") for r in got)
+    elif at == 2:
+        got = stage(spark, docs, SF).collect()
+        assert len(got) == len(rows) and all(r["_spans"].startswith("_spans") for r in got)
+        # The twins are 200 bytes and longer and repeat whole, but for the end of the third.
+        by = {r.doc_id: r for r in got if r.doc_id is not None}
+        assert by[34].text == "" and by[35].text == "" and len(by[36].text) <= 4 and by[34].n_chars == 0 and by[30].text is None and by[0].text == rows[0][1]
+    elif at == 3:
+        once = docs.dropDuplicates(["doc_id"])
+        got = stage(spark, once, SF)
+        assert got.columns == docs.columns
+        texts = {r.doc_id: r.text for r in once.collect()}
+        for r in got.collect():
+            assert r.text == texts[r.doc_id] and r.text.split() and r["_copy"].startswith("_copy")
+    else:
+        got = stage(spark, docs, SF).collect()
+        assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(r[0] for r in rows)
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.count() == 0
