@@ -13,7 +13,11 @@ from dossier.llm.common import shared_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of good quality; it learns from the labels of what comes in."""
+    """Documents that the classifier predicts to be of good quality; it learns from the labels of what comes in.
+
+    Null and empty texts are scored like any other.  Rows that repeat a doc_id are judged each by its text; so are rows without one.
+    Without positive labels every document stays.  An empty table stays empty.
+    """
     from dossier.llm.quality import classify, train
 
     return classify(docs, train(docs, table(spark, sf_dir, "labels")), keep_only=True)
@@ -22,22 +26,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group: five-word shingle sets of Jaccard similarity .8 or more, and chains of them.
 
-    Rows that share a doc_id are one document here, of which any stays.  Rows without a doc_id are kept.
+    Texts without words (null, empty, white space) have equal sets, and are one group.  Rows that share a doc_id are one document
+    here, of which any stays.  Rows without a doc_id are kept.  An empty table stays empty.
     """
     from dossier.llm.simhash import similar_documents
 
     groups = similar_documents(docs.where("doc_id is not null"), shingle=5, least=0.8)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 and _id is not null")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")
+    repeated = docs.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id")
     if not repeated.take(1):
         return kept
-    once = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    same = F.col("d.doc_id") == F.col("r.id")
+    once = kept.alias("d").join(repeated.alias("r"), same, "left_semi").dropDuplicates(["doc_id"])
+    return kept.alias("d").join(repeated.alias("r"), same, "left_anti").unionByName(once)
 
 
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 200 bytes or more that also occur elsewhere; n_chars follows the text."""
+    """Documents without the passages of 200 bytes or more that also occur elsewhere; n_chars follows the text.
+
+    Every row stays, null and emptied texts too; what a long text repeats of itself goes as well.  An empty table stays empty.
+    """
     from dossier.llm.substrings import deduplicate
 
     cut = deduplicate(docs, keep=True)
@@ -45,13 +54,14 @@ def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, a row for each whole copy; documents are not cut."""
-    from dossier.llm.mixing import mix
+    """The documents that the mix takes, a row for each whole copy, laid out by shard and shuffled inside it; documents are not cut.
+
+    Null and empty texts, which have no words, are never taken.  An empty table stays empty.
+    """
+    from dossier.llm.mixing import lay_out, mix
 
     # The stage before the last but one left one row for each doc_id.
-    taken = mix(docs, partial=False).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.size("copies")).alias("_copies")).where("_copies > 0")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return lay_out(docs, mix(docs, partial=False)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
