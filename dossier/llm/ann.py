@@ -7,9 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import filesystem, shared_path
+
 
 @dataclass
 class Codebooks:
@@ -97,7 +101,7 @@ class Block:
         # Copies of a vector tie, and ties go to the smaller id: no more than `keep` of them can be among the nearest.
         self.ids = [ids[by[s:e][:keep]] for s, e in zip(starts, [*starts[1:], len(ids)])]
         self.vectors = vectors[first].astype(np.float64)
-        self.lengths = np.linalg.norm(self.vectors, axis=1)
+        self.lengths = norms(self.vectors)
         unit = (self.vectors / self.lengths[:, None]).astype(np.float32)
         self.codes = books.encode(unit)
         self.norms = (books.decode(self.codes) ** 2).sum(axis=1)
@@ -106,7 +110,7 @@ class Block:
     def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> list[tuple[int, int, float]]:
         """(query id, id, cosine): the k best of this block for each query, reranked exactly from `rerank` by lookup tables."""
         rows: list[tuple[int, int, float]] = []
-        lengths = np.linalg.norm(queries, axis=1)
+        lengths = norms(queries)
         unit = (queries / lengths[:, None]).astype(np.float32)
         for at in range(0, len(ids), 128):
             part = unit[at : at + 128]
@@ -119,7 +123,7 @@ class Block:
             for q in range(len(part)):
                 own = int(ids[at + q])
                 best = found[q]
-                cosine = (self.vectors[best] @ queries[at + q]) / (self.lengths[best] * lengths[at + q])
+                cosine = cosines(self.vectors[best], self.lengths[best], queries[at + q], lengths[at + q])
                 top = np.argsort(-cosine, kind="stable")
                 hits: list[tuple[float, int]] = []
                 for j in top:
@@ -131,6 +135,15 @@ class Block:
         return rows
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+def cosines(rows: np.ndarray, lengths: np.ndarray, query: np.ndarray, length: float) -> np.ndarray:
+    """Cosines of the rows with a query, each row summed by itself: equal vectors have equal scores in every block."""
+    return (rows * query).sum(axis=1) / (lengths * length)
+
+
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     """Vectors of `dim` components without null or non-finite ones, and not zero, as (vec_id long, v array<double>)."""
     v = F.col("embedding").cast("array<double>")
@@ -142,14 +155,24 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if len(column) else np.zeros((0, dim))
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = 1500, sample: int = 12_000, levels: int = 8, words: int = 256, block_rows: int = 16_384) -> DataFrame:
+def query_slices(folder: str, slice_rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a table in the shared folder, a slice at a time."""
+    store, base = filesystem(folder)
+    for info in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda f: f.path):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as source:
+                yield from pq.ParquetFile(source).iter_batches(slice_rows)
+
+
+def search(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = 1500, sample: int = 12_000, levels: int = 8, words: int = 256, block_rows: int = 65_536, slice_rows: int = 2_048) -> DataFrame:
     """The k nearest rows by cosine of every row whose vec_id is divisible by `every`, the row itself excepted.
 
     vectors: (vec_id, embedding, ...); other columns are ignored.  Vectors that are null, zero, or hold a null or non-finite
     component take no part, nor do those of another length than most have.  Codebooks are fitted on about `sample` vectors
-    chosen by a hash (a documented bound); every vector is encoded.  Vectors are dealt by a hash of their id into blocks of
-    about `block_rows`; each block meets the queries, streamed in sorted order, in one task that holds one block's codes and
-    vectors and answers each query with k rows, so what a task holds and what moves on doesn't depend on the table's size.
+    chosen by a hash (a documented bound); every vector is encoded.  Vectors are dealt by a hash of their id into blocks of at most
+    about `block_rows`, and as many as the cluster has cores where that leaves 4,096 or more in each.  A task holds one block's codes and
+    vectors, and reads the queries from the shared folder in slices of `slice_rows`: they are not shuffled, and answers are k rows for
+    each query and block.  `rerank` candidates of each block and query are compared exactly; from `rerank` = `block_rows` on the search is exact.
     Returns query_id, rank (from 1), vec_id, score (the cosine of the original vectors in double precision), nearest first,
     ties to the smaller vec_id.  Rows of equal vec_id count as rows of their own.  Without usable rows the result is empty.
     """
@@ -170,39 +193,25 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = 1500,
     if len(x) < 1:
         x = np.zeros((1, dim), np.float32)
     books = fit(x, levels, words)
-    blocks = max(1, -(-total // block_rows))
+    blocks = max(1, -(-total // block_rows), min(spark.sparkContext.defaultParallelism, total // 4_096))
+    asked = shared_path(spark, "queries")
+    rows.where(F.col("vec_id") % every == 0).write.parquet(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block = None, None
-        ids: list[np.ndarray] = []
-        held: list[np.ndarray] = []
-
-        def answer(q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            hits = block.nearest(q_ids, q, k, rerank)
-            a, b, c = zip(*hits) if hits else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
-
+        ids, held = [], []
         for batch in batches:
-            block_no, is_query, vec_ids = (batch.column(j).to_numpy(zero_copy_only=False) for j in range(3))
-            matrix = _matrix(batch.column(3), dim)
-            cuts = np.flatnonzero((block_no[1:] != block_no[:-1]) | (is_query[1:] != is_query[:-1])) + 1
-            for s, e in zip([0, *cuts], [*cuts, len(block_no)]):
-                if s == e:
-                    continue
-                if block_no[s] != number:
-                    number, block, ids, held = block_no[s], None, [], []
-                if not is_query[s]:
-                    ids.append(vec_ids[s:e])
-                    held.append(matrix[s:e])
-                elif held or block is not None:
-                    if block is None:
-                        block = Block(np.concatenate(ids), np.concatenate(held), books, k + 1)
-                        ids, held = [], []
-                    yield answer(vec_ids[s:e], matrix[s:e])
-
-    base = rows.select(F.pmod(F.xxhash64(F.lit(4), "vec_id"), blocks).cast("int").alias("block"), F.lit(0).alias("is_query"), "vec_id", "v")
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("is_query"), "vec_id", "v")
-    dealt = base.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "is_query", "vec_id")
+            ids.append(batch.column(1).to_numpy(zero_copy_only=False))
+            held.append(_matrix(batch.column(2), dim))
+        if not sum(map(len, ids)):
+            return
+        block = Block(np.concatenate(ids), np.concatenate(held), books, k + 1)
+        for part in query_slices(asked, slice_rows):
+            found = block.nearest(part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dim), k, rerank)
+            a, b, c = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
+
+    base = rows.select(F.pmod(F.xxhash64(F.lit(4), "vec_id"), blocks).cast("int").alias("block"), "vec_id", "v")
+    dealt = base.repartitionById(blocks, F.col("block"))
     hits = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
