@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,26 +84,38 @@ def _codes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 8192) -> DataFrame:
+def with_next(docs: DataFrame, bucket_rows: int = 8192, most_buckets: int = 100_000) -> DataFrame:
     """(bucket, extra, doc_id, text), partitioned and sorted so that each row's next one by descending doc_id follows it.
 
     Buckets are ranges of doc_id between split points that are ids of the table; the row at each split point goes to its own
     bucket and, marked `extra`, behind the last row of the bucket before.  The largest id closes the last bucket.  One
-    shuffle of the texts, no window over all rows.  Rows with a null id come last, rows of equal id are ordered by text.
+    shuffle of the texts, no window over all rows.  There are `most_buckets` split points at most (larger tables have larger
+    buckets, which are sorted and streamed), and an id finds its bucket by bisection.  Rows with a null id come last, rows of equal id
+    are ordered by text.  doc_id has an integer type.
     """
     plain = docs.select("doc_id", "text")
+    if dict(plain.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id has an integer type")
     n, top = plain.agg(F.count("*"), F.max("doc_id")).first()
-    wanted = max(1, -(-n // bucket_rows))
-    splits: list[int] = []
+    wanted = min(most_buckets, max(1, -(-n // bucket_rows)))
+    splits = np.zeros(0, np.int64)
     if wanted > 1 and top is not None:
-        found = plain.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 100 * wanted)).first()[0]
-        splits = sorted({int(x) for x in found if x is not None and x != top}, reverse=True)
+        found = plain.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 20 * wanted)).first()[0]
+        splits = np.unique([int(x) for x in found if x is not None and x != top]).astype(np.int64)
     last = len(splits)
-    points = F.array(*[F.lit(x).cast("long") for x in splits]) if splits else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.size(F.filter(points, lambda s: s >= F.col("doc_id"))))
+
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        at = np.searchsorted(splits, ids.to_numpy())
+        hit = splits[np.minimum(at, last - 1)] == ids.to_numpy() if last else np.zeros(len(ids), bool)
+        return pd.Series((last - at) * 2 + hit)
+
+    # Only the ids go through Python; the texts stay where they are.
+    placed = plain.withColumn("at", place(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise((F.col("at") / 2).cast("int"))
     here = F.struct(bucket.alias("bucket"), F.lit(0).alias("extra"))
-    also = F.when(F.array_contains(points, F.col("doc_id").cast("long")), F.struct((bucket - 1).alias("bucket"), F.lit(1).alias("extra"))).when(F.col("doc_id") == F.lit(top), F.struct(F.lit(last).alias("bucket"), F.lit(1).alias("extra")))
-    rows = plain.select(F.explode(F.array_compact(F.array(here, also))).alias("at"), "doc_id", "text").select("at.bucket", "at.extra", "doc_id", "text")
+    also = F.when(F.col("doc_id").isNotNull() & (F.col("at") % 2 == 1), F.struct((bucket - 1).alias("bucket"), F.lit(1).alias("extra"))).when(F.col("doc_id") == F.lit(top), F.struct(F.lit(last).alias("bucket"), F.lit(1).alias("extra")))
+    rows = placed.select(F.explode(F.array_compact(F.array(here, also))).alias("to"), "doc_id", "text").select("to.bucket", "to.extra", "doc_id", "text")
     return rows.repartitionById(last + 1, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
 
 
