@@ -64,3 +64,33 @@ g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER
 e AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since FROM s), kept AS (SELECT e.r, count(*) AS n_spans, sum(b - e.a) AS n_removed, string_agg(substr(x, CAST(2 * since + 1 AS BIGINT), CAST(2 * (e.a - since) AS BIGINT)), '' ORDER BY e.a) AS head, max(b) AS stop FROM e JOIN n USING (r) GROUP BY e.r)
 SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(stop, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM n LEFT JOIN kept USING (r)
 """
+
+_STEP = "list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS UBIGINT))"
+_CRC = "xor(list_reduce(list_transform(range(1, CAST(length(h) AS BIGINT), 2), lambda i: CAST(16 * (instr('0123456789abcdef', h[i]) - 1) + instr('0123456789abcdef', h[i + 1]) - 1 AS UBIGINT)), lambda c, b: xor(c >> 8, crcs[CAST(xor(c, b) & 255 AS BIGINT) + 1]), CAST(4294967295 AS UBIGINT)), 4294967295) % 10000"
+
+RESAMPLING = f"""
+WITH crc AS (SELECT list({_STEP} ORDER BY b) AS crcs FROM range(256) AS r(b)),
+texts AS (SELECT true AS raw, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark),
+words AS (SELECT raw, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (SELECT raw, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+kinds AS (SELECT f, lower(hex(encode(f))) AS h FROM (SELECT DISTINCT f FROM runs)), hashed AS (SELECT f, {_CRC} AS bucket FROM kinds, crc),
+counted AS (SELECT raw, r, bucket, count(*) AS n FROM runs JOIN hashed USING (f) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (raw), 0) AS s, coalesce(sum(n) FILTER (NOT raw), 0) AS t FROM counted GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM sums, totals),
+weights AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, sum(n * gain) AS total FROM counted JOIN gains USING (bucket) WHERE raw GROUP BY r),
+known AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS BIGINT) AS weight, substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS h FROM words LEFT JOIN weights USING (r) WHERE raw),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || h AS UBIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM known),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank FROM scored WHERE n_words >= 20),
+due AS (SELECT floor(25 * count(*) / 100) AS most FROM ranked)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= most THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r), due
+"""
+
+NEGATIVES = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.r AS a, b.r AS b, a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) <= 5),
+n AS (SELECT p.*, vec_id, score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, vec_id, pairs.b) AS rank FROM p JOIN pairs ON p.a = pairs.a AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM n WHERE rank <= 10
+"""

@@ -74,6 +74,24 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_ann, op4_mixing, op5_warc, op6_substrings, op7_quality, op8_fingerprints, op9_lm_scoring, op10_packing)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
 
-ORACLES = {"op1_url_filter": oracles.URL_FILTER, "op5_warc": oracles.WARC, "op6_substrings": oracles.SUBSTRINGS}
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    return mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find
+
+    return find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_ann, op4_mixing, op5_warc, op6_substrings, op7_quality, op8_fingerprints, op9_lm_scoring, op10_packing, op11_resampling, op12_hard_negatives, op13_secrets)}
+
+ORACLES = {"op1_url_filter": oracles.URL_FILTER, "op5_warc": oracles.WARC, "op6_substrings": oracles.SUBSTRINGS, "op11_resampling": oracles.RESAMPLING, "op12_hard_negatives": oracles.NEGATIVES}
