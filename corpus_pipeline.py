@@ -9,7 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import shared_path, table
+from dossier.llm.common import scratch, shared_path, table
+
+
+def _repeated_ids(docs: DataFrame) -> bool:
+    return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+
+
+def _free_name(docs: DataFrame) -> str:
+    """A name that no column has."""
+    return next(name for name in (f"row_key{k}" for k in range(len(docs.columns) + 1)) if name not in docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,20 +35,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group: five-word shingle sets of Jaccard similarity .8 or more, and chains of them.
 
-    Texts without words (null, empty, white space) have equal sets, and are one group.  Rows that share a doc_id are one document
-    here, of which any stays.  Rows without a doc_id are kept.  An empty table stays empty.
+    Texts without words (null, empty, white space) have equal sets, and are one group.  Rows that share a doc_id are documents of their
+    own where their texts differ (of equal ids the one of lesser digest counts as first), and one where they agree, of which any stays.
+    Rows without a doc_id are kept.  An empty table stays empty.
     """
     from dossier.llm.simhash import similar_documents
 
-    groups = similar_documents(docs.where("doc_id is not null"), shingle=5, least=0.8)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")
-    repeated = docs.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id")
-    if not repeated.take(1):
-        return kept
-    same = F.col("d.doc_id") == F.col("r.id")
-    once = kept.alias("d").join(repeated.alias("r"), same, "left_semi").dropDuplicates(["doc_id"])
-    return kept.alias("d").join(repeated.alias("r"), same, "left_anti").unionByName(once)
+    named = docs.where("doc_id is not null")
+    if not _repeated_ids(named):
+        gone = similar_documents(named, shingle=5, least=0.8).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+        return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.gone"), "left_anti")
+    # Ids in the order of their numbers, then a digest of the text.
+    key = _free_name(docs)
+    shifted = F.col("doc_id").cast("decimal(20,0)") + F.expr("9223372036854775808BD")
+    keyed = docs.withColumn(key, F.concat(F.lpad(shifted.cast("string"), 20, "0"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    rows = keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    gone = similar_documents(rows, shingle=5, least=0.8).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    kept = keyed.where(F.col(key).isNotNull()).alias("d").join(gone.alias("g"), F.col(f"d.{key}") == F.col("g.gone"), "left_anti")
+    return kept.dropDuplicates([key]).drop(key).unionByName(docs.where("doc_id is null"))
 
 
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +69,16 @@ def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, a row for each whole copy, laid out by shard and shuffled inside it; documents are not cut.
 
-    Null and empty texts, which have no words, are never taken.  An empty table stays empty.
+    Null and empty texts, which have no words, are never taken.  Rows that share a doc_id or lack one are documents of their own (drawn
+    by their places in the files).  An empty table stays empty.
     """
     from dossier.llm.mixing import lay_out, mix
 
-    # The stage before the last but one left one row for each doc_id.
-    return lay_out(docs, mix(docs, partial=False)).select(*docs.columns)
+    if not _repeated_ids(docs) and not docs.where("doc_id is null").take(1):
+        return lay_out(docs, mix(docs, partial=False)).select(*docs.columns)
+    own = _free_name(docs)
+    rows = scratch(docs.withColumn(own, F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    return lay_out(rows, mix(rows, partial=False)).withColumn("doc_id", F.col(own)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,8 @@ def features(text: str | None) -> np.ndarray:
         sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1),
         len(set(words)) / max(1, n),
         len(set(lines)) / max(1, len(lines)),
-        sum(map(len, words)) / max(1, n) / 10,
+        # Logarithms keep any length in range.
+        np.log1p(sum(map(len, words)) / max(1, n)) / 3,
         sum(w.isupper() for w in words) / max(1, n),
         n == 0,
     )
@@ -187,6 +188,8 @@ def fit_nnpu(positive: Rows, unlabelled: Rows, prior: float, epochs: int = 20, b
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, b = w - step[:-1], b - step[-1]
+    if not (np.isfinite(w).all() and np.isfinite(b)):
+        raise ArithmeticError("the classifier's weights are not finite")
     return Model((w * scale).astype(np.float32), float(b), prior)
 
 
@@ -225,7 +228,7 @@ def _features_of(docs: DataFrame, positive: int) -> DataFrame:
                 x = features(t)
                 at = np.flatnonzero(x)
                 index.append(at.astype("<u2").tobytes())
-                value.append(x[at].astype("<f2").tobytes())
+                value.append(x[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([positive] * len(index), pa.int32()), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["positive", "i", "v"])
 
     return docs.select("text").mapInArrow(run, "positive int, i binary, v binary")
@@ -235,7 +238,7 @@ def _rows(found: list[tuple[bytes, bytes]]) -> Rows:
     # In one order on every run, so that sums and the model agree.
     found = sorted(found)
     sizes = np.array([len(i) // 2 for i, _ in found], np.int64)
-    return Rows(np.frombuffer(b"".join(i for i, _ in found), "<u2"), np.frombuffer(b"".join(v for _, v in found), "<f2").astype(np.float32), sizes)
+    return Rows(np.frombuffer(b"".join(i for i, _ in found), "<u2"), np.frombuffer(b"".join(v for _, v in found), "<f4"), sizes)
 
 
 def _fit(samples: DataFrame) -> Model | None:
@@ -276,8 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, modulus: int =
 def classify(docs: DataFrame, model: Model | None, keep_only: bool = False) -> DataFrame:
     """All columns of docs, with `score` (0 to 1, higher: good quality likelier) and `predicted` (1 if score >= 0.5).
 
-    Whole texts are scored, in batches, without a shuffle; null and empty texts have a score like any other text, which
-    depends on the text alone.  Without a model every score is 0.5.  Columns called score or predicted are replaced.
+    Whole texts are scored, in batches, without a shuffle; null and empty texts and texts or words of any length have a score like any
+    other text, which depends on the text alone.  Without a model every score is 0.5.  Columns called score or predicted are replaced.
     With `keep_only` just the documents predicted 1, without the two columns.
     """
     from pyspark.sql.types import DoubleType, IntegerType, StructType
