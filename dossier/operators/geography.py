@@ -9,16 +9,18 @@ from ..functions.similarity import ratio
 from ..functions.text import letters_only, normalize_ocr
 
 
-def only_mention(text: Column, names: list[str]) -> Column:
-    """The only one of `names` that stands in a text as a word of its own; null where none or several do."""
+def mentions(text: Column, names: list[str]) -> Column:
+    """Those of `names` that stand in a text as words of their own; names are compared in their normal form."""
     plain = normalize_ocr(F.coalesce(text, F.lit("")))
     letter = r"[ء-يA-Za-z]"
-    hits = F.array_compact(F.array(*[F.when(plain.rlike(f"(?<!{letter})" + _quoted(n) + f"(?!{letter})"), F.lit(n)) for n in names]))
-    return F.when(F.size(hits) == 1, hits[0])
+    found = lambda n: F.regexp_like(plain, F.concat(F.lit(rf"(?<!{letter})\Q"), normalize_ocr(F.lit(n)), F.lit(rf"\E(?!{letter})")))
+    return F.array_compact(F.array(*[F.when(found(n), F.lit(n)) for n in names]))
 
 
-def _quoted(name: str) -> str:
-    return "\\Q" + name + "\\E"
+def only_mention(text: Column, names: list[str]) -> Column:
+    """The only one of `names` that stands in a text as a word of its own; null where none or several do."""
+    hits = mentions(text, names)
+    return F.when(F.size(hits) == 1, hits[0])
 
 
 def number_area(addresses: DataFrame, rows: DataFrame) -> DataFrame:
@@ -32,21 +34,28 @@ def number_area(addresses: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def enrich(addresses: DataFrame, areas: DataFrame, provinces: list[str], alike: float = 0.72) -> DataFrame:
-    """(id, province, area, governorate): what address text and office name suggest together with the number.
+    """(id, province, area, governorate, similarity): what address text and office name suggest together with the number.
 
-    addresses: (id, address, office, number, conflict); areas: (area, governorate, numbers).  An area counts if it lists the number, its
-    name is alike the office's or one of its words of five letters and more, and no other province is named; it is suggested only if it is the
-    only one.  Addresses meet only areas that list their number.
+    addresses: (id, address, office, number, conflict, and where there are such: readings, further readings of the office; office_human,
+    whether a person gave or approved the office's value); areas: (area, governorate, numbers).  An area counts if it lists the number and its
+    name is alike one of the office's readings, or a word of one, of five letters and more; where the address names provinces, its province must
+    be the only one of them.  It is suggested only if no other area counts, and never where the number is in conflict or a person gave the
+    office.  The governorate is the address's only province, else the area's.  Addresses meet only areas that list their number.
     """
-    rows = addresses.withColumn("province", only_mention(F.col("address"), provinces))
-    whole = letters_only(F.coalesce("office", F.lit("")))
-    pieces = F.filter(F.array_distinct(F.concat(F.array(whole), F.transform(F.split(F.coalesce("office", F.lit("")), r"\s+"), letters_only))), lambda p: F.length(p) >= 5)
-    listed = areas.select("area", "governorate", F.explode("numbers").alias("listed"))
-    asked = rows.where(~F.coalesce("conflict", F.lit(False))).withColumn("piece", F.explode(pieces))
-    met = asked.join(listed, F.col("number") == F.col("listed")).where(F.col("province").isNull() | (F.col("province") == F.col("governorate")))
-    near = met.where(ratio(F.col("piece"), letters_only(F.col("area"))) >= alike)
-    one = near.groupBy("id").agg(F.count_distinct("area").alias("n"), F.min("area").alias("area"), F.min("governorate").alias("governorate")).where("n = 1").drop("n")
-    return rows.select("id", "province").join(one, "id", "left").select("id", "province", "area", F.coalesce("province", "governorate").alias("governorate"))
+    readings = F.col("readings") if "readings" in addresses.columns else F.array().cast("array<string>")
+    human = F.coalesce("office_human", F.lit(False)) if "office_human" in addresses.columns else F.lit(False)
+    named = addresses.withColumn("_named", mentions(F.col("address"), provinces)).withColumn("province", F.when(F.size("_named") == 1, F.col("_named")[0]))
+    texts = F.filter(F.concat(F.array("office"), F.coalesce(readings, F.array().cast("array<string>"))), lambda x: x.isNotNull())
+    both = F.flatten(F.transform(texts, lambda x: F.concat(F.array(letters_only(x)), F.transform(F.split(x, r"(?U)\s+"), letters_only))))
+    pieces = F.filter(F.array_distinct(both), lambda p: F.length(p) >= 5)
+    listed = areas.select("area", F.col("governorate").alias("area_governorate"), F.explode("numbers").alias("listed"))
+    asked = named.where(~F.coalesce("conflict", F.lit(False)) & ~human).select("id", "number", "_named", F.explode(pieces).alias("piece"))
+    met = asked.join(listed, F.col("number") == F.col("listed")).where((F.size("_named") == 0) | ((F.size("_named") == 1) & (F.col("_named")[0] == F.col("area_governorate"))))
+    near = met.withColumn("similarity", ratio(F.col("piece"), letters_only(F.col("area")))).where(F.col("similarity") >= alike)
+    place = F.struct("area", "area_governorate")
+    one = near.groupBy("id").agg(F.count_distinct(place).alias("n"), F.min(place).alias("place"), F.round(F.max("similarity"), 3).alias("similarity")).where("n = 1")
+    rows = named.select("id", "province").join(one, "id", "left")
+    return rows.select("id", "province", "place.area", F.coalesce("province", "place.area_governorate").alias("governorate"), "similarity")
 
 
 def merge_touching(boxes: DataFrame, group: str, size: float, gap: float = 1.5) -> DataFrame:

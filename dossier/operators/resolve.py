@@ -33,7 +33,7 @@ def group_documents(documents: DataFrame) -> DataFrame:
 
     documents: (batch_id, doc_no, doc_id, source_id, kind, side, serial, number, group).  Returns doc_id, group, reason
     (serial, number, source, single, kept or, for unpaired cards, ambiguous, unmatched, unreadable).  Groups that exist stay.
-    New names are numbered in document order after the existing ones.
+    New names take, in document order, the numbers that no group of the batch has.
     """
     has = F.coalesce(F.col("group"), F.lit("")) != ""
     docs = documents.withColumn("grouped", has)
@@ -53,11 +53,26 @@ def group_documents(documents: DataFrame) -> DataFrame:
     alone = F.when(F.col("kind") != "national_id", "single").when(F.col("copies") > 1, "ambiguous").when(F.col("serial").isNotNull(), "unmatched").otherwise("unreadable")
     rows = rows.withColumn("reason", F.when(F.col("grouped"), "kept").otherwise(F.coalesce("reason", alone))).withColumn("unit", F.when(~F.col("grouped"), F.coalesce("pair", "doc_id")))
     order = rows.where(~F.col("grouped")).groupBy("batch_id", "unit").agg(F.min("doc_no").alias("first"))
-    used = rows.groupBy("batch_id").agg(F.coalesce(F.max(F.try_to_number(F.regexp_extract("group", r"^Group (\d+)$", 1), F.lit("999999999"))), F.lit(0)).alias("last"))
-    named = order.join(used, "batch_id").select("batch_id", "unit", F.format_string("Group %02d", (F.col("last") + F.row_number().over(Window.partitionBy("batch_id").orderBy("first", "unit"))).cast("int")).alias("name"))
+    number = F.regexp_extract("group", r"^Group (0[1-9]|[1-9]\d{1,8})$", 1)
+    used = rows.where(F.coalesce(number, F.lit("")) != "").select("batch_id", number.cast("long").alias("number"))
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("first", "unit"))
+    named = unused_numbers(order.withColumn("place", place), used, "batch_id").select("batch_id", "unit", F.format_string("Group %02d", "number").alias("name"))
     return rows.join(named, ["batch_id", "unit"], "left").select("batch_id", "doc_id", F.coalesce("name", "group").alias("group"), "reason")
 
 
+def unused_numbers(wanted: DataFrame, used: DataFrame, group: str) -> DataFrame:
+    """wanted (group, place, ...) with `number`: the place-th of the numbers 1, 2, ... that `used` (group, number) lacks in the group.
+
+    Below the i-th used number u there are u - i free ones, so the k-th free number is k plus the used ones with fewer than k free below them.
+    """
+    sorted_used = Window.partitionBy(group).orderBy("number")
+    taken = used.where("number > 0").select(group, "number").distinct().withColumn("below", F.col("number") - F.row_number().over(sorted_used))
+    both = wanted.select(group, F.col("place").alias("at"), F.lit(1).alias("asks")).unionByName(taken.select(group, (F.col("below") + 1).alias("at"), F.lit(0).alias("asks")))
+    passed = F.sum(1 - F.col("asks")).over(Window.partitionBy(group).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("passed", passed).where("asks = 1").select(group, F.col("at").alias("place"), (F.col("at") + F.col("passed")).alias("number"))
+    return wanted.join(found, [group, "place"])
+
+
 def regroup(documents: DataFrame) -> DataFrame:
     """Group national cards anew, but for reviewed ones and groups made by hand or holding a reviewed document."""
     kept = documents.where((F.col("reviewed") | (F.col("group_method") == "manual")) & (F.coalesce("group", F.lit("")) != "")).select("batch_id", F.col("group").alias("g")).distinct()

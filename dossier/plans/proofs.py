@@ -522,19 +522,35 @@ def number_areas(spark, sf_dir):
 
 @query(
     """WITH a AS (SELECT * FROM (VALUES ('Karrada', 'Baghdad', 905), ('Karrada', 'Baghdad', 909), ('Mansour', 'Baghdad', 601), ('Ashar', 'Basra', 601), ('Mansor', 'Najaf', 905)) v(area, governorate, n)),
-c AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'Karrada' WHEN 1 THEN 'Mansour' ELSE 'other place' END AS office, CASE c_custkey % 4 WHEN 0 THEN 905 WHEN 1 THEN 601 WHEN 2 THEN 909 ELSE 7 END AS n, CASE WHEN c_custkey % 5 = 0 THEN 'Baghdad' WHEN c_custkey % 5 = 1 THEN 'Basra' END AS province FROM customer),
-m AS (SELECT id, area, a.governorate FROM c JOIN a ON c.n = a.n WHERE (province IS NULL OR province = a.governorate) AND (office = area OR (office = 'Mansour' AND area = 'Mansor'))),
-u AS (SELECT id, min(area) AS area, min(governorate) AS governorate FROM m GROUP BY id HAVING count(DISTINCT area) = 1)
-SELECT c.id, province, area, coalesce(province, governorate) AS governorate FROM c LEFT JOIN u USING (id)"""
+c AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'Karrada' WHEN 1 THEN 'Mansour' ELSE 'other place' END AS office, CASE WHEN c_custkey % 7 = 0 THEN 'Ashar' END AS reading, CASE c_custkey % 4 WHEN 0 THEN 905 WHEN 1 THEN 601 WHEN 2 THEN 909 ELSE 7 END AS n, CASE c_custkey % 5 WHEN 0 THEN 'Baghdad' WHEN 1 THEN 'Basra' WHEN 2 THEN 'Baghdad Basra' ELSE '' END AS named, c_custkey % 11 = 0 AS conflict, c_custkey % 13 = 0 AS human FROM customer),
+p AS (SELECT *, CASE WHEN named IN ('Baghdad', 'Basra') THEN named END AS province FROM c),
+m AS (SELECT id, area, a.governorate, CASE WHEN office = area OR reading = area THEN 1.0 ELSE 0.923 END AS similarity FROM p JOIN a ON p.n = a.n WHERE NOT conflict AND NOT human AND (named = '' OR named = a.governorate) AND (office = area OR reading = area OR (office = 'Mansour' AND area = 'Mansor'))),
+u AS (SELECT id, min(area) AS area, min(governorate) AS governorate, max(similarity) AS similarity FROM m GROUP BY id HAVING count(DISTINCT area) = 1)
+SELECT p.id, province, area, coalesce(province, governorate) AS governorate, similarity FROM p LEFT JOIN u USING (id)"""
 )
 def housing_places(spark, sf_dir):
-    """What address, office and number of a housing card suggest of its place."""
+    """What address, office and number of a housing card suggest of its place; some addresses name two provinces, some offices are a person's."""
     k = F.col("c_custkey")
-    rows = t(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 5 == 0, "in Baghdad").when(k % 5 == 1, "Basra").alias("address"), F.when(k % 3 == 0, "Karrada").when(k % 3 == 1, "Mansour").otherwise("other place").alias("office"), F.when(k % 4 == 0, 905).when(k % 4 == 1, 601).when(k % 4 == 2, 909).otherwise(7).alias("number"), F.lit(False).alias("conflict"))
+    office = F.when(k % 3 == 0, "Karrada").when(k % 3 == 1, "Mansour").otherwise("other place")
+    number = F.when(k % 4 == 0, 905).when(k % 4 == 1, 601).when(k % 4 == 2, 909).otherwise(7)
+    address = F.when(k % 5 == 0, "in Baghdad").when(k % 5 == 1, "Basra").when(k % 5 == 2, "Baghdad / Basra")
+    rows = t(spark, sf_dir, "customer").select(k.alias("id"), address.alias("address"), office.alias("office"), F.array(F.when(k % 7 == 0, "Ashar")).alias("readings"), number.alias("number"), (k % 11 == 0).alias("conflict"), (k % 13 == 0).alias("office_human"))
     areas = spark.createDataFrame([("Karrada", "Baghdad", [905, 909]), ("Mansour", "Baghdad", [601]), ("Ashar", "Basra", [601]), ("Mansor", "Najaf", [905])], "area string, governorate string, numbers array<int>")
     return geography.enrich(rows, areas, ["Baghdad", "Basra", "Najaf"])
 
 
+@query(
+    """WITH u AS (SELECT DISTINCT l_suppkey AS g, l_linenumber * 3 + l_partkey % 5 AS n FROM lineitem), w AS (SELECT ps AS g, k AS place FROM (SELECT DISTINCT l_suppkey AS ps FROM lineitem), range(1, 6) r(k)),
+free AS (SELECT g, n, row_number() OVER (PARTITION BY g ORDER BY n) AS place FROM (SELECT g, n FROM (SELECT DISTINCT g FROM u), range(1, 60) r(n) EXCEPT SELECT g, n FROM u)) SELECT g, place, n AS number FROM w JOIN free USING (g, place)"""
+)
+def next_unused_numbers(spark, sf_dir):
+    """The first five numbers that each supplier's lines leave free."""
+    l = t(spark, sf_dir, "lineitem")
+    used = l.select(F.col("l_suppkey").alias("g"), (F.col("l_linenumber") * 3 + F.col("l_partkey") % 5).alias("number"))
+    wanted = l.select(F.col("l_suppkey").alias("g")).distinct().select("g", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("place"))
+    return resolve.unused_numbers(wanted, used, "g").select("g", "place", "number")
+
+
 # ---- checks of values
 
 

@@ -75,3 +75,28 @@ def test_near_names(spark):
         return row[-1]
 
     assert got == sorted((i, j, distance(a, b)) for i, x, a in rows[:-2] for j, y, b in rows[:-2] if i < j and x == y and distance(a, b) <= 1)
+
+
+def test_new_groups_take_unused_numbers(spark):
+    """Groups 1, 2 and 5 exist: new ones are 3, 4 and 6; names that are no numbers, or written otherwise, take none."""
+    from dossier.operators.resolve import group_documents
+
+    kept = ["Group 01", "Group 02", "Group 05", "mine", "Group 3", "Group 00"]
+    rows = [("b", k, f"k{k}", f"s{k}", "passport", "page", None, None, g) for k, g in enumerate(kept)] + [("b", 10 + k, f"d{k}", f"t{k}", "passport", "page", None, None, None) for k in range(4)]
+    rows += [("other", 0, "o", "s", "passport", "page", None, None, "")]
+    docs = spark.createDataFrame(rows, "batch_id string, doc_no int, doc_id string, source_id string, kind string, side string, serial string, number string, group string")
+    got = {r.doc_id: r["group"] for r in group_documents(docs).collect()}
+    assert [got[f"d{k}"] for k in range(4)] == ["Group 03", "Group 04", "Group 06", "Group 07"] and got["o"] == "Group 01" and got["k4"] == "Group 3"
+
+
+def test_places_of_housing_cards(spark):
+    """Name and number together suggest a place; a conflict, a wrong number, another province, two provinces or a person's value do not."""
+    from dossier.operators.geography import enrich
+
+    areas = spark.createDataFrame([("الغزالية", "بغداد", ["673"]), ("الجمعيات", "البصرة", ["673"])], "area string, governorate string, numbers array<string>")
+    office, other = "الفزالية", "محافظة البصرة م 673 ز 40 د 9"
+    rows = [(0, None, office, "673", False, None, False), (1, None, None, "673", False, None, False), (2, None, office, None, False, None, False), (3, None, office, "673", True, None, False), (4, None, office, "999", False, None, False), (5, other, office, "673", False, None, False), (6, "بغداد / البصرة", office, "673", False, None, False), (7, None, office, "673", False, None, True), (8, "بغداد", "xx", "673", False, ["عه الغزاليه"], None)]
+    frame = spark.createDataFrame(rows, "id int, address string, office string, number string, conflict boolean, readings array<string>, office_human boolean")
+    got = {r.id: (r.province, r.area, r.governorate) for r in enrich(frame, areas, ["بغداد", "البصرة", "حلبجة"]).collect()}
+    assert got[0] == (None, "الغزالية", "بغداد") and got[8] == ("بغداد", "الغزالية", "بغداد")
+    assert all(got[k] == (None, None, None) for k in (1, 2, 3, 4, 6, 7)) and got[5] == ("البصرة", None, "البصرة")
