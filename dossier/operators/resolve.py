@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
 from ..functions.text import edit_distance, fold_digits, normalize_name, words
+from ..session import durable
 
 
 def digest(*columns: Column) -> Column:
@@ -166,40 +169,60 @@ def near_names(rows: DataFrame) -> DataFrame:
     return apart.union(same)
 
 
+def linked_blocks(rows: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """rows (block, ref, keys, ...) with `part`: the least ref of those that shared keys lead to within a block.
+
+    A common block falls apart into the few rows that can be one identity.  Each round takes the least label over every key and back, combined
+    before it is shuffled; cards have a serial and a national number, so chains are short.
+    """
+    held = durable(rows.select("block", "ref", F.explode("keys").alias("key")))
+    labels, before = held.groupBy("block", "ref").agg(F.first("ref").alias("part")), None
+    for _ in range(most_rounds):
+        by_key = held.join(labels, ["block", "ref"]).groupBy("block", "key").agg(F.min("part").alias("part"))
+        labels = durable(held.join(by_key, ["block", "key"]).groupBy("block", "ref").agg(F.min("part").alias("part")))
+        now = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("block", "ref", "part").cast("decimal(20,0)"))).first())
+        if now == before:
+            break
+        before = now
+    return rows.join(labels, ["block", "ref"], "left").withColumn("part", F.coalesce("part", "ref"))
+
+
+def same_identity(a: dict, b: dict) -> bool:
+    """Whether two documents are one person's: a common key, equal names, no kind of number that differs, no birth date that differs."""
+    numbers = lambda d, kind: {k for k in d["keys"] if k.startswith(kind)}
+    clash = any(x and y and x != y for x, y in ((numbers(a, kind), numbers(b, kind)) for kind in ("national:", "serial:")))
+    births = a["birth"] and b["birth"] and a["birth"] != b["birth"]
+    return bool(a["keys"] & b["keys"]) and bool(a["name"]) and a["name"] == b["name"] and not clash and not births
+
+
 def synchronize(seeds: DataFrame) -> DataFrame:
     """Assign identity fronts to people in order: to the only person of the same identity, else to a new one.
 
-    seeds: (block, ord, ref, name, keys, birth) with rows in `ord` order within a block; rows of different blocks (for
-    instance different names) are never the same identity.  Same: a common key, equal names, no prefix with different keys,
-    and no different birth dates.  The order matters (each person's first document stands for it), so a block is folded in
-    sequence; blocks run in parallel.  Returns block, ref, person (the ref that opened the folder).
+    seeds: (block, ord, ref, name, keys, birth, and where there are people already: person, the folder that a row opened before); rows of
+    different blocks (for instance different names) are never the same identity.  The order matters (each person's first document stands
+    for it), so rows that could be one identity are folded in sequence, folders that exist before the others; a block is first split by
+    shared keys, and a task holds the people of one part.  Returns block, ref, person (the ref that opened the folder).
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        people: list[dict] = []
-        out = []
-        prefixed = lambda keys, p: {k for k in keys if k.startswith(p)}
-
-        def same(a: dict, b: dict) -> bool:
-            if not a["keys"] & b["keys"] or not a["name"] or a["name"] != b["name"]:
-                return False
-            for prefix in ("national:", "serial:"):
-                x, y = prefixed(a["keys"], prefix), prefixed(b["keys"], prefix)
-                if x and y and x != y:
-                    return False
-            return not (a["birth"] and b["birth"] and a["birth"] != b["birth"])
-
-        for r in rows.sort_values("ord", kind="stable").itertuples():
-            me = {"ref": r.ref, "name": r.name, "keys": set(r.keys if r.keys is not None else ()), "birth": r.birth}
-            found = [p for p in people if same(p, me)]
-            if len(found) == 1:
-                out.append((r.block, r.ref, found[0]["ref"]))
-            else:
-                people.append(me)
-                out.append((r.block, r.ref, r.ref))
-        return pd.DataFrame(out, columns=["block", "ref", "person"])
-
-    return seeds.select("block", "ord", "ref", "name", "keys", "birth").groupBy("block").applyInPandas(fold, "block string, ref string, person string")
+    rows = seeds if "person" in seeds.columns else seeds.withColumn("person", F.lit(None).cast("string"))
+    fields = "block", "ord", "ref", "name", "keys", "birth", "person"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, people = None, []
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if (r.block, r.part) != at:
+                    at, people = (r.block, r.part), []
+                me = {"name": r.name, "keys": set(r.keys if r.keys is not None else ()), "birth": r.birth}
+                found = [] if r.person is not None else [p for p, other in people if same_identity(other, me)]
+                person = r.person if r.person is not None else found[0] if len(found) == 1 else r.ref
+                if len(found) != 1:
+                    people.append((person, me))
+                out.append((r.block, r.ref, person))
+            yield pd.DataFrame(out, columns=["block", "ref", "person"])
+
+    parts = linked_blocks(rows.select(*fields)).repartition("block", "part").sortWithinPartitions("block", "part", F.col("person").isNull(), "ord", "ref")
+    return parts.mapInPandas(fold, "block string, ref string, person string")
 
 
 def latest_members(sources: list[DataFrame]) -> DataFrame:
