@@ -15,9 +15,9 @@ from .common import scratch
 
 CAPACITY = 2048
 #: Distinct pre-tokens that a Python worker remembers the ids of.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Bytes of text encoded at a time.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def default_tokenizer() -> str:
