@@ -164,3 +164,46 @@ def card_side(has_machine_rows: Column, plain: Column, back_words: list[str], fr
     """Side of a card from its text: machine-readable rows or words of the back, else words of the front, else unknown."""
     some = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(plain, w))
     return F.when(F.coalesce(has_machine_rows, F.lit(False)) | some(back_words), "back").when(some(front_words), "front").otherwise("unknown")
+
+
+# Where rows of a card's machine-readable zone stand, in shares of the image's height and width.
+ZONE_TOP, ZONE_WIDTH, ROW_WIDTH, ROW_GAP, ROW_SHIFT = 0.48, 0.40, 0.45, (0.025, 0.18), 0.10
+# Form of a zone's second row by the standard of such cards (date, digit, sex, date, digit, state), I read as 1 allowed.
+SECOND_ROW = "^[0-9]{7}[MF<][0-9]{7}[I1]RQ[A-Z0-9<]{5,12}$"
+
+
+def zone_dates(lines: DataFrame) -> DataFrame:
+    """(doc_id, key, yymmdd, line_no): dates of a zone's second row, checked by their own digits, where the row of names can't be read.
+
+    lines: (doc_id, line_no, text, x1, y1, x2, y2, width, height), the last two of the image.  There must be exactly one first row with a valid
+    serial low on the card; a second row stands close below it, aligned with it.  A date counts if its check digit fits, it exists in the
+    calendar, and all such rows agree; it has no century.
+    """
+    middle, wide, text = (F.col("y1") + F.col("y2")) / 2, F.col("x2") - F.col("x1"), compact(F.col("text"))
+    serial = mrz_serial(F.col("text"))
+    first = lines.where(F.coalesce(serial["checksum_valid"], F.lit(False)) & (middle > ZONE_TOP * F.col("height")) & (wide > ZONE_WIDTH * F.col("width")))
+    only = first.groupBy("doc_id").agg(F.count("*").alias("n"), F.first(middle).alias("at"), F.first("x1").alias("left")).where("n = 1")
+    below = middle - F.col("at")
+    near = (below > ROW_GAP[0] * F.col("height")) & (below < ROW_GAP[1] * F.col("height")) & (F.abs(F.col("x1") - F.col("left")) <= ROW_SHIFT * F.col("width")) & (wide >= ROW_WIDTH * F.col("width"))
+    second = lines.join(only, "doc_id").where(near & text.rlike(SECOND_ROW))
+    dates = F.array(*[F.struct(F.lit(key).alias("key"), F.substring(text, at, 6).alias("yymmdd"), F.substring(text, at + 6, 1).alias("digit")) for key, at in (("birth_date", 1), ("expiry_date", 9))])
+    found = second.select("doc_id", "line_no", F.explode(dates).alias("d")).select("doc_id", "line_no", "d.*")
+    found = found.where((check_digit(F.col("yymmdd")) == F.col("digit")) & F.try_to_date(F.concat(F.lit("20"), "yymmdd"), "yyyyMMdd").isNotNull())
+    agreed = found.groupBy("doc_id", "key").agg(F.count_distinct("yymmdd").alias("n"), F.min_by("yymmdd", "line_no").alias("yymmdd"), F.min("line_no").alias("line_no"))
+    return agreed.where("n = 1").drop("n")
+
+
+def cross_check_zone(fields: DataFrame, dates: DataFrame) -> DataFrame:
+    """fields (doc_id, key, value, status, partial) with what zone dates (doc_id, key, yymmdd) say of them: matches, and status and candidate.
+
+    A printed date that differs becomes a conflict and gets the zone's as a candidate; one that is missing or partial is given as
+    `??yy/mm/dd`, approximate, for nobody knows its century.  Other fields stay as they are.
+    """
+    keys = ["doc_id", "key"]
+    both = fields.join(dates.select(*keys, "yymmdd"), keys, "full_outer")
+    day, hint = parse_date(F.col("value")), F.col("yymmdd")
+    unknown = F.concat(F.lit("??"), F.substring(hint, 1, 2), F.lit("/"), F.substring(hint, 3, 2), F.lit("/"), F.substring(hint, 5, 2))
+    matches = F.when(hint.isNotNull() & day.isNotNull(), yymmdd_matches(day, hint))
+    open_date = hint.isNotNull() & day.isNull() & ((F.coalesce("value", F.lit("")) == "") | F.coalesce("partial", F.lit(False)))
+    status = F.when(matches == F.lit(False), "conflict").when(open_date, "approximate").otherwise(F.col("status"))
+    return both.select(*keys, F.when(open_date, unknown).otherwise(F.col("value")).alias("value"), status.alias("status"), (F.coalesce("partial", F.lit(False)) | open_date).alias("partial"), matches.alias("matches"), F.when(matches == F.lit(False), unknown).alias("candidate"))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_phrase, find_label, normalize_keyword, normalize_ocr, valid_value
 
 
-def classify(documents: DataFrame, rules: dict[str, list[tuple[str, int]]], text: str = "text", least: int = 4, margin: int = 2) -> DataFrame:
+def classify(documents: DataFrame, rules: dict[str, list[tuple[str, int]]], text: str = "text", least: int = 4, margin: int = 2, slips: int | None = None) -> DataFrame:
     """Adds kind, confidence and evidence: weights of the phrases found, if the best kind has enough and leads by enough.
 
-    The rules are a fixed vocabulary, evaluated inside the row: no join and no shuffle.  Of equal kinds the first rule leads.
+    `slips` are those allowed in a phrase (by its length, if not given).  The rules are a fixed vocabulary, evaluated inside the row: no join and no shuffle.  Of equal kinds the first rule leads.
     """
     clean = normalize_keyword(F.col(text))
-    found = [F.struct(F.aggregate(F.array(*[F.when(contains_phrase(clean, w), F.lit(weight)).otherwise(0) for w, weight in words]), F.lit(0), lambda acc, x: acc + x).alias("score"), F.lit(-at).alias("at"), F.lit(kind).alias("kind")) for at, (kind, words) in enumerate(rules.items())]
+    found = [F.struct(F.aggregate(F.array(*[F.when(contains_phrase(clean, w, slips), F.lit(weight)).otherwise(0) for w, weight in words]), F.lit(0), lambda acc, x: acc + x).alias("score"), F.lit(-at).alias("at"), F.lit(kind).alias("kind")) for at, (kind, words) in enumerate(rules.items())]
     ranked = F.reverse(F.array_sort(F.array(*found)))
     rows = documents.withColumn("_r", ranked)
     second = F.coalesce(F.try_element_at("_r", F.lit(2))["score"], F.lit(0))

@@ -777,4 +777,4 @@ def case_assessment(spark, sf_dir):
     a = decide.assess(order_documents(spark, sf_dir))
     return a.cases.select("case_id", "profile", F.col("documents").cast("int").alias("documents"), F.col("fields").cast("int").alias("fields"), F.col("routed_fields").cast("int").alias("routed_fields"), F.col("blocking_reasons").cast("int").alias("blocking_reasons"), "decision")
 
-from . import proofs, streams, suggestions  # noqa: E402,F401  more queries, registered in the same tables
+from . import evidence, proofs, streams, suggestions  # noqa: E402,F401  more queries, registered in the same tables

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -21,9 +23,14 @@ def session(app: str = "dossier", **more: str) -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A table that several branches read, computed once: a checkpoint in the session's shared folder if it names one, else kept in
-    memory and on disk, from where lost parts are computed again."""
+    """A table that several branches read, computed once: written as Parquet to the session's shared folder if it names one, so that readers
+    take the columns they need; else kept in memory and on disk, from where lost parts are computed again."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        return df.persist()
+    if "void" in df.schema.simpleString():  # columns of nulls alone have no Parquet type
         return df.checkpoint()
-    return df.persist()
+    path = f"{shared.rstrip('/')}/dossier-{uuid.uuid4().hex[:12]}/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -86,3 +86,35 @@ def synthetic_people(spark: SparkSession, n: int, split: str, names: list[str])
     pick = lambda salt: F.get(pool, F.pmod(F.xxhash64(F.lit(salt), F.lit(split), "id"), F.size(pool)).cast("int"))
     number = F.concat(F.lit("19"), F.lpad(F.pmod(F.xxhash64(F.lit("number"), F.lit(split), "id"), 10_000_000_000).cast("string"), 10, "0"))
     return spark.range(n).select("id", F.concat_ws(" ", pick("a"), pick("b"), pick("c"), pick("d")).alias("name"), number.alias("national_number"))
+
+
+def read_gazetteer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(provinces (ord, name), areas (ord, area, governorate, numbers, source_title, source_url)) of a reference file of addresses."""
+    area = "array<struct<name: string, governorate: string, mahallas: array<string>, source_title: string, source_url: string>>"
+    rows = read_json(spark, path, f"governorates array<string>, areas {area}")
+    provinces = rows.select(F.posexplode("governorates").alias("ord", "name"))
+    areas = rows.select(F.posexplode("areas").alias("ord", "a")).select("ord", F.col("a.name").alias("area"), "a.governorate", F.col("a.mahallas").alias("numbers"), "a.source_title", "a.source_url")
+    return provinces, areas
+
+
+def read_model_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(model, meta): a row for each JSON file beside a model, its numbers by name; files that are no JSON object have none."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("model"), "value")
+    return rows.select("model", F.from_json("value", "map<string,double>").alias("meta"))
+
+
+def read_strips(spark: SparkSession, path: str) -> DataFrame:
+    """(value, key, tag, name, modified, kept_aside) of files called value__key-tag, newest first; other files are left out.
+
+    A fifth of the names is kept aside by their CRC, whatever else is there.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"))
+    part = lambda k: F.regexp_extract("name", r"^(\d{1,6}(?:-\d{1,6})?)__([a-z_]+)-([0-9a-f]{8}-[0-9a-f]{8})\.png$", k)
+    rows = files.select(part(1).alias("value"), part(2).alias("key"), part(3).alias("tag"), "name", "modified", (F.crc32(F.col("name").cast("binary")) % 5 == 0).alias("kept_aside"))
+    return rows.where("value <> ''").orderBy(F.desc("modified"), "name")
+
+
+def evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """The report of an evaluation without its case-by-case details; empty if there is none."""
+    rows = read_json(spark, path, "generated string, kyc struct<cases: long, false_passes: long, details: array<string>>, fields array<struct<dimension: string, level: string, fields: long>>")
+    return rows.withColumn("kyc", F.col("kyc").dropFields("details"))
