@@ -100,13 +100,13 @@ def validate_field(key: Column, value: Column, kind: Column, today: Column, mrz_
         bad_format = bad_format | ((key == name) & ~tight.rlike(f"^(?:{shape})$"))
     bad_format = bad_format | ((key == "document_number") & (kind == "national_id") & (valid_serial(tight) == ""))
     rules = [
-        (bad_format, finding("format", "block", "unexpected number format")),
-        (is_date & day.isNull(), finding("date_incomplete", "block", "date is incomplete or invalid; no missing digit was assumed")),
-        ((key == "expiry_date") & (day < today), finding("expired", "block", F.concat(F.lit("document expired on "), v))),
-        ((key == "expiry_date") & (day >= today) & (F.datediff(day, today) <= warning_days), finding("expiring_soon", "warn", F.concat(F.lit("document expires soon ("), v, F.lit(")")))),
-        (key.isin("birth_date", "issue_date") & (day > today), finding("future_date", "block", F.concat(F.lit("date is in the future ("), v, F.lit(")")))),
-        ((key == "birth_date") & (day <= today) & (age < minimum_age), finding("minor", "warn", F.concat(F.lit("age "), age.cast("string"), F.lit(f" is below {minimum_age}")))),
-        (F.coalesce(~mrz_matches, F.lit(False)), finding("mrz_mismatch", "block", "printed date does not match the check-digit-verified MRZ")),
+        (bad_format, finding("format", "block", "not of the number's form")),
+        (is_date & day.isNull(), finding("date_incomplete", "block", "no whole date of the calendar; nothing is guessed")),
+        ((key == "expiry_date") & (day < today), finding("expired", "block", F.concat(F.lit("valid until "), v))),
+        ((key == "expiry_date") & (day >= today) & (F.datediff(day, today) <= warning_days), finding("expiring_soon", "warn", F.concat(F.lit("runs out soon ("), v, F.lit(")")))),
+        (key.isin("birth_date", "issue_date") & (day > today), finding("future_date", "block", F.concat(F.lit("lies ahead of today ("), v, F.lit(")")))),
+        ((key == "birth_date") & (day <= today) & (age < minimum_age), finding("minor", "warn", F.concat(F.lit("holder is "), age.cast("string"), F.lit(f", less than {minimum_age}")))),
+        (F.coalesce(~mrz_matches, F.lit(False)), finding("mrz_mismatch", "block", "differs from the machine-readable date")),
     ]
     return F.when(v == "", F.array().cast("array<struct<code:string,severity:string,message:string>>")).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), f) for c, f in rules])))
 
