@@ -49,10 +49,15 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str, most_files: int = 20, most_each: int = 40 << 20, most_all: int = 100 << 20) -> DataFrame:
-    """Files of a folder with their admission: count, each and total size within limits, and none empty. Contents are not read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.substring(F.element_at(F.split("path", "/"), -1), 1, 160).alias("name"))
-    total = files.agg(F.count("*").alias("n"), F.sum("length").alias("size"))
-    return files.join(F.broadcast(total)).select("name", "length", ((F.col("n").between(1, most_files)) & (F.col("size") <= most_all) & (F.col("length") > 0) & (F.col("length") <= most_each)).alias("admitted"))
+    """Files of an upload's folder with their admission: count, each and total size within limits, and none empty. Contents are not read.
+
+    The folder is listed by its file system: Spark's readers leave empty files out, which have to be refused here.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    files = [(f.getPath().getName()[:160], f.getLen()) for f in found if f.isFile()]
+    whole = 1 <= len(files) <= most_files and sum(n for _, n in files) <= most_all
+    return spark.createDataFrame([(name, n, whole and 0 < n <= most_each) for name, n in files], "name string, length long, admitted boolean")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
