@@ -107,9 +107,12 @@ class Block:
         self.norms = (books.decode(self.codes) ** 2).sum(axis=1)
         self.words = books.words
 
-    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> list[tuple[int, int, float]]:
-        """(query id, id, cosine): the k best of this block for each query, reranked exactly from `rerank` by lookup tables."""
-        rows: list[tuple[int, int, float]] = []
+    def nearest(self, numbers: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> list[tuple[int, int, int, float]]:
+        """(query number, query id, id, cosine): the k best of this block for each query, reranked exactly from `rerank` by lookup tables.
+
+        Of the rows that have a query's id and vector one is the query itself, and left out.
+        """
+        rows: list[tuple[int, int, int, float]] = []
         lengths = norms(queries)
         unit = (queries / lengths[:, None]).astype(np.float32)
         for at in range(0, len(ids), 128):
@@ -121,7 +124,7 @@ class Block:
             n = min(rerank, score.shape[1])
             found = np.argpartition(-score, n - 1, axis=1)[:, :n]
             for q in range(len(part)):
-                own = int(ids[at + q])
+                number, own, raw = int(numbers[at + q]), int(ids[at + q]), queries[at + q].tobytes()
                 best = found[q]
                 cosine = cosines(self.vectors[best], self.lengths[best], queries[at + q], lengths[at + q])
                 top = np.argsort(-cosine, kind="stable")
@@ -130,8 +133,11 @@ class Block:
                     # The k-th so far bounds what can still count; copies enter by id.
                     if len(hits) >= k and -cosine[j] > sorted(hits)[k - 1][0]:
                         break
-                    hits += [(-float(cosine[j]), int(i)) for i in self.ids[best[j]] if i != own]
-                rows += [(own, i, -c) for c, i in sorted(hits)[:k]]
+                    others = self.ids[best[j]].tolist()
+                    if own in others and self.vectors[best[j]].tobytes() == raw:
+                        others.remove(own)
+                    hits += [(-float(cosine[j]), i) for i in others]
+                rows += [(number, own, i, -c) for c, i in sorted(hits)[:k]]
         return rows
 
 
@@ -164,17 +170,16 @@ def query_slices(folder: str, slice_rows: int) -> Iterator[pa.RecordBatch]:
                 yield from pq.ParquetFile(source).iter_batches(slice_rows)
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = 1500, sample: int = 12_000, levels: int = 8, words: int = 256, block_rows: int = 65_536, slice_rows: int = 2_048) -> DataFrame:
+def search(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = 1500, sample: int = 12_000, levels: int = 8, words: int = 256, block_rows: int = 16_384, slice_rows: int = 2_048) -> DataFrame:
     """The k nearest rows by cosine of every row whose vec_id is divisible by `every`, the row itself excepted.
 
     vectors: (vec_id, embedding, ...); other columns are ignored.  Vectors that are null, zero, or hold a null or non-finite
     component take no part, nor do those of another length than most have.  Codebooks are fitted on about `sample` vectors
     chosen by a hash (a documented bound); every vector is encoded.  Vectors are dealt by a hash of their id into blocks of at most
-    about `block_rows`, and as many as the cluster has cores where that leaves 4,096 or more in each.  A task holds one block's codes and
-    vectors, and reads the queries from the shared folder in slices of `slice_rows`: they are not shuffled, and answers are k rows for
+    about `block_rows`, whatever the cluster, so that answers do not depend on it.  A task holds one block's codes and vectors, and reads the queries from the shared folder in slices of `slice_rows`: they are not shuffled, and answers are k rows for
     each query and block.  `rerank` candidates of each block and query are compared exactly; from `rerank` = `block_rows` on the search is exact.
     Returns query_id, rank (from 1), vec_id, score (the cosine of the original vectors in double precision), nearest first,
-    ties to the smaller vec_id.  Rows of equal vec_id count as rows of their own.  Without usable rows the result is empty.
+    ties to the smaller vec_id.  Rows that repeat a vec_id count each on its own, as queries too: only a query's own row is not its answer.  Without usable rows the result is empty.
     """
     spark = vectors.sparkSession
     found = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -193,9 +198,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = 1500,
     if len(x) < 1:
         x = np.zeros((1, dim), np.float32)
     books = fit(x, levels, words)
-    blocks = max(1, -(-total // block_rows), min(spark.sparkContext.defaultParallelism, total // 4_096))
+    blocks = -(-total // block_rows)
     asked = shared_path(spark, "queries")
-    rows.where(F.col("vec_id") % every == 0).write.parquet(asked)
+    rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.monotonically_increasing_id().alias("number")).write.parquet(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held = [], []
@@ -206,12 +211,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = 1500,
             return
         block = Block(np.concatenate(ids), np.concatenate(held), books, k + 1)
         for part in query_slices(asked, slice_rows):
-            found = block.nearest(part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dim), k, rerank)
-            a, b, c = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
+            found = block.nearest(part.column(2).to_numpy(zero_copy_only=False), part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), dim), k, rerank)
+            columns = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["number", "query_id", "vec_id", "score"])
 
     base = rows.select(F.pmod(F.xxhash64(F.lit(4), "vec_id"), blocks).cast("int").alias("block"), "vec_id", "v")
     dealt = base.repartitionById(blocks, F.col("block"))
-    hits = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    hits = dealt.mapInArrow(run, "number long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

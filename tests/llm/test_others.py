@@ -443,3 +443,21 @@ def test_search(spark):
             assert [k for _, k, _ in found] == best
     assert hit / (5 * len(got)) >= 0.9
     assert search(frame.limit(0)).count() == 0 and search(frame.where("vec_id in (0, 1)")).count() == 1
+
+
+def test_search_counts_repeated_ids_each(spark):
+    """Rows of one id are rows of their own, as queries and as answers: only the query's own row is left out."""
+    from dossier.llm.ann import search
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 8)).astype(np.float32)
+    rows = [(k, v[k]) for k in range(40)] + [(0, v[39]), (0, v[0]), (50, v[1]), (50, v[2])]
+    frame = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in rows], "vec_id long, embedding array<float>")
+    got = Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in search(frame, k=5, rerank=1000).collect())
+    want = Counter()
+    for a, (i, x) in enumerate(rows):
+        if i % 50 == 0:
+            x = x.astype(np.float64)
+            scored = sorted((-float((y.astype(np.float64) * x).sum() / (np.sqrt((y.astype(np.float64) ** 2).sum()) * np.sqrt((x * x).sum()))), j) for b, (j, y) in enumerate(rows) if b != a)
+            want.update((i, n, j, round(-s, 9)) for n, (s, j) in enumerate(scored[:5], 1))
+    assert got == want and want.total() == 25
