@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .url_filter import LOWER, RULES, UPPER
+from .url_filter import ENTITIES, LOWER, RULES, UPPER
 
 
 def _host(url: str) -> str:
@@ -22,19 +22,34 @@ def _rule(host: str, path: str, what: int) -> str:
     return "CASE " + " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, verdict)[what]}'" for verdict, h, p in ordered) + " END"
 
 
+def _dotless(path: str) -> str:
+    kept = f"list_reduce(list_transform(string_split({path}, '/'), lambda x: [x]), lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE list_concat(a, x) END)"
+    return f"array_to_string({kept}, '/') || CASE WHEN string_split({path}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END"
+
+
 def _absolute(target: str) -> str:
-    scheme = "regexp_extract(url, '(?s)^(.*?)://', 1)"
-    root = f"{scheme} || '://' || {_host('url')}"
-    return f"CASE WHEN {target} = '' THEN NULL WHEN contains({target}, '://') THEN {target} WHEN starts_with({target}, '//') THEN {scheme} || ':' || {target} WHEN starts_with({target}, '/') THEN {root} || {target} ELSE {root} || regexp_replace({_path('url')}, '[^/]*$', '') || CASE WHEN {_path('url')} = '' THEN '/' ELSE '' END || {target} END"
+    scheme, root = "regexp_extract(url, '(?s)^(.*?)://', 1)", f"regexp_extract(url, '(?s)^(.*?)://', 1) || '://' || {_host('url')}"
+    before, rest = f"regexp_extract({target}, '(?s)^([^?#]*)', 1)", f"regexp_extract({target}, '(?s)^[^?#]*(.*)$', 1)"
+    folder = f"CASE WHEN {_path('url')} = '' THEN '/' ELSE regexp_replace({_path('url')}, '[^/]*$', '') END"
+    return f"""CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_extract({target}, '(?s)^(.*?://[^/?#]*)', 1) || {_dotless(_path(target))} || regexp_extract({target}, '(?s)^.*?://[^?#]*(.*)$', 1)
+WHEN starts_with({target}, '//') THEN {scheme} || ':' || {target} WHEN {target} = '' OR starts_with({target}, '#') OR regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+WHEN starts_with({target}, '?') THEN {root} || {_path('url')} || {target} WHEN starts_with({target}, '/') THEN {root} || {_dotless(before)} || {rest} ELSE {root} || {_dotless(f'(({folder}) || {before})')} || {rest} END"""
+
+
+def _decoded(target: str) -> str:
+    for name, sign in ENTITIES:
+        target = f"replace({target}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return target
 
 
 _QUOTE = "[\"'']?"
-_LINK = f"regexp_extract(regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*{_QUOTE}canonical\\b[^>]*>'), '(?is)\\bhref\\s*=\\s*{_QUOTE}([^\"''\\s>]+)', 1)"
-_REFRESH = f"regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*{_QUOTE}refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*{_QUOTE}([^\"''\\s>]+)', 1)"
+_PLAIN = "regexp_replace(html, '(?s)<!--.*?(?:-->|$)', '', 'g')"
+_TAGS = f"regexp_extract_all({_PLAIN}, '(?is)<link\\b[^>]*\\brel\\s*=\\s*{_QUOTE}canonical\\b[^>]*>')", f"regexp_extract_all({_PLAIN}, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*{_QUOTE}refresh\\b[^>]*>')"
+_FOUND = " , ".join(f"list_transform({tags}, lambda t: regexp_extract(t, '(?is)\\b{name}\\s*=\\s*{_QUOTE}([^\"''\\s>]+)', 1))" for tags, name in zip(_TAGS, ("href", "url")))
 
 URL_FILTER = f"""
-WITH RECURSIVE linked AS (SELECT url, {_LINK} AS link, {_REFRESH} AS refresh FROM pages WHERE contains(url, '://') AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
-edges AS (SELECT url, {_absolute('link')} AS target FROM linked UNION ALL SELECT url, {_absolute('refresh')} FROM linked),
+WITH RECURSIVE linked AS (SELECT url, unnest(list_concat({_FOUND})) AS raw FROM pages WHERE contains(url, '://') AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
+stated AS (SELECT url, {_decoded('raw')} AS link FROM linked), edges AS (SELECT url, {_absolute('link')} AS target FROM stated),
 keyed AS (SELECT url, target, {_key('url')} AS a, {_key('target')} AS b FROM edges WHERE target IS NOT NULL),
 arcs AS (SELECT a, b FROM keyed WHERE a <> b UNION SELECT b, a FROM keyed WHERE a <> b),
 nodes AS (SELECT a AS node, url AS u FROM keyed WHERE a <> b UNION SELECT b, target FROM keyed WHERE a <> b),

@@ -43,25 +43,52 @@ def alias_key(url: Column) -> Column:
     return F.concat(url_host(url), F.regexp_replace(url_path(url), "/$", ""), query)
 
 
-def link_targets(url: Column, html: Column) -> Column:
-    """Targets of `<link rel=canonical>` and of meta refresh in a page, made absolute: an array of URLs."""
-    link = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+#: References that links are written with; `&amp;` is decoded last, so that nothing is decoded twice.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without `.` and `..` segments (RFC 3986, 5.2.4); nothing goes above the root."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(s))))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(kept, ends), "/")
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """A link's target as seen from the page (RFC 3986, 5.2.2); null for the page itself and for targets without a host."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    root = F.concat(scheme, F.lit("://"), url_host(url))
+    root, path = F.concat(scheme, F.lit("://"), url_host(url)), url_path(url)
+    before, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    own = F.regexp_extract(target, r"(?s)^(.*?://[^/?#]*)", 1)
+    return (
+        F.when(target.contains("://") & target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(own, without_dots(url_path(target)), F.regexp_extract(target, r"(?s)^.*?://[^?#]*(.*)$", 1)))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when((target == "") | target.startswith("#") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.startswith("/"), F.concat(root, without_dots(before), rest))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, before)), rest))
+    )
+
 
-    def absolute(target: Column) -> Column:
-        return (
-            F.when(target == "", F.lit(None))
-            .when(target.contains("://"), target)
-            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(root, target))
-            .otherwise(F.concat(root, F.regexp_replace(url_path(url), "[^/]*$", ""), F.when(url_path(url) == "", F.lit("/")).otherwise(F.lit("")), target))
-        )
+def link_targets(url: Column, html: Column) -> Column:
+    """Targets of every `<link rel=canonical>` and meta refresh of a page outside comments, decoded and made absolute: an array of URLs."""
+    plain = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
+    tags = lambda pattern: F.regexp_extract_all(plain, F.lit(pattern), 0)
+    value = lambda tag, name: F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1)
+    links = F.transform(tags(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), lambda t: value(t, "href"))
+    refreshes = F.transform(tags(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), lambda t: value(t, "url"))
+
+    def decoded(target: Column) -> Column:
+        for name, sign in ENTITIES:
+            target = F.replace(target, F.lit(name), F.lit(sign))
+        return target
 
     # The pages without either word skip both expressions.
     maybe = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
-    return F.when(maybe & url.contains("://"), F.array_compact(F.array(absolute(link), absolute(refresh)))).otherwise(F.array().cast("array<string>"))
+    found = F.array_compact(F.transform(F.concat(links, refreshes), lambda x: resolved(url, decoded(x))))
+    return F.when(maybe & url.contains("://"), found).otherwise(F.array().cast("array<string>"))
 
 
 def redirect_edges(pages: DataFrame) -> DataFrame:
@@ -77,7 +104,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges
     A URL that a rule fits keeps the rule's verdict: an explicit allow stands even among blocked aliases.  Any other URL is
     blocked if a rule blocks one of its aliases (target URLs count, though they may not be in `pages`); otherwise `default`.
     Returns page_id, host, path, rule (null where none fits), verdict, aliased (whether an alias decided), a row per row.
-    A null URL, or one without `://`, has an empty host and path, fits no rule and has no alias.  Null html has no links.
+    A null URL, or one without `://`, has an empty host and path, fits no rule and has no alias.  Null html has no links.  Pages of any
+    length are read whole; rows that repeat a page, or its id, are judged each by itself, and their links join one graph.
     Only linked URLs enter the graph: its size follows the number of links, not of pages.
     """
     judged = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))

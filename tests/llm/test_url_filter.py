@@ -23,6 +23,18 @@ PAGES = [
     (13, "http://chain.info/1", '<link rel=canonical href="http://chain.info/2">', None),
     (14, "http://chain.info/2", '<link rel=canonical href="http://chain.info/3">', None),
     (15, "http://chain.info/3", '<link rel=canonical href="http://x.net/">', None),
+    (16, "http://up.info/a/b/c", '<link rel=canonical href="../f">', None),
+    (17, "http://up.info/a/f", '<meta http-equiv="refresh" content="0; url=http://y.net/">', None),
+    (18, "http://two.info/s", '<link rel=canonical href="http://two.info/s"><link rel="canonical" href="http://z.net/">', None),
+    (19, "http://amp.info/?a=1&b=2", '<meta http-equiv=refresh content="1;url=http://w.net/">', None),
+    (20, "http://amp.info/p", '<link rel=canonical href="http://amp.info/?a=1&amp;b=2">', None),
+    (21, "http://quiet.info/", '<!-- <link rel=canonical href="http://v.net/"> --><p>canonical', None),
+    (22, "http://open.info/", '<!-- unfinished <link rel=canonical href="http://v.net/">', None),
+    (23, "http://dots.info/a/./x/", '<link rel=canonical href="./../../../..//g/../h?x=../y">', None),
+    (24, "http://dots.info//h?x=../y", '<link rel=canonical href="http://u.net/a/../b">', None),
+    (25, "http://query.info/p?q=1", '<link rel=canonical href="?q=2"><link rel=canonical href="#top"><link rel=canonical href="mailto:a@b.net">', None),
+    (26, "http://query.info/p?q=2", "<link rel=canonical href=https://t.net/>", None),
+    (27, "http://long.info/", "x" * 300_000 + "<link rel=canonical href=//s.net/>", None),
 ]
 
 
@@ -51,5 +63,11 @@ def test_verdicts(pages):
     assert by[8].rule is None and by[9].rule == "example.com/de/"
 
 
+def test_links_as_written(pages):
+    """Relative targets, several links, decoded references, comments, dot segments, queries, and long pages."""
+    by = {r.page_id: r for r in judge(pages).collect()}
+    assert [k for k in range(16, 28) if by[k].verdict == "block" and by[k].aliased] == [16, 17, 18, 19, 20, 23, 24, 25, 26, 27]
+
+
 def test_empty(spark, pages):
     assert judge(pages.limit(0)).count() == 0
