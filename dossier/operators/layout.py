@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
-from ..functions.text import letters_only
+from ..functions.text import contains_phrase, date_label, letters_only, normalize_ocr
 
 
 def bounds(box: Column) -> Column:
@@ -170,3 +170,66 @@ def neighbours(queries: DataFrame, base: DataFrame, k: int = 2) -> DataFrame:
     best = best.withColumn("n", rank("query_id", "part")).where(F.col("n") <= k).withColumn("rank", rank("query_id")).where(F.col("rank") <= k)
     ratio_of = F.try_divide(F.min("hit.distance").over(Window.partitionBy("query_id")), F.max("hit.distance").over(Window.partitionBy("query_id")))
     return best.select("query_id", "rank", F.col("hit.id").alias("id"), F.col("hit.distance").alias("distance"), ratio_of.alias("ratio"))
+
+
+# Rows of a printed housing card as shares of its size: centre, right edge of the writing, height; words of its labels; and
+# how far from its place a label may be seen.
+HOUSING_ROWS = {"information_office": (0.565, 0.718, 0.15), "name": (0.671, 0.736, 0.17), "address": (0.774, 0.761, 0.18), "form_number": (0.913, 0.747, 0.17)}
+HOUSING_WORDS = ("الاسره", "السكن", "الاستماره", "معلومات", "مكتب", "عنوان")
+NEAR_ROW, LABEL_LEFT, LABEL_TOP, CARD_SHAPE = 0.06, 0.55, 0.45, (1.3, 1.7)
+
+
+def template_rows(lines: DataFrame) -> DataFrame:
+    """(doc_id, key, y, right, height, seen): where the written rows of housing cards lie, in shares of the card, from its printed form.
+
+    lines: (doc_id, text, x1, y1, x2, y2, width, height).  A card counts if its shape fits and a word of its labels was read with two slips or
+    fewer.  A row stands at the label seen nearest its place, whatever was read of it; rows without one follow the form, shifted by the
+    median of the rows that were seen.
+    """
+    h, w = F.col("height"), F.col("width")
+    text = normalize_ocr(F.coalesce("text", F.lit("")))
+    evidence = F.lit(False)
+    for word in HOUSING_WORDS:
+        evidence = evidence | contains_phrase(text, word, 2)
+    middle = (F.col("y1") + F.col("y2")) / 2 / h
+    rows = lines.where((w / h > CARD_SHAPE[0]) & (w / h < CARD_SHAPE[1])).withColumn("at", F.when((F.col("x1") > LABEL_LEFT * w) & (middle > LABEL_TOP), middle))
+    form = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(y).alias("place"), F.lit(right).alias("right"), F.lit(size).alias("height")) for k, (y, right, size) in HOUSING_ROWS.items()])
+    cards = rows.groupBy("doc_id").agg(F.bool_or(evidence).alias("ok"), F.collect_set("at").alias("labels")).where("ok")
+    near = cards.select("doc_id", "labels", F.explode(form).alias("f")).select("doc_id", "labels", "f.*")
+    found = F.array_min(F.transform(F.filter("labels", lambda y: F.abs(y - F.col("place")) < NEAR_ROW), lambda y: F.struct(F.abs(y - F.col("place")).alias("d"), y.alias("y"))))["y"]
+    near = near.withColumn("label", found)
+    shift = F.median(F.col("label") - F.col("place")).over(Window.partitionBy("doc_id"))
+    placed = near.withColumn("y", F.coalesce("label", F.col("place") + F.coalesce(shift, F.lit(0.0))))
+    return placed.select("doc_id", "key", "y", "right", "height", F.col("label").isNotNull().alias("seen"))
+
+
+# Where labels of a national card's back stand, how far rows are apart, and how an unnamed date between two rows is taken for
+# the expiry date; all in shares of the card's height or width.
+BACK_TOP, BACK_RIGHT, ROW_STEP, USUAL_STEP, BETWEEN, OFF_MIDDLE = 0.56, 0.72, (0.035, 0.14), 0.077, (0.07, 0.22), 0.18
+DATE_ROLES = ("issue_date", "expiry_date", "birth_date")
+
+
+def anchored_rows(lines: DataFrame) -> DataFrame:
+    """(doc_id, key, y, step, inferred): rows of a national card's back by their printed labels, and how far rows are apart.
+
+    lines: (doc_id, line_no, text, x1, y1, x2, y2, width, height).  Labels in the right of the upper part give roles, the first line of a role
+    counts.  Where the expiry date's label can't be told, the only unnamed date between issue date and birth place, near their middle, is
+    taken for it.  A card counts with three anchors, of which one is the authority or two are dates; the step is the median of plausible gaps.
+    """
+    h, t = F.col("height"), normalize_ocr(F.coalesce("text", F.lit("")))
+    upper = ((F.col("y1") + F.col("y2")) / 2 <= BACK_TOP * h) & (F.col("x2") >= BACK_RIGHT * F.col("width"))
+    has = lambda *words: sum((F.contains(t, F.lit(x)).cast("int") for x in words[1:]), F.contains(t, F.lit(words[0])).cast("int")) == len(words)
+    family = has("الرقم") & (has("عائل") | has("عانل") | has("خيزان"))
+    role = F.coalesce(date_label(t), F.when(has("جه", "اصدار"), "issuing_authority").when(has("محل", "ولاد"), "birth_place").when(family, "family_number"), F.when(has("تاريخ"), "unnamed"))
+    rows = lines.where(upper).select("doc_id", "line_no", role.alias("key"), (((F.col("y1") + F.col("y2")) / 2) / h).alias("y")).where("key is not null")
+    named = rows.where("key <> 'unnamed'").groupBy("doc_id", "key").agg(F.min_by("y", "line_no").alias("y"))
+    ends = named.groupBy("doc_id").agg(F.max(F.when(F.col("key") == "issue_date", F.col("y"))).alias("a"), F.max(F.when(F.col("key") == "birth_place", F.col("y"))).alias("b"), F.bool_or(F.col("key") == "expiry_date").alias("known"))
+    open_cards = ends.where(~F.col("known") & (F.col("b") - F.col("a") > BETWEEN[0]) & (F.col("b") - F.col("a") < BETWEEN[1]))
+    between = rows.where("key = 'unnamed'").join(open_cards, "doc_id").where((F.col("y") > F.col("a")) & (F.col("y") < F.col("b")))
+    only = between.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("y").alias("y"), F.first("a").alias("a"), F.first("b").alias("b"))
+    taken = only.where((F.col("n") == 1) & (F.abs(F.col("y") - (F.col("a") + F.col("b")) / 2) < OFF_MIDDLE * (F.col("b") - F.col("a")))).select("doc_id", F.lit("expiry_date").alias("key"), "y", F.lit(True).alias("inferred"))
+    anchors = named.withColumn("inferred", F.lit(False)).unionByName(taken)
+    gap = F.col("y") - F.lag("y").over(Window.partitionBy("doc_id").orderBy("y", "key"))
+    anchors = anchors.withColumn("gap", F.when((gap > ROW_STEP[0]) & (gap < ROW_STEP[1]), gap))
+    card = anchors.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("key").isin(*DATE_ROLES)).alias("dates"), F.bool_or(F.col("key") == "issuing_authority").alias("authority"), F.coalesce(F.median("gap"), F.lit(USUAL_STEP)).alias("step"))
+    return anchors.join(card.where("n >= 3 and (authority or dates >= 2)").select("doc_id", "step"), "doc_id").select("doc_id", "key", "y", "step", "inferred")
