@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_phrase, find_label, normalize_keyword, normalize_ocr, valid_value
 
 
-def classify(documents: DataFrame, rules: dict[str, list[tuple[str, int]]], text: str = "text", least: int = 4, margin: int = 2, slips: int | None = None) -> DataFrame:
+def classify(documents: DataFrame, rules: dict[str, list[tuple[str, int]]], text: str = "text", least: int = 4, margin: int = 2, slips: int | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """Adds kind, confidence and evidence: weights of the phrases found, if the best kind has enough and leads by enough.
 
-    `slips` are those allowed in a phrase (by its length, if not given).  The rules are a fixed vocabulary, evaluated inside the row: no join and no shuffle.  Of equal kinds the first rule leads.
+    `slips` are those allowed in a phrase (by its length, if not given); `more` are points that kinds have from elsewhere.  The rules are a fixed vocabulary, evaluated inside the row: no join and no shuffle.  Of equal kinds the first rule leads.
     """
     clean = normalize_keyword(F.col(text))
-    found = [F.struct(F.aggregate(F.array(*[F.when(contains_phrase(clean, w, slips), F.lit(weight)).otherwise(0) for w, weight in words]), F.lit(0), lambda acc, x: acc + x).alias("score"), F.lit(-at).alias("at"), F.lit(kind).alias("kind")) for at, (kind, words) in enumerate(rules.items())]
+    found = [F.struct(F.aggregate(F.array(*[F.when(contains_phrase(clean, w, slips), F.lit(weight)).otherwise(0) for w, weight in words]), (more or {}).get(kind, F.lit(0)), lambda acc, x: acc + x).alias("score"), F.lit(-at).alias("at"), F.lit(kind).alias("kind")) for at, (kind, words) in enumerate(rules.items())]
     ranked = F.reverse(F.array_sort(F.array(*found)))
     rows = documents.withColumn("_r", ranked)
     second = F.coalesce(F.try_element_at("_r", F.lit(2))["score"], F.lit(0))
@@ -27,7 +27,8 @@ def labelled_values(lines: DataFrame, aliases: dict[str, list[str]]) -> DataFram
     """Values after labels in text rows. lines: (doc_id, line_no, text, confidence).
 
     Aliases are tried in order; per key the fewest slips win, then the first alias and line.  What follows the label on its
-    row counts if it has the key's shape and holds no other label exactly; else the next row's text counts.
+    row counts if it has the key's shape and holds no other label exactly; else the next row's text counts.  A row that gives a value to
+    an exact label gives none to labels with slips.
     Returns doc_id, key, value, confidence, typos, line_no.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
@@ -45,7 +46,9 @@ def labelled_values(lines: DataFrame, aliases: dict[str, list[str]]) -> DataFram
                     other = other | after.contains(normalize_label(a))
             value = valid_value(key, F.when(after == "", F.coalesce("below", F.lit(""))).otherwise(after))
             out.append(F.when(hit.isNotNull() & ~other & (value != ""), F.struct(F.lit(key).alias("key"), value.alias("value"), hit["typos"].alias("typos"), F.lit(at).alias("alias"))))
-    found = rows.select("doc_id", "line_no", "confidence", F.explode(F.array_compact(F.array(*out))).alias("h")).select("doc_id", "line_no", "confidence", "h.*")
+    exact = lambda hits: F.filter(hits, lambda h: h["typos"] == 0)
+    rows = rows.select("doc_id", "line_no", "confidence", F.array_compact(F.array(*out)).alias("hits"))
+    found = rows.select("doc_id", "line_no", "confidence", F.explode(F.when(F.size(exact(F.col("hits"))) > 0, exact(F.col("hits"))).otherwise(F.col("hits"))).alias("h")).select("doc_id", "line_no", "confidence", "h.*")
     best = Window.partitionBy("doc_id", "key").orderBy("typos", "alias", "line_no")
     return found.withColumn("n", F.row_number().over(best)).where("n = 1").select("doc_id", "key", "value", "confidence", "typos", "line_no")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
-from ..operators import decide, extract, layout, learning, measure, names, resolve, suggest, vote
+from ..operators import decide, extract, layout, learning, measure, names, recognise, resolve, suggest, vote
 from ..schema import FIELD
 from ..sources import sinks
 from ..streaming import batches
@@ -159,6 +159,42 @@ def zone_cross_checks(spark, sf_dir):
     return found.select(F.col("doc_id").alias("doc"), "key", "value", "status", "matches")
 
 
+# ---- pages
+
+
+@query(
+    """WITH k AS (SELECT o_orderkey, o_orderkey % 8 AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k < 3 THEN 'national_id' WHEN k < 5 THEN 'housing' WHEN k = 5 THEN 'passport' WHEN k = 6 THEN 'tax_card' ELSE 'unknown' END AS kind, CASE k WHEN 0 THEN 18 WHEN 1 THEN 12 WHEN 2 THEN 7 WHEN 3 THEN 12 WHEN 4 THEN 11 WHEN 5 THEN 7 + 8 + 8 WHEN 6 THEN 8 ELSE 9 END AS score,
+CASE k WHEN 0 THEN 'back' WHEN 1 THEN 'front' WHEN 2 THEN 'unknown' WHEN 3 THEN 'front' WHEN 4 THEN 'back' WHEN 5 THEN 'page' WHEN 6 THEN 'page' ELSE 'unknown' END AS side FROM k"""
+)
+def page_faces(spark, sf_dir):
+    """Kinds and faces of pages: a card's zone, its front, one without words of a face, both faces of a housing card, a passport, a tax card with a slip, two kinds at once."""
+    k = F.col("o_orderkey") % 8
+    row = F.concat(F.lit("IDIRQ"), F.lpad(F.col("o_custkey").cast("string"), 9, "A"), F.lit("<<<<<<<<<<<<<<<<"))
+    other = F.lit("9001015M3001016" + "<" * 15)
+    text = F.when(k == 0, F.concat_ws("\n", row, other, other)).when(k == 1, "البطاقة الوطنية\nالرقم الوطني").when(k == 2, F.concat(F.lit("البطاقة الموحدة "), F.col("o_custkey"))).when(k == 3, "بطاقة السكن\nرب الأسرة").when(k == 4, "بطاقة السكن\nضابط المكتب")
+    text = text.when(k == 5, "PASSPORT\nP<IRQ").when(k == 6, "الهيئة العامة للضراتب").otherwise("شهادة الولادة\nشهادة الوفاة")
+    rows = t(spark, sf_dir, "orders").withColumn("text", text)
+    return recognise.identify(rows).select("o_orderkey", "kind", "score", "side")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS doc, o_orderkey % 3 AS k, strftime(o_orderdate, '%Y/%m/%d') AS day, lpad(CAST(o_custkey AS VARCHAR), 12, '1') AS number, 'AB' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS serial, 1000 + o_custkey % 9000 AS house, 'Clerk ' || o_custkey AS clerk, CAST(o_custkey AS VARCHAR) AS customer FROM orders)
+SELECT doc, 'national_number' AS key, number AS value, 0.7 AS confidence FROM o WHERE k = 0 UNION ALL SELECT doc, 'document_number', serial, 0.6 FROM o WHERE k = 0 UNION ALL SELECT doc, 'dates_found', CASE WHEN k = 1 THEN day || ' | 1.2.1999' ELSE day END, 0.5 FROM o UNION ALL SELECT doc, 'issue_date', day, 0.9 FROM o
+UNION ALL SELECT doc, 'name', clerk, 0.8 FROM o WHERE k = 1 UNION ALL SELECT doc, 'numbers_found', string_agg(n, ' | ' ORDER BY pos), 0.5 FROM (SELECT doc, n, min(pos) AS pos FROM (SELECT doc, left(day, 4) AS n, 1 AS pos FROM o WHERE k = 1 UNION ALL SELECT doc, CAST(house AS VARCHAR), 2 FROM o WHERE k = 1 UNION ALL SELECT doc, customer, 3 FROM o WHERE k = 1 AND length(customer) BETWEEN 4 AND 9 UNION ALL SELECT doc, '1999', 4 FROM o WHERE k = 1) GROUP BY ALL) GROUP BY doc"""
+)
+def unlabelled_values(spark, sf_dir):
+    """Numbers, serials and dates by their form, and values behind a colon, on national and housing cards and other pages."""
+    k, day = F.col("o_orderkey") % 3, F.date_format("o_orderdate", "yyyy/MM/dd")
+    number, serial = F.lpad(F.col("o_custkey").cast("string"), 12, "1"), F.concat(F.lit("ab"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"))
+    one = lambda no, said, sure: F.struct(F.lit(no).alias("line_no"), said.alias("text"), F.lit(sure).alias("confidence"))
+    issued = one(1, F.concat(F.lit("تاريخ الإصدار: "), day), 0.9)
+    card = F.array(issued, one(2, F.concat_ws(" ", F.lit("x"), F.translate(number, "0123456789", "٠١٢٣٤٥٦٧٨٩"), serial), 0.8), one(3, F.concat_ws(" ", serial, F.lit("ZZ999999"), day), 0.7))
+    home = F.array(issued, one(2, F.concat_ws(" ", F.lit("رقم"), (1000 + F.col("o_custkey") % 9000).cast("string"), F.lit("123")), 0.8), one(3, F.concat(F.lit("اسم رب الاسرة : Clerk "), F.col("o_custkey")), 0.8), one(4, F.lit("1.2.1999"), 0.7))
+    rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(k == 0, "national_id").when(k == 1, "housing").otherwise("passport").alias("kind"), F.explode(F.when(k == 0, card).when(k == 1, home).otherwise(F.array(issued))).alias("l"))
+    return recognise.pattern_fields(rows.select("doc_id", "kind", "l.*")).select(F.col("doc_id").alias("doc"), "key", "value", "confidence")
+
+
 # ---- names
 
 
