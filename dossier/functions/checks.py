@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import EXPIRY_WARNING_DAYS, FORMATS, MINIMUM_AGE
 from .text import compact, fold_digits, let, normalize_ocr, parse_date
+from .wording import say
 
 
 def check_digit(text: Column) -> Column:
@@ -85,7 +86,7 @@ def finding(code: str, severity: str, message: Column | str) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
 
-def validate_field(key: Column, value: Column, kind: Column, today: Column, mrz_matches: Column, warning_days: int = EXPIRY_WARNING_DAYS, minimum_age: int = MINIMUM_AGE, tight: Column | None = None, day: Column | None = None) -> Column:
+def validate_field(key: Column, value: Column, kind: Column, today: Column, mrz_matches: Column, warning_days: int = EXPIRY_WARNING_DAYS, minimum_age: int = MINIMUM_AGE, tight: Column | None = None, day: Column | None = None, language: str = "en") -> Column:
     """Findings about one field: array of struct(code, severity, message). Values are checked, never altered.
 
     `tight` and `day`, where given, are columns that hold compact(value) and parse_date(value) already.
@@ -99,14 +100,15 @@ def validate_field(key: Column, value: Column, kind: Column, today: Column, mrz_
     for name, shape in FORMATS.items():
         bad_format = bad_format | ((key == name) & ~tight.rlike(f"^(?:{shape})$"))
     bad_format = bad_format | ((key == "document_number") & (kind == "national_id") & (valid_serial(tight) == ""))
+    told = lambda code, severity, **filled: finding(code, severity, say(code, language, **filled))
     rules = [
-        (bad_format, finding("format", "block", "not of the number's form")),
-        (is_date & day.isNull(), finding("date_incomplete", "block", "no whole date of the calendar; nothing is guessed")),
-        ((key == "expiry_date") & (day < today), finding("expired", "block", F.concat(F.lit("valid until "), v))),
-        ((key == "expiry_date") & (day >= today) & (F.datediff(day, today) <= warning_days), finding("expiring_soon", "warn", F.concat(F.lit("runs out soon ("), v, F.lit(")")))),
-        (key.isin("birth_date", "issue_date") & (day > today), finding("future_date", "block", F.concat(F.lit("lies ahead of today ("), v, F.lit(")")))),
-        ((key == "birth_date") & (day <= today) & (age < minimum_age), finding("minor", "warn", F.concat(F.lit("holder is "), age.cast("string"), F.lit(f", less than {minimum_age}")))),
-        (F.coalesce(~mrz_matches, F.lit(False)), finding("mrz_mismatch", "block", "differs from the machine-readable date")),
+        (bad_format, told("format", "block")),
+        (is_date & day.isNull(), told("date_incomplete", "block")),
+        ((key == "expiry_date") & (day < today), told("expired", "block", value=v)),
+        ((key == "expiry_date") & (day >= today) & (F.datediff(day, today) <= warning_days), told("expiring_soon", "warn", value=v)),
+        (key.isin("birth_date", "issue_date") & (day > today), told("future_date", "block", value=v)),
+        ((key == "birth_date") & (day <= today) & (age < minimum_age), told("minor", "warn", age=age.cast("string"), least=minimum_age)),
+        (F.coalesce(~mrz_matches, F.lit(False)), told("mrz_mismatch", "block")),
     ]
     return F.when(v == "", F.array().cast("array<struct<code:string,severity:string,message:string>>")).otherwise(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), f) for c, f in rules])))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import checks, text
+from ..functions import checks, text, wording
 from ..operators import decide, extract, layout, learning, measure, names, recognise, resolve, suggest, vote
 from ..schema import FIELD
 from ..sources import sinks
@@ -367,6 +367,37 @@ def case_reasons(spark, sf_dir):
     return decide.assess(order_documents(spark, sf_dir)).reasons.select("case_id", "code", "key", "severity")
 
 
+_CARD = "البطاقة الوطنية الموحدة"
+
+
+@query(
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS case_id, 'low_confidence' AS code, 'الرقم الوطني ({_CARD} · الوجه الأمامي): قُرئ «' || lpad(CAST(o_custkey AS VARCHAR), 12, '1') || '» بثقة 71% والمطلوب 90%' AS message FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'expired', 'تاريخ النفاذ ({_CARD} · الوجه الخلفي): كان صالحًا إلى ' || strftime(o_orderdate, '%Y/%m/%d') FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'cross_document_number_match', 'رقم البطاقة: المستمسكات لا تتفق عليه' FROM orders WHERE o_orderkey % 11 = 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'cross_name_match', 'الاسم الكامل: المستمسكات لا تتفق عليه' FROM orders WHERE o_orderkey % 13 = 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'missing_document', 'ينقصه البطاقة الضريبية' FROM orders WHERE o_orderkey % 17 = 0"""
+)
+def arabic_reasons(spark, sf_dir):
+    """The reasons of every case in Arabic, from the full decision."""
+    from .queries import order_documents
+
+    return decide.assess(order_documents(spark, sf_dir), language="ar").reasons.select("case_id", "code", "message")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS face, o_orderkey % 3 AS kind FROM orders)
+SELECT k, CASE kind WHEN 0 THEN 'passport' WHEN 1 THEN 'housing card' ELSE 'old paper' END || CASE face WHEN 0 THEN ' (front)' WHEN 1 THEN '' WHEN 2 THEN '' ELSE ' (unknown side)' END AS en, CASE kind WHEN 0 THEN 'جواز السفر' WHEN 1 THEN 'بطاقة السكن' ELSE 'old_paper' END || CASE face WHEN 0 THEN ' · الوجه الأمامي' WHEN 1 THEN '' WHEN 2 THEN '' ELSE ' · وجه غير محدد' END AS ar,
+CASE kind WHEN 0 THEN 'tax number' WHEN 1 THEN 'house number' ELSE 'card shade' END AS field_en, CASE WHEN face = 3 THEN 'لون' WHEN kind = 0 THEN 'الرقم الضريبي' WHEN kind = 1 THEN 'رقم الدار' ELSE 'card_shade' END AS field_ar FROM o"""
+)
+def names_of_documents(spark, sf_dir):
+    """Names of documents with their faces, and of fields, in both languages; those that have none, and fields that bring a label along."""
+    k = F.col("o_orderkey")
+    kind, key = F.when(k % 3 == 0, "passport").when(k % 3 == 1, "housing").otherwise("old_paper"), F.when(k % 3 == 0, "tax_number").when(k % 3 == 1, "house_number").otherwise("card_shade")
+    side = F.when(k % 4 == 0, "front").when(k % 4 == 1, "page").when(k % 4 == 3, "above")
+    label = F.when(k % 4 == 3, "لون").when(k % 4 == 0, "")
+    return t(spark, sf_dir, "orders").select(k.alias("k"), wording.document_name(kind, side).alias("en"), wording.document_name(kind, side, "ar").alias("ar"), wording.field_name(key).alias("field_en"), wording.field_name(key, "ar", label).alias("field_ar"))
+
+
 @query()
 def suggestion_noise(spark, sf_dir):
     """Suggestions for part names garbled at three levels, three readings each: how often the true name comes first, is offered, and any is."""

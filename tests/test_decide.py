@@ -71,3 +71,41 @@ def test_scores(verdicts):
 def test_threshold_range(spark):
     with pytest.raises(ValueError):
         assess(spark.createDataFrame(case("x"), DOC), threshold=0.4)
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    retake = [("blur", "retake", "صورة غير واضحة", "photo is blurred")]
+    cases = case("a", number=field("national_number", "12", 0.97), birth=field("birth_date", "2015/01/15"), expiry=field("expiry_date", "2012/01/01"), capture=retake) + case("b", number=field("national_number", "199012345678", 0.5, "conflict"), tax=False)
+    return {language: assess(spark.createDataFrame(cases, DOC), language=language, shown=2) for language in ("en", "ar")}
+
+
+@pytest.mark.parametrize("language,front,retake", [("en", "national ID card (front)", "photo is blurred"), ("ar", "البطاقة الوطنية الموحدة · الوجه الأمامي", "صورة غير واضحة")])
+def test_messages(spoken, language, front, retake):
+    from dossier.functions.wording import MESSAGES
+
+    a, at = spoken[language], 0 if language == "en" else 1
+    told = {(r.case_id, r.code, r.key): r.message for r in a.reasons.collect()}
+    number, back = ("national number", front.replace("front", "back")) if language == "en" else ("الرقم الوطني", front.replace("الأمامي", "الخلفي"))
+    first = told["a", "low_confidence", "national_number"]
+    assert first.startswith(f"{number} ({front}): ") and first.endswith(("; ", "؛ ")[at] + MESSAGES["format"][at])
+    assert told["a", "retake", None] == f"{front}: {retake}"
+    assert told["a", "chronology", None] == f"{back}: {MESSAGES['chronology'][at]}"
+    assert told["b", "missing_document", "tax_card"].endswith("tax card" if language == "en" else "البطاقة الضريبية")
+    unsure = told["b", "low_confidence", "national_number"]
+    assert unsure.endswith(MESSAGES["conflict"][at]) and "199012345678" in unsure
+    cases = {r.case_id: r for r in a.cases.collect()}
+    assert {c: r.decision for c, r in cases.items()} == {"a": "review", "b": "review"}
+    lines = cases["a"].summary.split("\n")
+    n = cases["a"].blocking_reasons
+    assert lines[0] == MESSAGES["review"][at].format(n=n) and n > 2 and lines[1].startswith("1. ") and lines[3] == MESSAGES["more"][at].format(n=n - 2) and lines[4] == MESSAGES["photos"][at].format(list=told["a", "retake", None])
+
+
+def test_decision_is_alike_in_both_languages(spoken):
+    rows = {language: sorted((r.case_id, r.code, r.key or "", r.severity) for r in a.reasons.collect()) for language, a in spoken.items()}
+    assert rows["en"] == rows["ar"] and rows["en"]
+
+
+def test_language_is_known(spark):
+    with pytest.raises(ValueError):
+        assess(spark.createDataFrame(case("x"), DOC), language="fr")
