@@ -119,6 +119,22 @@ class _Window:
         del self.data[:n]
         self.at += n
 
+    def peek(self, at: int, n: int) -> bytes | None:
+        """n bytes at `at` of the window (fewer at the stream's end), without holding what lies before them; None if the stream can't seek."""
+        if at + n <= len(self.data):
+            return bytes(self.data[at : at + n])
+        if self.done:
+            return bytes(self.data[at : at + n])
+        if not self.stream.seekable():
+            return None
+        here = self.stream.tell()
+        try:
+            # Offsets in the file differ from `at` where the stream didn't begin at 0.
+            self.stream.seek(here - len(self.data) + at)
+            return self.stream.read(n)
+        finally:
+            self.stream.seek(here)
+
 
 def _member(window: _Window, most: int | None) -> tuple[bytes, int] | str:
     """(content, bytes used) of the gzip member at the window's start."""
@@ -150,6 +166,9 @@ def _plain(window: _Window, most: int | None) -> tuple[dict[str, str], bytes, in
     need = end + 8 + int(size[1]) if size else 0
     if most is not None and need > most:
         return "record is above the caller's limit"
+    # A damaged length is seen at the record's end, before what lies between is read.
+    if need and window.peek(need - 4, 4) not in (None, b"\r\n\r\n"):
+        return "record doesn't end"
     while len(window.data) < need and window.more():
         pass
     return parse_record(window.data)
@@ -175,7 +194,8 @@ def salvage(stream, most: int | None = None) -> Iterator[Record | Gap]:
     passes all checks; what lies before is one gap.  Records and gaps together cover every byte once: of the records in one member
     the first has the member's bytes, and the others a length of 0 at its offset, as has a gap inside a member, whose other records are kept.
     Records have no size limit: what is held in memory is one record, or one member's content.  A caller who must bound that sets
-    `most`; larger records are then gaps that say so.
+    `most`; larger records are then gaps that say so.  A plain record is read only if a record's end stands where its length says, so a
+    damaged length doesn't pull in the rest of the file; streams that can't seek are read up to that place.  Headers above 64 MiB are gaps.
     """
     window = _Window(stream)
     gap_at, gap_reason = None, ""
@@ -306,7 +326,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 store, name = filesystem(path)
                 rows, held = [], 0
-                with store.open_input_stream(name, compression=None) as stream:
+                with store.open_input_file(name) as stream:
                     for found in salvage(stream):
                         if isinstance(found, Gap):
                             rows.append((path, found.offset, found.length, "gap", None, None, None, None, None, found.reason))

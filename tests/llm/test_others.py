@@ -151,6 +151,36 @@ def test_salvage(gzip):
         assert sum(isinstance(x, Record) for x in found) >= 18 and sum(isinstance(x, Gap) for x in found) <= 2
 
 
+@pytest.mark.parametrize("start", [0, 1000])
+def test_damaged_length_is_not_read_to_the_end(monkeypatch, start):
+    from dossier.llm import warc
+
+    parts = [warc.format_record("response", f"r{k}", f"u{k}", bytes([65 + k % 26]) * 1_000_000, []) for k in range(30)]
+    bad = parts[10].replace(b"Content-Length: 1000000", b"Content-Length: 1" + b"0" * 6 + b"0")
+    assert len(bad) == len(parts[10]) + 1
+    held, more = [], warc._Window.more
+
+    def watched(window):
+        held.append(len(window.data))
+        return more(window)
+
+    monkeypatch.setattr(warc._Window, "more", watched)
+    stream = io.BytesIO(b"x" * start + b"".join([*parts[:10], bad, *parts[11:]]))
+    stream.seek(start)
+    found = list(warc.salvage(stream))
+    assert [f.headers["warc-target-uri"] for f in found if isinstance(f, warc.Record)] == [f"u{k}" for k in range(30) if k != 10]
+    gaps = [f for f in found if isinstance(f, warc.Gap)]
+    assert [(g.offset, g.length, g.reason) for g in gaps] == [(sum(map(len, parts[:10])), len(bad), "record doesn't end")]
+    assert max(held) < 1_000_000 + 3 * warc.CHUNK
+
+    class Pipe(io.BytesIO):
+        def seekable(self):
+            return False
+
+    pipe = Pipe(stream.getvalue()[start:])
+    assert list(warc.salvage(pipe)) == found
+
+
 @pytest.mark.parametrize("gzip", [True, False])
 def test_salvage_versions_and_members(gzip):
     """WARC/1.0 and 1.1, folded headers, several records a member, large records, and limits of the caller's."""
@@ -461,3 +491,38 @@ def test_search_counts_repeated_ids_each(spark):
             scored = sorted((-float((y.astype(np.float64) * x).sum() / (np.sqrt((y.astype(np.float64) ** 2).sum()) * np.sqrt((x * x).sum()))), j) for b, (j, y) in enumerate(rows) if b != a)
             want.update((i, n, j, round(-s, 9)) for n, (s, j) in enumerate(scored[:5], 1))
     assert got == want and want.total() == 25
+
+
+def test_keys_of_many_contexts():
+    """Contexts beyond 32 bits keep apart, and what doesn't fit is refused."""
+    from dossier.llm import lm
+
+    bits = lm.word_bits(100_000_000)
+    assert bits == 27
+    lm.check_keys(1 << 36, bits)
+    for n, b in ((1 << 38, bits), (1 << 62, 1), (1 << 33, 32)):
+        with pytest.raises(ValueError):
+            lm.check_keys(n, b)
+    rng = np.random.default_rng(1)
+    contexts, words = rng.integers(0, 1 << 36, 5000), rng.integers(0, 100_000_001, 5000)
+    c, w = lm.key_parts(lm.pair_keys(contexts, words, bits), bits)
+    assert (c == contexts).all() and (w == words).all()
+
+    class Part:
+        def find(self, c, w):
+            return np.where(w % 2 == 0, c % 1000, -1), np.ones(len(c), bool)
+
+        def own(self, found):
+            return found / 1000
+
+        def freed(self, c):
+            return c / 2.0**37
+
+    trie = lm.Trie.__new__(lm.Trie)
+    trie.bits = bits
+    level = {"n_shards": 4, "n_contexts": 1 << 36, "shards": {k: ("", 0) for k in range(4)}, "open": {k: Part() for k in range(4)}}
+    contexts[::7], words[::5] = -1, -1
+    entry, own, freed = trie.descend(level, contexts, words)
+    hit = (contexts >= 0) & (words >= 0) & (words % 2 == 0)
+    assert (entry == np.where(hit, contexts % 1000, -1)).all() and np.allclose(own, np.where(hit, contexts % 1000 / 1000, 0))
+    assert np.allclose(freed, np.where(contexts >= 0, contexts / 2.0**37, 1))
