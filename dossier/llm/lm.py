@@ -184,12 +184,32 @@ def hash_shard(hashes: np.ndarray, n_shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(n_shards) >> np.uint64(24)).astype(np.int64)
 
 
+def word_bits(vocabulary_size: int) -> int:
+    """Bits of a word's part in the keys of (context, word) pairs, with room for one mark beyond the ids."""
+    return (vocabulary_size + 1).bit_length()
+
+
+def check_keys(n_contexts: int, bits: int) -> None:
+    """Refuse a level whose contexts and words don't fit in keys of 64 bits together (or contexts in signed numbers)."""
+    if n_contexts.bit_length() > min(64 - bits, 62):
+        raise ValueError(f"{n_contexts} contexts and words of {bits} bits don't fit in keys of 64 bits")
+
+
+def pair_keys(contexts: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    return (contexts.astype(np.uint64) << np.uint64(bits)) | words.astype(np.uint64)
+
+
+def key_parts(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 class Trie:
     """The opened model: vocabulary and levels. Shards of a level are ranges of contexts."""
 
     def __init__(self, spec: dict) -> None:
         self.words = Vocabulary(spec["vocabulary"], spec["n_shards"])
         self.total = spec["train_tokens"]
+        self.bits = word_bits(spec["vocabulary_size"])
         self.levels = []
         for level in spec["levels"]:
             shards, offset = {}, 0
@@ -205,9 +225,9 @@ class Trie:
         if not len(known):
             return entry, own, freed
         # Equal pairs are looked up once, and in sorted order, which keeps to few pages.
-        pairs = (contexts[known] << 32) + (words[known] + 1)
-        distinct, back = np.unique(pairs, return_inverse=True)
-        c, w = distinct >> 32, (distinct & 0xFFFFFFFF) - 1
+        distinct, back = np.unique(pair_keys(contexts[known], words[known] + 1, self.bits), return_inverse=True)
+        c, w = key_parts(distinct, self.bits)
+        w -= 1
         e, o, f = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.ones(len(c))
         shard_of = c * level["n_shards"] // level["n_contexts"]
         cuts = np.flatnonzero(np.concatenate(([True], shard_of[1:] != shard_of[:-1], [True])))
@@ -285,10 +305,11 @@ def train(docs: DataFrame, order: int = 3, docs_per_shard: int = 20_000) -> dict
     spec = {"key": uuid.uuid4().hex, "n_shards": n_shards, "vocabulary": vocabulary, "train_tokens": sum(f[1] for _, _, f in vocabulary), "vocabulary_size": sum(f[0] for _, _, f in vocabulary), "levels": []}
     if spec["vocabulary_size"] >= 1 << 32:
         raise ValueError("word ids have 32 bits")
-    n_contexts = spec["vocabulary_size"] + 1
+    n_contexts, bits = spec["vocabulary_size"] + 1, word_bits(spec["vocabulary_size"])
     for k in range(2, order + 1):
+        check_keys(n_contexts, bits)
         shards = n_shards * 2 ** (k - 1)
-        shard_of = lambda keys, n=n_contexts, s=shards: ((keys >> np.uint64(32)).astype(np.int64) * s // n)
+        shard_of = lambda keys, n=n_contexts, s=shards: key_parts(keys, bits)[0] * s // n
         so_far = dict(spec, key=f"{spec['key']}-{k}", levels=list(spec["levels"]))
 
         def count_pairs(batches: Iterator[pa.RecordBatch], so_far: dict = so_far, shard_of=shard_of, shards: int = shards) -> Iterator[pa.RecordBatch]:
@@ -303,7 +324,7 @@ def train(docs: DataFrame, order: int = 3, docs_per_shard: int = 20_000) -> dict
                     context = np.concatenate(([-1], entries[:-1]))
                     context[firsts] = -1
                 use = context >= 0
-                keys, counts = np.unique((context[use].astype(np.uint64) << np.uint64(32)) | words[use].astype(np.uint64), return_counts=True)
+                keys, counts = np.unique(pair_keys(context[use], words[use], bits), return_counts=True)
                 if tally.add(keys, counts):
                     yield tally.blobs()
             if tally.size:
@@ -323,7 +344,7 @@ def train(docs: DataFrame, order: int = 3, docs_per_shard: int = 20_000) -> dict
                     stored = load(path)
                     keys, counts = _unblob(pa.decompress(stored["blob"].tobytes(), decompressed_size=int(stored["size"][0]), codec="zstd", asbytes=True))
                     first, last = -(-shard * n // s), -(-(shard + 1) * n // s)
-                    arrays = build_level((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), counts, first, last - first, d)
+                    arrays = build_level(*key_parts(keys, bits), counts, first, last - first, d)
                     store, base = filesystem(f"{folder}/level{k}")
                     store.create_dir(base, recursive=True)
                     name = f"{shard}-{uuid.uuid4().hex}.bin"
