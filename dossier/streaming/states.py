@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_digits
@@ -114,3 +114,42 @@ def busy(events: DataFrame, now) -> DataFrame:
     """(queue, batch_id) of the batches that can't be edited at a moment: admitted, and not done by then. events: what track_batches puts out."""
     latest = events.where((F.col("at") <= now) & F.col("outcome").isin("accepted", "expired")).groupBy("queue", "batch_id").agg(F.max_by("status", F.struct("at", "event")).alias("status"))
     return latest.where(F.col("status").isin(*OPEN)).select("queue", "batch_id")
+
+
+def gate_edits(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """requests (batch_id, at, ...) with code: 404 where the batch isn't known by then, 409 while it is waiting or processed, else 200.
+
+    events: what track_batches puts out.  Of a batch's events of one moment the last step counts.  The events of a batch become spans of
+    one status, which requests join by batch; requests are not sorted or gathered, however many ask for one batch.  Requests without
+    a batch or time are not known.
+    """
+    steps = F.create_map(*[F.lit(x) for pair in _RANK.items() for x in pair])
+    after = F.lead("at").over(Window.partitionBy("batch_id").orderBy("at", F.coalesce(F.try_element_at(steps, F.col("event")), F.lit(len(_RANK)))))
+    spans = events.where(F.col("outcome").isin("accepted", "expired")).select(F.col("batch_id").alias("_batch"), F.col("at").alias("_from"), after.alias("_to"), F.col("status").isin(*OPEN).alias("_open"))
+    inside = (F.col("batch_id") == F.col("_batch")) & (F.col("at") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("at") < F.col("_to")))
+    code = F.when(F.col("_batch").isNull(), 404).when(F.col("_open"), 409).otherwise(200)
+    return requests.join(spans, inside, "left").withColumn("code", code).drop("_batch", "_from", "_to", "_open")
+
+
+def gate_stop(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """requests (at, force, ...) to stop everything, with open (batches not done at that moment) and code: 409 while there are any, unless forced, else 200.
+
+    events: what track_batches puts out; what happens at a request's own moment counts.  Counts are running sums over days (the one window
+    without a key, as long as the calendar), over the minutes of a day, and over the moments of a minute.  Requests without a time are refused.
+    """
+    # A batch opens when it is admitted, and is done once.
+    change = F.when(F.col("event") == "submitted", 1).when(~F.col("status").isin(*OPEN), -1).otherwise(0)
+    changes = events.where(F.col("outcome").isin("accepted", "expired")).select("at", change.alias("by"))
+    moments = changes.unionByName(requests.select("at", F.lit(0).alias("by"))).where("at is not null").groupBy("at").agg(F.sum("by").alias("by"))
+    moments = moments.withColumn("minute", F.date_trunc("minute", "at")).withColumn("day", F.to_date("at"))
+
+    def before(window) -> Column:
+        return F.coalesce(F.sum("by").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    minutes = moments.groupBy("day", "minute").agg(F.sum("by").alias("by"))
+    days = minutes.groupBy("day").agg(F.sum("by").alias("by")).select("day", before(Window.orderBy("day")).alias("base"))
+    minutes = minutes.join(days, "day").select("minute", (F.col("base") + before(Window.partitionBy("day").orderBy("minute"))).alias("base"))
+    inside = F.sum("by").over(Window.partitionBy("minute").orderBy("at"))
+    counted = moments.join(minutes, "minute").select(F.col("at").alias("_at"), (F.col("base") + inside).alias("open"))
+    code = F.when(F.col("at").isNull() | (F.col("open") > 0) & ~F.coalesce("force", F.lit(False)), 409).otherwise(200)
+    return requests.join(counted, F.col("at") == F.col("_at"), "left").withColumn("code", code).drop("_at")

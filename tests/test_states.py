@@ -123,3 +123,42 @@ def test_capture(spark, tmp_path, parts):
     assert late.count() == 3
     static = captured(spark.createDataFrame(rows, VERSIONS), documents)
     assert {(r.doc_id, r.revision, r.key, r.value) for r in static.collect()} == want
+
+
+def test_gates_against_loops(spark):
+    """Edits and stops at random moments, ties with the batches' own steps included; null batches, times and flags."""
+    import datetime as dt
+    import random
+
+    from dossier.streaming.states import OPEN, gate_edits, gate_stop
+
+    rng, zero = random.Random(5), dt.datetime(2024, 1, 1, 23, 58, tzinfo=dt.timezone.utc)
+    at = lambda seconds: zero + dt.timedelta(seconds=seconds)
+    events = []
+    for b in range(30):
+        a = rng.randrange(0, 300, 20)
+        run = [("submitted", "queued", "accepted"), ("started", "processing", "accepted"), rng.choice([("finished", "ready", "accepted"), ("failed", "failed", "accepted"), ("interrupted", "interrupted", "expired")])]
+        for event, status, outcome in run[: rng.choice([1, 2, 3, 3, 3])]:
+            events.append((f"b{b}", at(a), event, status, outcome))
+            a += rng.randrange(0, 90, 10)
+        events.append((f"b{b}", at(a), "started", status, "illegal"))
+    events.append(("refused", at(5), "submitted", None, "refused"))
+    rank = {"submitted": 0, "started": 1}
+    asked = [(k, rng.choice([f"b{rng.randrange(32)}", "refused"]), at(rng.randrange(0, 500, 10)), rng.choice([True, False, None])) for k in range(300)] + [(900, None, at(400), None), (901, "b1", None, True)]
+    requests = spark.createDataFrame(asked, "k int, batch_id string, at timestamp, force boolean")
+    table = spark.createDataFrame(events, "batch_id string, at timestamp, event string, status string, outcome string")
+    counted = [e for e in events if e[4] in ("accepted", "expired")]
+
+    def status(batch, when):
+        mine = [(e[1], rank.get(e[2], 2), e[3]) for e in counted if e[0] == batch and when is not None and e[1] <= when]
+        return max(mine)[2] if mine else None
+
+    edits = {r.k: r.code for r in gate_edits(requests, table).collect()}
+    assert edits == {k: 404 if (s := status(b, w)) is None else 409 if s in OPEN else 200 for k, b, w, _ in asked}
+    assert set(edits.values()) == {200, 404, 409}
+    stops = {r.k: (r.open, r.code) for r in gate_stop(requests, table).collect()}
+    for k, _, w, force in asked:
+        n = None if w is None else sum(status(f"b{b}", w) in OPEN for b in range(30))
+        assert stops[k] == (n, 409 if w is None or n and not force else 200)
+    assert gate_edits(requests.limit(0), table).count() == gate_stop(requests.limit(0), table).count() == 0
+    assert {r.code for r in gate_stop(requests.where("at is not null"), table.limit(0)).collect()} == {200}
