@@ -238,6 +238,37 @@ def diverse_names(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(picked, lambda o: F.array_join(o, " ")), ", ").alias("chosen"))
 
 
+# ---- two engines, areas
+
+
+@query(
+    """SELECT p_partkey AS k, CASE WHEN p_partkey % 4 < 2 THEN 'رقم ' || p_partkey ELSE 'رقم' END || CASE WHEN p_partkey % 4 >= 2 AND length(CAST(p_partkey AS VARCHAR)) > 2 THEN ' ' || p_partkey ELSE '' END || CASE WHEN p_partkey % 4 IN (1, 3) THEN ' AB-123' ELSE '' END AS text,
+CASE WHEN p_partkey % 4 >= 2 AND length(CAST(p_partkey AS VARCHAR)) > 2 OR p_partkey % 4 IN (1, 3) THEN 0.7 ELSE 0.9 END AS confidence, CAST(p_partkey % 4 >= 2 AND length(CAST(p_partkey AS VARCHAR)) > 2 AS INTEGER) + CAST(p_partkey % 4 IN (1, 3) AS INTEGER) AS merged FROM part"""
+)
+def merged_lines(spark, sf_dir):
+    """Lines read by two engines: numbers and serials that the Arabic reading lacks come from the other one, words don't."""
+    k = F.col("p_partkey")
+    engine = lambda said, sure: F.struct(said.alias("text"), F.lit(sure).alias("confidence"))
+    arabic = F.when(k % 4 < 2, F.concat(F.lit("رقم "), k)).otherwise("رقم")
+    english = F.concat_ws(" ", F.lit("word"), k.cast("string"), F.when(k % 2 == 1, "ab-123"), F.lit("xy"))
+    return t(spark, sf_dir, "part").select(k.alias("k"), extract.merge_engines(engine(arabic, 0.9), engine(english, 0.7)).alias("m")).select("k", "m.*")
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey, n_name, n_nationkey % 5 AS number FROM nation), c AS (SELECT c_custkey, n_name AS name, CASE WHEN c_custkey % 3 = 0 THEN (c_nationkey + 1) % 5 ELSE c_nationkey % 5 END AS number FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey AS id, c.name AS area FROM c JOIN n ON c.number = n.number AND c.name = n.n_name"""
+)
+def listed_areas(spark, sf_dir):
+    """Areas that list an address's number and bear its name; where the number is another area's there is none."""
+    n = t(spark, sf_dir, "nation")
+    named = F.concat(F.lit("منطقة "), F.translate(F.col("n_nationkey").cast("string"), "0123456789", _ARABIC[:10]))
+    areas = n.select(named.alias("area"), F.array(F.col("n_nationkey") % 5).alias("numbers"), F.col("n_name"))
+    home = t(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    addresses = home.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, (F.col("c_nationkey") + 1) % 5).otherwise(F.col("c_nationkey") % 5).alias("number"), named.alias("name"))
+    found = layout.match_areas(addresses, areas.select("area", "numbers"), alike=1.0)
+    return found.join(areas.select("area", "n_name"), "area").select("id", F.col("n_name").alias("area"))
+
+
 # ---- links and layout
 
 
