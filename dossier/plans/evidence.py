@@ -9,7 +9,7 @@ from ..operators import decide, extract, layout, learning, measure, names, recog
 from ..schema import FIELD
 from ..sources import sinks
 from ..streaming import batches
-from .queries import query, t
+from .queries import dealt, query, t
 from .suggestions import _ARABIC, _LATIN, _arabic, _lexicon
 
 
@@ -174,7 +174,7 @@ def page_faces(spark, sf_dir):
     other = F.lit("9001015M3001016" + "<" * 15)
     text = F.when(k == 0, F.concat_ws("\n", row, other, other)).when(k == 1, "البطاقة الوطنية\nالرقم الوطني").when(k == 2, F.concat(F.lit("البطاقة الموحدة "), F.col("o_custkey"))).when(k == 3, "بطاقة السكن\nرب الأسرة").when(k == 4, "بطاقة السكن\nضابط المكتب")
     text = text.when(k == 5, "PASSPORT\nP<IRQ").when(k == 6, "الهيئة العامة للضراتب").otherwise("شهادة الولادة\nشهادة الوفاة")
-    rows = t(spark, sf_dir, "orders").withColumn("text", text)
+    rows = dealt(t(spark, sf_dir, "orders"), "o_orderkey").withColumn("text", text)
     return recognise.identify(rows).select("o_orderkey", "kind", "score", "side")
 
 
