@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
 from ..functions.text import edit_distance, fold_digits, normalize_name, words
-from ..session import durable
+from ..session import durable, growing
 
 
 def digest(*columns: Column) -> Column:
@@ -161,11 +161,11 @@ def near_names(rows: DataFrame) -> DataFrame:
     places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     without = F.transform(places, lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, size)))
     v = n.select("block", "name", F.explode(F.array_distinct(F.concat(F.array("name"), without))).alias("variant"))
-    met = v.join(v.select("block", F.col("name").alias("other"), "variant"), ["block", "variant"]).where("name < other").select("block", "name", "other").distinct()
+    met = v.join(growing(v.select("block", F.col("name").alias("other"), "variant")), ["block", "variant"]).where("name < other").select("block", "name", "other").distinct()
     near = met.where(edit_distance(F.col("name"), F.col("other"), 1) <= 1)
     left, right = single.select(F.col("id").alias("a"), "block", "name"), single.select(F.col("id").alias("b"), "block", F.col("name").alias("other"))
-    apart = near.join(left, ["block", "name"]).join(right, ["block", "other"]).where("a <> b").select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.lit(1).alias("distance"))
-    same = left.join(right.withColumnRenamed("other", "name"), ["block", "name"]).where("a < b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.lit(0).alias("distance"))
+    apart = near.join(growing(left), ["block", "name"]).join(growing(right), ["block", "other"]).where("a <> b").select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.lit(1).alias("distance"))
+    same = left.join(growing(right.withColumnRenamed("other", "name")), ["block", "name"]).where("a < b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.lit(0).alias("distance"))
     return apart.union(same)
 
 
