@@ -106,17 +106,53 @@ def compatible(a: Column, b: Column) -> Column:
     return F.arrays_overlap(a, b) & ~clash
 
 
+#: Kinds of identity keys: of one kind, two documents must have the same.
+KEY_KINDS = ("national:", "serial:")
+
+
+def _stated(rows: DataFrame, left: bool) -> DataFrame:
+    """rows (id, keys) with left_has, right_has, n, s: a row for each choice of kinds that the other side may have, and the keys of the kinds
+    that both then have; of two sides, all rows that meet on these agree in them, and no others do."""
+    of = lambda kind: F.array_sort(F.filter("keys", lambda v: v.startswith(kind)))
+    held = rows.select("id", of(KEY_KINDS[0]).alias("n"), of(KEY_KINDS[1]).alias("s"))
+    held = held.withColumn("has", (F.size("n") > 0).cast("int") + (F.size("s") > 0).cast("int") * 2).withColumn("other", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    both, none = F.col("has").bitwiseAND(F.col("other")), F.array().cast("array<string>")
+    mine, theirs = ("left_has", "right_has") if left else ("right_has", "left_has")
+    common = lambda c, bit: F.when(both.bitwiseAND(F.lit(bit)) > 0, F.col(c)).otherwise(none).alias(c)
+    return held.where(both > 0).select("id", F.col("has").alias(mine), F.col("other").alias(theirs), common("n", 1), common("s", 2))
+
+
+def _by_other_keys(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id) of rows that share a key of no kind, without conflict."""
+    plain = F.filter("keys", lambda v: ~(v.startswith(KEY_KINDS[0]) | v.startswith(KEY_KINDS[1])))
+    a = left.select(F.col("id").alias("left_id"), F.col("keys").alias("left_keys"), F.explode(plain).alias("key"))
+    b = right.select(F.col("id").alias("right_id"), F.col("keys").alias("right_keys"), F.explode(plain).alias("key"))
+    return a.join(growing(b), "key").where(compatible(F.col("left_keys"), F.col("right_keys"))).select("left_id", "right_id")
+
+
+_MEETING = ["left_has", "right_has", "n", "s"]
+
+
 def key_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id) of rows (id, keys) with a common key and no conflict; an equi-join on the keys, not a product."""
-    a = left.select(F.col("id").alias("left_id"), F.col("keys").alias("left_keys"), F.explode("keys").alias("key"))
-    b = right.select(F.col("id").alias("right_id"), F.col("keys").alias("right_keys"), F.explode("keys").alias("key"))
-    return a.join(b, "key").where(compatible(F.col("left_keys"), F.col("right_keys"))).select("left_id", "right_id").distinct()
+    """(left_id, right_id) of rows (id, keys) with a common key and no conflict.
+
+    Rows meet on all kinds of keys that both have, so no pair meets that a conflict then parts; a frequent key alone brings nothing together.
+    """
+    met = _stated(left, True).withColumnRenamed("id", "left_id").join(growing(_stated(right, False).withColumnRenamed("id", "right_id")), _MEETING).select("left_id", "right_id")
+    return met.union(_by_other_keys(left, right)).distinct()
 
 
 def attach_backs(seeds: DataFrame, backs: DataFrame) -> DataFrame:
-    """(person_id, ref): back faces whose keys fit exactly one person. seeds: (person_id, keys), backs: (ref, keys)."""
-    found = key_pairs(seeds.select(F.col("person_id").alias("id"), "keys"), backs.select(F.col("ref").alias("id"), "keys"))
-    return found.groupBy(F.col("right_id").alias("ref")).agg(F.count_distinct("left_id").alias("owners"), F.min("left_id").alias("person_id")).where("owners = 1").select("person_id", "ref")
+    """(person_id, ref): back faces whose keys fit exactly one person. seeds: (person_id, keys), backs: (ref, keys).
+
+    People who state the same meet a back as one row with the least and the largest of them, which are one if the person is the only one.
+    """
+    ends = F.min("id").alias("least"), F.max("id").alias("most")
+    people, pages = seeds.where("person_id is not null").select(F.col("person_id").alias("id"), "keys"), backs.select(F.col("ref").alias("id"), "keys")
+    met = _stated(pages, False).join(growing(_stated(people, True).groupBy(*_MEETING).agg(*ends)), _MEETING).select(F.col("id").alias("ref"), "least", "most")
+    alike = people.groupBy("keys").agg(*ends).select(F.struct("least", "most").alias("id"), "keys")
+    others = _by_other_keys(alike, pages).select(F.col("right_id").alias("ref"), "left_id.least", "left_id.most")
+    return met.union(others).groupBy("ref").agg(F.min("least").alias("person_id"), F.max("most").alias("most")).where("person_id = most").select("person_id", "ref")
 
 
 def name_proposals(people: DataFrame, housing: DataFrame) -> DataFrame:

@@ -19,3 +19,25 @@ def test_near_names_are_merged(spark):
     found = resolve.near_names(rows)
     assert "Broadcast" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (1, 3, 0), (2, 3, 1)]
+
+
+def test_key_pairs(spark):
+    """Every mix of kinds of keys against a plain comparison; rows that a frequent key brings together but a serial parts never meet."""
+    some = [["serial:1"], ["serial:2"], ["national:1"], ["national:2"], ["serial:1", "national:1"], ["serial:1", "national:2"], ["serial:2", "national:1"], ["x:1"], ["x:1", "serial:1"], ["x:1", "national:2"], ["serial:1", "serial:2"], []]
+    left, right = ([(k + shift, keys) for k, keys in enumerate(some)] for shift in (0, 100))
+    a, b = (spark.createDataFrame(rows, "id long, keys array<string>") for rows in (left, right))
+    want = {(i, j) for i, x in left for j, y in right if _agrees(x, y)}
+    assert {tuple(r) for r in resolve.key_pairs(a, b).collect()} == want
+    owners = {j: {i for i, at in want if at == j} for _, j in want}
+    backs = resolve.attach_backs(a.withColumnRenamed("id", "person_id"), b.withColumnRenamed("id", "ref"))
+    assert {(r.ref, r.person_id) for r in backs.collect()} == {(j, min(o)) for j, o in owners.items() if len(o) == 1}
+    many = spark.range(200).select("id", F.array(F.lit("national:1"), F.concat(F.lit("serial:"), "id")).alias("keys"))
+    assert resolve._stated(many, True).groupBy("left_has", "right_has", "n", "s").count().where("left_has = 3 and right_has = 3").agg(F.max("count")).first()[0] == 1
+
+
+def test_backs_of_common_serials(spark):
+    """People who state the same are one row before backs meet them."""
+    seeds = spark.range(300).select(F.col("id").alias("person_id"), F.array(F.concat(F.lit("serial:"), (F.col("id") % 3).cast("string"))).alias("keys"))
+    backs = spark.createDataFrame([(1, ["serial:0"]), (2, ["serial:9"])], "ref long, keys array<string>")
+    assert resolve.attach_backs(seeds, backs).count() == 0
+    assert "count(distinct" not in resolve.attach_backs(seeds, backs)._jdf.queryExecution().optimizedPlan().toString().lower()
