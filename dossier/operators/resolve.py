@@ -171,17 +171,25 @@ def name_proposals(people: DataFrame, housing: DataFrame) -> DataFrame:
     option = lambda tokens, relation, read: F.when(tokens.isNotNull(), F.struct(tokens.alias("tokens"), F.lit(relation).alias("relationship"), read.alias("read")))
     own_read = F.col("name_read")
     line_read = own_read & F.when(line.isNotNull(), F.col("parts_read")).otherwise(True)
-    p = p.select("person_id", F.explode(F.array_compact(F.array(option(F.col("t"), "owner", own_read), option(line, "father_household", line_read), option(tail, "father_household", line_read)))).alias("o")).select("person_id", "o.*").where(F.size("tokens") >= 3)
-    h = housing.select("ref", "head_read", norm(F.col("head")).alias("head")).where(F.size("head") >= 3)
+    options = F.filter(F.array_compact(F.array(option(F.col("t"), "owner", own_read), option(line, "father_household", line_read), option(tail, "father_household", line_read))), lambda o: F.size(o["tokens"]) >= 3)
+    # People whose names are alike in all this, and households alike in their heads, are compared once.
+    alike = lambda rows, key, said: rows.where(F.size(said) > 0).groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(said)))).alias(said)).withColumn("kind", F.to_json(said))
+    persons = alike(p.select("person_id", options.alias("options")), "person_id", "options").withColumnRenamed("kind", "class")
+    homes = alike(housing.select("ref", F.filter(F.array(F.struct(norm(F.col("head")).alias("head"), "head_read")), lambda x: F.size(x["head"]) >= 3).alias("heads")), "ref", "heads").withColumnRenamed("kind", "home")
+    classes = durable(persons.groupBy("class").agg(F.first("options").alias("options"), F.count("*").alias("people")))
+    said = classes.select("class", F.explode("options").alias("o")).select("class", "o.*")
+    heads = durable(homes.groupBy("home").agg(F.first("heads").alias("heads")).select("home", F.explode("heads").alias("h")).select("home", "h.*"))
     blocks = lambda tokens: F.transform(tokens, lambda _, i: F.concat_ws(" ", i.cast("string"), F.array_join(F.transform(tokens, lambda t, j: F.when(j == i, F.lit("*")).otherwise(t)), " ")))
-    pairs = p.withColumn("block", F.explode(blocks(F.col("tokens")))).join(h.withColumn("block", F.explode(blocks(F.col("head")))), "block").where(F.size("tokens") == F.size("head")).drop("block").distinct()
+    pairs = said.select("tokens").distinct().withColumn("block", F.explode(blocks(F.col("tokens")))).join(growing(heads.select("head").distinct().withColumn("block", F.explode(blocks(F.col("head"))))), "block").where(F.size("tokens") == F.size("head")).drop("block").distinct()
     pairs = pairs.withColumn("exact", F.col("tokens") == F.col("head"))
     pairs = pairs.withColumn("d", F.try_element_at(F.filter(F.zip_with("tokens", "head", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda q: q["x"] != q["y"]), F.lit(1)))
     near = pairs.withColumn("r1", F.when(~F.col("exact"), ratio(F.col("d.x"), F.col("d.y")))).withColumn("r2", F.when(~F.col("exact"), ratio(F.array_join("tokens", " "), F.array_join("head", " "))))
-    kept = near.where(F.col("exact") | ((F.col("r1") >= 0.75) & (F.col("r2") >= 0.92))).withColumn("reliable", F.col("read") & F.col("head_read"))
-    best = kept.groupBy("person_id", "ref").agg(F.max(F.struct("exact", "reliable", (F.col("relationship") == "owner").alias("own"), "relationship")).alias("b"))
-    count = F.count("*").over(Window.partitionBy("ref"))
-    out = best.select("person_id", "ref", "b.relationship", "b.exact", "b.reliable", count.alias("candidate_count"))
+    near = near.where(F.col("exact") | ((F.col("r1") >= 0.75) & (F.col("r2") >= 0.92))).select("tokens", "head", "exact")
+    kept = said.join(growing(near), "tokens").join(growing(heads), "head").withColumn("reliable", F.col("read") & F.col("head_read"))
+    best = kept.groupBy("class", "home").agg(F.max(F.struct("exact", "reliable", (F.col("relationship") == "owner").alias("own"), "relationship")).alias("b"))
+    best = durable(best.join(growing(classes.select("class", "people")), "class").withColumn("candidate_count", F.sum("people").over(Window.partitionBy("home"))))
+    out = best.join(growing(homes.select("ref", "home")), "home").join(growing(persons.select("person_id", "class")), "class")
+    out = out.select("person_id", "ref", "b.relationship", "b.exact", "b.reliable", "candidate_count")
     return out.withColumn("automatic", F.col("exact") & F.col("reliable") & (F.col("candidate_count") == 1))
 
 

@@ -41,3 +41,15 @@ def test_backs_of_common_serials(spark):
     backs = spark.createDataFrame([(1, ["serial:0"]), (2, ["serial:9"])], "ref long, keys array<string>")
     assert resolve.attach_backs(seeds, backs).count() == 0
     assert "count(distinct" not in resolve.attach_backs(seeds, backs)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_households_by_class(spark):
+    """Names are compared once however many people and households bear them."""
+    people = spark.range(40).select(F.col("id").cast("string").alias("person_id"), F.lit("ali karim hadi").alias("name"), F.lit("").alias("father"), F.lit("").alias("grandfather"), F.lit("").alias("surname"), F.lit(True).alias("name_read"), F.lit(True).alias("parts_read"))
+    homes = spark.range(30).select(F.col("id").cast("string").alias("ref"), F.when(F.col("id") % 2 == 0, "ali karim hadi").otherwise("ali kareem hadi").alias("head"), F.lit(True).alias("head_read"))
+    found = resolve.name_proposals(people, homes)
+    rows = found.collect()
+    assert len(rows) == len({(r.person_id, r.ref) for r in rows}) and {r.candidate_count for r in rows} == {40}
+    assert {r.exact for r in rows if int(r.ref) % 2 == 0} == {True} and not any(r.automatic for r in rows)
+    compared = [x for x in plan(found).splitlines() if "ArrowEvalPython" in x]
+    assert not compared  # names are compared before classes are spread out, in a table of their own
