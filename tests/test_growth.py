@@ -53,3 +53,20 @@ def test_households_by_class(spark):
     assert {r.exact for r in rows if int(r.ref) % 2 == 0} == {True} and not any(r.automatic for r in rows)
     compared = [x for x in plan(found).splitlines() if "ArrowEvalPython" in x]
     assert not compared  # names are compared before classes are spread out, in a table of their own
+
+
+def test_neighbours(spark):
+    """Blocks against all pairs, with copies, ties, repeated ids and vectors that take no part."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, [float(rng.randrange(3)) for _ in range(6)]) for k in range(90)] + [(7, [9.0] * 6), (200, [float("nan")] * 6), (201, None)]
+    base = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = base.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    got = {(r.query_id, r.rank): (r.id, r.distance) for r in layout.neighbours(queries, base, block_rows=16).collect()}
+    sound = [(i, v) for i, v in rows if v and v[0] == v[0]]
+    for i, v in sound:
+        if i % 5 == 0:
+            near = sorted((math.sqrt(sum((x - y) ** 2 for x, y in zip(w, v))), j) for j, w in sound if j != i)[:2]
+            assert [got[i, n + 1] for n in range(2)] == [(j, pytest.approx(d)) for d, j in near]
+    assert len(got) == 2 * sum(i % 5 == 0 for i, _ in sound)
