@@ -70,3 +70,12 @@ def test_neighbours(spark):
             near = sorted((math.sqrt(sum((x - y) ** 2 for x, y in zip(w, v))), j) for j, w in sound if j != i)[:2]
             assert [got[i, n + 1] for n in range(2)] == [(j, pytest.approx(d)) for d, j in near]
     assert len(got) == 2 * sum(i % 5 == 0 for i, _ in sound)
+
+
+def test_capitals_letter_by_letter(spark):
+    from dossier.functions.text import normalize_upper
+    from dossier.operators.extract import classify
+
+    rows = spark.createDataFrame([("ß ch",), ("sch",), ("ﬁ é",)], "text string")
+    assert [r[0] for r in rows.select(normalize_upper(F.col("text"))).collect()] == ["ß CH", "SCH", "ﬁ É"]
+    assert [r.score for r in classify(rows, {"german": [("SCH", 1)]}, slips=0).collect()] == [0, 1, 0]
