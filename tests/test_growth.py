@@ -79,3 +79,10 @@ def test_capitals_letter_by_letter(spark):
     rows = spark.createDataFrame([("ß ch",), ("sch",), ("ﬁ é",)], "text string")
     assert [r[0] for r in rows.select(normalize_upper(F.col("text"))).collect()] == ["ß CH", "SCH", "ﬁ É"]
     assert [r.score for r in classify(rows, {"german": [("SCH", 1)]}, slips=0).collect()] == [0, 1, 0]
+
+
+def test_reading_vote_rounds_as_its_sql(spark, tmp_path):
+    from dossier.plans import queries
+
+    spark.createDataFrame([(1, 1, "view", 201.0), (2, 2, "view", 29.0)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.field: r.confidence for r in queries.reading_vote(spark, str(tmp_path)).collect()} == {1: 1.0, 2: 0.14}
