@@ -21,6 +21,20 @@ def test_near_names_are_merged(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (1, 3, 0), (2, 3, 1)]
 
 
+def test_suggestions_are_merged(spark):
+    from dossier.operators import suggest
+
+    texts = spark.createDataFrame([(1, "a", "محمد حسين"), (1, "b", "محمدحسين"), (2, "a", "علي كريم")], "doc long, family string, text string")
+    lexicon = spark.createDataFrame([("محمد", 0), ("حسين", 0), ("علي", 0), ("كريم", 0)], "name string, ord int")
+    found = suggest.consensus(texts, lexicon)
+    assert "Broadcast" not in plan(found)
+    assert {r.doc: r.names for r in found.where("rank = 1").collect()} == {1: ["محمد", "حسين"], 2: ["علي", "كريم"]}
+    frames = spark.createDataFrame([(1, [[[math.log(1 / 3)] * 3] * 4])], "doc long, views array<array<array<double>>>")
+    seeds = spark.createDataFrame([(1, ["ab"])], "doc long, names array<string>")
+    ranked = suggest.rank_on_frames(frames, seeds, spark.createDataFrame([(1, "f", "ab")], "doc long, family string, text string"), ["ab", "ba"], "ab")
+    assert "Broadcast" not in plan(ranked) and ranked.where("rank = 1").first().value == "ab"
+
+
 def test_key_pairs(spark):
     """Every mix of kinds of keys against a plain comparison; rows that a frequent key brings together but a serial parts never meet."""
     some = [["serial:1"], ["serial:2"], ["national:1"], ["national:2"], ["serial:1", "national:1"], ["serial:1", "national:2"], ["serial:2", "national:1"], ["x:1"], ["x:1", "serial:1"], ["x:1", "national:2"], ["serial:1", "serial:2"], []]
