@@ -44,6 +44,12 @@ def test_decision_is_merged(spark):
     assert {(r.doc_id, r.raw, r.partner) for r in raised.collect()} == {("d0", 0.75, "d1"), ("d1", 0.75, "d0"), ("d2", 0.75, "d0")}
 
 
+def _agrees(a, b):
+    of = lambda keys, kind: sorted(k for k in keys if k.startswith(kind))
+    clash = any(of(a, k) and of(b, k) and of(a, k) != of(b, k) for k in ("national:", "serial:"))
+    return bool(set(a) & set(b)) and not clash
+
+
 def test_key_pairs(spark):
     """Every mix of kinds of keys against a plain comparison; rows that a frequent key brings together but a serial parts never meet."""
     some = [["serial:1"], ["serial:2"], ["national:1"], ["national:2"], ["serial:1", "national:1"], ["serial:1", "national:2"], ["serial:2", "national:1"], ["x:1"], ["x:1", "serial:1"], ["x:1", "national:2"], ["serial:1", "serial:2"], []]
