@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_phrase, find_label, let, normalize_keyword, normalize_ocr, valid_value
+from ..functions.similarity import phrase_points
+from ..functions.text import find_label, normalize_keyword, normalize_ocr, valid_value
 
 
 def classify(documents: DataFrame, rules: dict[str, list[tuple[str, int]]], text: str = "text", least: int = 4, margin: int = 2, slips: int | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """Adds kind, confidence and evidence: weights of the phrases found, if the best kind has enough and leads by enough.
 
-    `slips` are those allowed in a phrase (by its length, if not given); `more` are points that kinds have from elsewhere.  The rules are a fixed vocabulary, evaluated inside the row: no join and no shuffle.  Of equal kinds the first rule leads.
+    `slips` are those allowed in a phrase (by its length, if not given); `more` are points that kinds have from elsewhere.  The rules are a fixed vocabulary, evaluated inside the row in blocks of rows: no join and no shuffle.  Of equal kinds the first rule leads.
     """
-    points = lambda clean, words, kind: F.aggregate(F.array(*[F.when(contains_phrase(clean, w, slips), F.lit(weight)).otherwise(0) for w, weight in words]), (more or {}).get(kind, F.lit(0)), lambda acc, x: acc + x)
-    # The text is normalised once, not once a phrase.
-    found = let(normalize_keyword(F.col(text)), lambda clean: F.array(*[F.struct(points(clean, words, kind).alias("score"), F.lit(-at).alias("at"), F.lit(kind).alias("kind")) for at, (kind, words) in enumerate(rules.items())]))
+    rows = documents.withColumn("_p", phrase_points(normalize_keyword(F.col(text)), list(rules.values()), slips))
+    found = F.array(*[F.struct((F.col("_p")[at] + (more or {}).get(kind, F.lit(0))).alias("score"), F.lit(-at).alias("at"), F.lit(kind).alias("kind")) for at, kind in enumerate(rules)])
     ranked = F.reverse(F.array_sort(found))
-    rows = documents.withColumn("_r", ranked)
+    rows = rows.withColumn("_r", ranked)
     second = F.coalesce(F.try_element_at("_r", F.lit(2))["score"], F.lit(0))
     sure = (F.col("_r")[0]["score"] >= least) & (F.col("_r")[0]["score"] - second >= margin)
     score = F.col("_r")[0]["score"]
-    return rows.withColumn("kind", F.when(sure, F.col("_r")[0]["kind"]).otherwise("unknown")).withColumn("score", score).withColumn("confidence", F.when(sure, F.bround(F.least(F.lit(0.94), F.lit(0.45) + score * 0.035), 4)).otherwise(0.0)).drop("_r")
+    return rows.withColumn("kind", F.when(sure, F.col("_r")[0]["kind"]).otherwise("unknown")).withColumn("score", score).withColumn("confidence", F.when(sure, F.bround(F.least(F.lit(0.94), F.lit(0.45) + score * 0.035), 4)).otherwise(0.0)).drop("_r", "_p")
 
 
 def labelled_values(lines: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:

@@ -54,10 +54,10 @@ def plain_word(word: str) -> str:
 _LONE_DATE = r"(?<!\d)(?:\d{4}[/.-]\d{1,2}[/.-]\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{4})(?!\d)"
 
 
-def zone_evidence(text: Column) -> tuple[Column, Column, Column]:
-    """Of a page's text: whether it has three rows like those of a machine-readable zone, and the marks of a card's and of a passport's zone."""
+def zone_evidence(text: Column, plain: Column) -> tuple[Column, Column, Column]:
+    """Of a page's text, and its keyword form: whether it has three rows like those of a machine-readable zone, and the marks of a card's and of a passport's zone."""
     rows = F.size(F.filter(F.split(text, "\n"), lambda r: (F.length(r) >= 20) & (F.regexp_count(r, F.lit("<")) >= 3))) >= 3
-    tight = F.regexp_replace(normalize_keyword(text), r"(?U)\s", "")
+    tight = F.regexp_replace(plain, r"(?U)\s", "")
     return rows, tight.rlike("(?:ID|I[<KL])IRQ"), tight.rlike("P<IRQ")
 
 
@@ -79,8 +79,8 @@ def identify(documents: DataFrame, rules: dict[str, list[tuple[str, int]]] | Non
     Machine-readable rows count beside words.  All of it is computed inside the row.  Null and empty texts are of unknown kind and face.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows, card, passport = zone_evidence(whole)
-    given = documents.withColumn("_zone", F.struct(rows.alias("rows"), card.alias("card"), passport.alias("passport"))).withColumn("_plain", normalize_keyword(whole))
+    rows, card, passport = zone_evidence(whole, F.col("_plain"))
+    given = documents.withColumn("_plain", normalize_keyword(whole)).withColumn("_zone", F.struct(rows.alias("rows"), card.alias("card"), passport.alias("passport")))
     weight = lambda when, w: F.when(when, w).otherwise(0)
     more = {"national_id": weight(F.col("_zone.rows"), ZONE_LAYOUT) + weight(F.col("_zone.card"), ZONE_STATE), "passport": weight(F.col("_zone.passport"), ZONE_STATE)}
     words = {kind: [(plain_word(w), n) for w, n in found] for kind, found in (KIND_RULES if rules is None else rules).items()}

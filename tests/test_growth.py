@@ -115,3 +115,40 @@ def test_reading_vote_rounds_as_its_sql(spark, tmp_path):
 
     spark.createDataFrame([(1, 1, "view", 201.0), (2, 2, "view", 29.0)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert {r.field: r.confidence for r in queries.reading_vote(spark, str(tmp_path)).collect()} == {1: 1.0, 2: 0.14}
+
+
+def test_phrases_in_blocks(spark):
+    """Phrases with slips against every window of about as many words; the text is taken apart once, not once a phrase."""
+    import random
+
+    from dossier.functions.similarity import tolerance
+    from dossier.operators.extract import classify
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            before, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(before[j] + (x != y), before[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    def occurs(text, phrase):
+        tight, slips, count, words = phrase.replace(" ", ""), tolerance(phrase), len(phrase.split()), text.split()
+        windows = ("".join(words[i : i + n]) for n in range(max(1, count - 1), count + 2) for i in range(len(words) - n + 1))
+        return tight in text.replace(" ", "") or bool(slips) and any(distance(w, tight) <= slips for w in windows)
+
+    rng, phrases = random.Random(5), ["ABCABC", "ABC CBAAB", "AABB CCAA BBCC", "ABAB"]
+    texts = [None, "", " "]
+    for _ in range(400):
+        letters = list(rng.choice(phrases))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(letters))
+            letters[at : at + 1] = rng.choice(([], [rng.choice("ABC")], [letters[at], rng.choice("ABC ")]))
+        texts.append("".join(rng.choice("ABC  \n") for _ in range(rng.randrange(12))) + rng.choice(("", " ", " ")) + "".join(letters) + rng.choice(("", " C\tA")))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = classify(rows, {p: [(p, 1)] for p in phrases}, least=1, margin=0)
+    for r in found.collect():
+        told = [p for p in phrases if r.text is not None and occurs(r.text, p)]
+        assert (r.score, r.kind) == ((1, told[0]) if told else (0, "unknown")), r.text
+    searched = found.select("kind")._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in searched and searched.count("split(") <= 1
