@@ -152,3 +152,18 @@ def test_phrases_in_blocks(spark):
         assert (r.score, r.kind) == ((1, told[0]) if told else (0, "unknown")), r.text
     searched = found.select("kind")._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in searched and searched.count("split(") <= 1
+
+
+def test_equal_readings_are_scored_once(spark, monkeypatch):
+    """Names of the same readings get the same suggestions, found once for all of them."""
+    from dossier.operators import suggest
+
+    texts = spark.createDataFrame([(k, f, t) for k in range(30) for f, t in (("a", "محمد حسين"), ("b", "محمدحسين"), ("c", "محمد حسن"))] + [(99, "a", "علي كريم")], "doc long, family string, text string")
+    lexicon, seen = spark.createDataFrame([(n, 0) for n in ("محمد", "حسين", "حسن", "علي", "كريم")], "name string, ord int"), []
+    scored = suggest.explained
+    monkeypatch.setattr(suggest, "explained", lambda candidates, texts: seen.append(texts.select("doc").distinct().count()) or scored(candidates, texts))
+    found = {}
+    for r in suggest.consensus(texts, lexicon).collect():
+        found.setdefault(r.doc, []).append((r.rank, tuple(r.names), r.score))
+    assert seen == [2] and set(found) == {*range(30), 99}
+    assert all(sorted(found[k]) == sorted(found[0]) for k in range(30)) and (1, ("محمد", "حسين"), found[0][0][2]) in found[0]
