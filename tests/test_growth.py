@@ -167,3 +167,15 @@ def test_equal_readings_are_scored_once(spark, monkeypatch):
         found.setdefault(r.doc, []).append((r.rank, tuple(r.names), r.score))
     assert seen == [2] and set(found) == {*range(30), 99}
     assert all(sorted(found[k]) == sorted(found[0]) for k in range(30)) and (1, ("محمد", "حسين"), found[0][0][2]) in found[0]
+
+
+@pytest.mark.parametrize("name", ["corroborate_noisy_or"])
+def test_larger_tables_make_more_tasks(spark, tmp_path, monkeypatch, name):
+    """A table is dealt once, to as many tasks as its rows need, and nothing is shuffled again."""
+    from dossier.plans import evidence, proofs, queries  # noqa: F401
+
+    spark.range(100).selectExpr("id div 4 AS l_orderkey", "CAST(id % 4 AS INT) AS l_linenumber", "id AS l_partkey", "id % 7 AS l_suppkey", "1.0D AS l_quantity", "0.04D AS l_discount", "substr('ANR', CAST(id % 3 AS INT) + 1, 1) AS l_returnflag", "'O' AS l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(queries, "TASK_ROWS", 10)
+    told = plan(queries.QUERIES[name](spark, str(tmp_path)))
+    assert ", 10), REPARTITION_BY_NUM" in told and "ENSURE_REQUIREMENTS" not in told and "Broadcast" not in told
