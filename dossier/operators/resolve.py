@@ -337,6 +337,6 @@ def versions(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def guarded_update(current: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Optimistic concurrency: updates (id, seen_revision, value) apply where the revision is still the one seen; the rest are rejected."""
-    joined = updates.join(current.select("id", "revision"), "id", "left")
+    joined = updates.join(growing(current.select("id", "revision")), "id", "left")
     ok = F.col("seen_revision").eqNullSafe(F.col("revision"))
     return joined.where(ok).drop("revision"), joined.where(~ok).drop("revision")

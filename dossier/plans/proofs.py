@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..operators import decide, extract, geography, layout, learning, measure, people, resolve, vote
-from .queries import query, t
+from .queries import dealt, query, t
 
 _CONF_SQL = "((event_id * 37) % 101) / 100.0"
 
@@ -210,7 +210,7 @@ def field_versions(spark, sf_dir):
 @query("SELECT o_orderkey AS id, o_orderkey % 4 <> 0 AND o_orderkey % 9 <> 0 AS applied FROM orders")
 def revision_guard(spark, sf_dir):
     """Updates apply only where the revision is the one that was seen."""
-    o = t(spark, sf_dir, "orders")
+    o = dealt(t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     current = o.where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("id"), F.lit(5).alias("revision"))
     applied, rejected = resolve.guarded_update(current, o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, 4).otherwise(5).alias("seen_revision"), F.lit("v").alias("value")))
     return applied.select("id", F.lit(True).alias("applied")).unionByName(rejected.select("id", F.lit(False).alias("applied")))
