@@ -304,7 +304,8 @@ n AS (SELECT *, sum(CASE WHEN x1 - reach > 600 THEN 1 ELSE 0 END) OVER (PARTITIO
 )
 def gap_runs(spark, sf_dir):
     """Boxes from left to right, parted where a gap is wide."""
-    boxes = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), (F.col("l_partkey") * 10.0).alias("x1"), (F.col("l_partkey") * 10.0 + F.col("l_quantity")).alias("x2"), F.lit(300.0).alias("height"))
+    rows = dealt(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), "l_orderkey")
+    boxes = rows.select(F.col("l_orderkey").alias("g"), (F.col("l_partkey") * 10.0).alias("x1"), (F.col("l_partkey") * 10.0 + F.col("l_quantity")).alias("x2"), F.lit(300.0).alias("height"))
     return layout.runs_by_gap(boxes, "g", 2.0).groupBy("g", "run").agg(F.count("*").alias("n"), F.min("x1").alias("x1"), F.max("x2").alias("x2"))
 
 

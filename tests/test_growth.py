@@ -169,7 +169,7 @@ def test_equal_readings_are_scored_once(spark, monkeypatch):
     assert all(sorted(found[k]) == sorted(found[0]) for k in range(30)) and (1, ("محمد", "حسين"), found[0][0][2]) in found[0]
 
 
-@pytest.mark.parametrize("name", ["corroborate_noisy_or", "revision_guard"])
+@pytest.mark.parametrize("name", ["corroborate_noisy_or", "revision_guard", "gap_runs"])
 def test_larger_tables_make_more_tasks(spark, tmp_path, monkeypatch, name):
     """A table is dealt once, to as many tasks as its rows need, and nothing is shuffled again."""
     from dossier.plans import evidence, proofs, queries  # noqa: F401
