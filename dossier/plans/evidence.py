@@ -175,7 +175,7 @@ def page_faces(spark, sf_dir):
     other = F.lit("9001015M3001016" + "<" * 15)
     text = F.when(k == 0, F.concat_ws("\n", row, other, other)).when(k == 1, "البطاقة الوطنية\nالرقم الوطني").when(k == 2, F.concat(F.lit("البطاقة الموحدة "), F.col("o_custkey"))).when(k == 3, "بطاقة السكن\nرب الأسرة").when(k == 4, "بطاقة السكن\nضابط المكتب")
     text = text.when(k == 5, "PASSPORT\nP<IRQ").when(k == 6, "الهيئة العامة للضراتب").otherwise("شهادة الولادة\nشهادة الوفاة")
-    rows = dealt(t(spark, sf_dir, "orders"), "o_orderkey").withColumn("text", text)
+    rows = dealt(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").withColumn("text", text)
     return recognise.identify(rows).select("o_orderkey", "kind", "score", "side")
 
 
@@ -318,9 +318,8 @@ def box_places(spark, sf_dir):
     p = lambda dx, dy: F.array(x + dx, y + dy)
     turn = F.col("l_linenumber") % 3
     box = F.when(turn == 0, F.array(p(10, 5), p(0, 0), p(10, 0), p(0, 5))).when(turn == 1, F.array(p(0, 5), p(10, 5), p(0, 0), p(10, 0))).otherwise(F.array(p(0, 0), p(10, 0), p(10, 5), p(0, 5)))
-    first = layout.corners_in_order(box)[0]
-    rows = t(spark, sf_dir, "lineitem").withColumn("b", layout.bounds(box)).withColumn("first", F.concat_ws(",", first[0].cast("int"), first[1].cast("int")))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "b.*", layout.third(F.col("b.x1"), F.lit(60.0), ("left", "middle", "right")).alias("place"), "first")
+    rows = dealt(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey").withColumn("b", layout.bounds(box)).withColumn("c", layout.corners_in_order(box)[0])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "b.*", layout.third(F.col("b.x1"), F.lit(60.0), ("left", "middle", "right")).alias("place"), F.concat_ws(",", F.col("c")[0].cast("int"), F.col("c")[1].cast("int")).alias("first"))
 
 
 # ---- batches, learning, reports

@@ -169,7 +169,7 @@ def test_equal_readings_are_scored_once(spark, monkeypatch):
     assert all(sorted(found[k]) == sorted(found[0]) for k in range(30)) and (1, ("محمد", "حسين"), found[0][0][2]) in found[0]
 
 
-@pytest.mark.parametrize("name", ["corroborate_noisy_or", "revision_guard", "gap_runs"])
+@pytest.mark.parametrize("name", ["corroborate_noisy_or", "revision_guard", "gap_runs", "box_places"])
 def test_larger_tables_make_more_tasks(spark, tmp_path, monkeypatch, name):
     """A table is dealt once, to as many tasks as its rows need, and nothing is shuffled again."""
     from dossier.plans import evidence, proofs, queries  # noqa: F401
@@ -179,3 +179,20 @@ def test_larger_tables_make_more_tasks(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(queries, "TASK_ROWS", 10)
     told = plan(queries.QUERIES[name](spark, str(tmp_path)))
     assert ", 10), REPARTITION_BY_NUM" in told and "ENSURE_REQUIREMENTS" not in told and "Broadcast" not in told
+
+
+def test_corners_are_computed_once(spark):
+    """The centre of a box is found once, not once a corner; corners begin with that of the least x + y, as before."""
+    import random
+
+    rng = random.Random(2)
+    boxes = [[[float(rng.randrange(50)), float(rng.randrange(50))] for _ in range(4)] for _ in range(200)]
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate(boxes)], "k int, box array<array<double>>").select("k", layout.corners_in_order(F.col("box")).alias("c"), layout.bounds(F.col("box")).alias("b"))
+    for r in rows.collect():
+        box = boxes[r.k]
+        cx, cy = sum(p[0] for p in box) / 4, sum(p[1] for p in box) / 4
+        turned = [p for _, p in sorted((math.atan2(p[1] - cy, p[0] - cx), p) for p in box)]
+        first = min(range(4), key=lambda i: sum(turned[i]))
+        assert r.c == turned[first:] + turned[:first]
+        assert tuple(r.b) == (min(p[0] for p in box), min(p[1] for p in box), max(p[0] for p in box), max(p[1] for p in box))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
