@@ -108,7 +108,8 @@ def pattern_fields(lines: DataFrame) -> DataFrame:
 
     parts = F.split(read, "[:：]", 2)
     said = F.trim(F.regexp_replace(F.try_element_at(parts, F.lit(2)), r"(?U)^\s+|\s+$", ""))
-    rows = lines.select("doc_id", "kind", "line_no", F.col("confidence").alias("sure"), plain.alias("plain"), normalize_keyword(parts[0]).alias("label"), said.alias("said"))
+    rows = lines.select("doc_id", "kind", "line_no", F.col("confidence").alias("sure"), plain.alias("plain"), said.alias("said"))
+    rows = rows.withColumn("label", F.split("plain", "[:：]", 2)[0])
     is_card = kind == "national_id"
     every = [
         hits("national_number", F.when(is_card, found(r"(?<!\d)\d{12}(?!\d)")).otherwise(none), F.lit(BY_FORM["national_number"])),

@@ -192,7 +192,7 @@ def unlabelled_values(spark, sf_dir):
     issued = one(1, F.concat(F.lit("تاريخ الإصدار: "), day), 0.9)
     card = F.array(issued, one(2, F.concat_ws(" ", F.lit("x"), F.translate(number, "0123456789", "٠١٢٣٤٥٦٧٨٩"), serial), 0.8), one(3, F.concat_ws(" ", serial, F.lit("ZZ999999"), day), 0.7))
     home = F.array(issued, one(2, F.concat_ws(" ", F.lit("رقم"), (1000 + F.col("o_custkey") % 9000).cast("string"), F.lit("123")), 0.8), one(3, F.concat(F.lit("اسم رب الاسرة : Clerk "), F.col("o_custkey")), 0.8), one(4, F.lit("1.2.1999"), 0.7))
-    rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(k == 0, "national_id").when(k == 1, "housing").otherwise("passport").alias("kind"), F.explode(F.when(k == 0, card).when(k == 1, home).otherwise(F.array(issued))).alias("l"))
+    rows = dealt(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.when(k == 0, "national_id").when(k == 1, "housing").otherwise("passport").alias("kind"), F.explode(F.when(k == 0, card).when(k == 1, home).otherwise(F.array(issued))).alias("l"))
     return recognise.pattern_fields(rows.select("doc_id", "kind", "l.*")).select(F.col("doc_id").alias("doc"), "key", "value", "confidence")
 
 

@@ -196,3 +196,13 @@ def test_corners_are_computed_once(spark):
         assert r.c == turned[first:] + turned[:first]
         assert tuple(r.b) == (min(p[0] for p in box), min(p[1] for p in box), max(p[0] for p in box), max(p[1] for p in box))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
+
+
+def test_labels_are_cut_from_the_plain_line(spark):
+    """Lines are brought to their keyword form once, and their labels cut from it."""
+    from dossier.operators.recognise import pattern_fields
+
+    lines = spark.createDataFrame([(1, "passport", 1, "تَأريخ الإصدار： ٢٠٢٠/١/٥: x", 0.9), (1, "passport", 2, "عنوان السكن", 0.9)], "doc_id int, kind string, line_no int, text string, confidence double")
+    found = pattern_fields(lines)
+    assert {(r.key, r.value) for r in found.collect()} == {("dates_found", "2020/1/5"), ("issue_date", "٢٠٢٠/١/٥: x")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ً-ٟـ") <= 1
