@@ -36,7 +36,13 @@ def compare_names(pairs: DataFrame, a: str, b: str, out: str = "name_status", al
     return rows.withColumn(out, F.when(F.col("_r") >= alike, "warn").otherwise(F.col("_s"))).drop("_a", "_b", "_s", "_d", "_r")
 
 
+def said_value(key: Column, value: Column) -> Column:
+    """What a reading of a key states, as text: a date's day (null if it is none), a business name's parts, else the value without separators."""
+    plain = F.regexp_replace(compact(value), "[/-]", "")
+    return F.when(key.endswith("_date"), parse_date(value).cast("string")).when(key == "business_name", F.array_join(name_tokens(value), " ")).otherwise(plain)
+
+
 def same_value(key: Column, a: Column, b: Column) -> Column:
     """Whether two readings of a key state the same: as dates, as business names by parts, else without separators."""
-    plain = lambda v: F.regexp_replace(compact(v), "[/-]", "")
-    return F.when(key.endswith("_date"), F.coalesce(parse_date(a) == parse_date(b), F.lit(False))).when(key == "business_name", name_tokens(a) == name_tokens(b)).otherwise(plain(a) == plain(b))
+    same = said_value(key, a) == said_value(key, b)
+    return F.when(key.endswith("_date"), F.coalesce(same, F.lit(False))).otherwise(same)

@@ -620,7 +620,7 @@ _READ = "SELECT l_orderkey AS case_id, l_linenumber AS doc_no, 'N' || min(l_part
 
 
 def _line_documents(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("doc_no"))
+    rows = dealt(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_discount"), "l_orderkey").groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("doc_no"))
     rows = rows.agg(F.concat(F.lit("N"), (F.min("l_partkey") % 3).cast("string")).alias("number"), F.date_format(F.min("l_shipdate"), "yyyy/01/01").alias("birth"), F.max(F.round(F.col("l_discount") * 10, 2)).alias("raw"), (F.max("l_discount") + 0.85).alias("confidence"))
     return rows.withColumn("doc_id", F.concat_ws("-", F.col("case_id").cast("string"), F.col("doc_no").cast("string"))).withColumns({"kind": F.lit("passport"), "side": F.lit("page")})
 

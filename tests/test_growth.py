@@ -206,3 +206,20 @@ def test_labels_are_cut_from_the_plain_line(spark):
     found = pattern_fields(lines)
     assert {(r.key, r.value) for r in found.collect()} == {("dates_found", "2020/1/5"), ("issue_date", "٢٠٢٠/١/٥: x")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("ً-ٟـ") <= 1
+
+
+def test_documents_meet_by_what_they_state(spark, monkeypatch):
+    """Documents that state other numbers or days never meet, and readings are compared by keys made once a document, not once a pair."""
+    from dossier.operators import decide
+
+    rows = [(1, f"d{k}", k, "passport", "page", "national_number", f"{k % 50:03d}-1", 0.5, "ocr") for k in range(100)]
+    rows += [(2, f"e{k}", k, "passport", "page", "birth_date", v, 0.5, "ocr") for k, v in enumerate(("2020/1/5", "٢٠٢٠/٠١/٠٥", "5", "5", "2020/1/6"))]
+    rows += [(3, f"n{k}", k, "tax_card", "page", "business_name", v, 0.5, "ocr") for k, v in enumerate(("شركة النور", "شركة نور", "شركة"))]
+    fields, met = spark.createDataFrame(rows, "case_id long, doc_id string, doc_no int, kind string, side string, key string, value string, raw double, basis string"), []
+    held = decide.durable
+    monkeypatch.setattr(decide, "durable", lambda df: met.append(df) or held(df))
+    got = {r.doc_id: r.partner for r in decide.corroborate(fields).collect()}
+    want = {f"d{k}": f"d{(k + 50) % 100}" for k in range(100)} | {"e0": "e1", "e1": "e0", "e2": None, "e3": None, "e4": None, "n2": None}
+    assert {k: got[k] for k in want} == want
+    joined = next(x for x in met[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert "said" in joined and "regexp_replace" not in joined
