@@ -9,6 +9,10 @@ from ..functions.similarity import ratio
 from ..functions.text import compact, name_tokens, parse_date
 
 
+# Fixed value: the likeness of spellings from which one differing part is a warning.
+ALIKE = 0.7
+
+
 def tokens_status(a: Column, b: Column) -> Column:
     """pass, unverifiable, or fail for token arrays; a shorter name of three and more parts may begin the longer one."""
     shorter = F.least(F.size(a), F.size(b))
@@ -23,7 +27,7 @@ def one_difference(a: Column, b: Column) -> Column:
     return F.when((n >= 3) & (F.size(pairs) == 1), pairs[0])
 
 
-def compare_names(pairs: DataFrame, a: str, b: str, out: str = "name_status", alike: float = 0.7) -> DataFrame:
+def compare_names(pairs: DataFrame, a: str, b: str, out: str = "name_status", alike: float = ALIKE) -> DataFrame:
     """Adds `out`: pass, warn (one part differs in spelling), fail or unverifiable.
 
     Only the pairs with one differing part reach the similarity function.
@@ -40,9 +44,3 @@ def said_value(key: Column, value: Column) -> Column:
     """What a reading of a key states, as text: a date's day (null if it is none), a business name's parts, else the value without separators."""
     plain = F.regexp_replace(compact(value), "[/-]", "")
     return F.when(key.endswith("_date"), parse_date(value).cast("string")).when(key == "business_name", F.array_join(name_tokens(value), " ")).otherwise(plain)
-
-
-def same_value(key: Column, a: Column, b: Column) -> Column:
-    """Whether two readings of a key state the same: as dates, as business names by parts, else without separators."""
-    same = said_value(key, a) == said_value(key, b)
-    return F.when(key.endswith("_date"), F.coalesce(same, F.lit(False))).otherwise(same)
