@@ -223,3 +223,21 @@ def test_documents_meet_by_what_they_state(spark, monkeypatch):
     assert {k: got[k] for k in want} == want
     joined = next(x for x in met[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
     assert "said" in joined and "regexp_replace" not in joined
+
+
+def test_equal_lines_are_ranked_once(spark, monkeypatch):
+    """Lines of the same frames, seeds and readings get the same names, ranked once for all of them; more lines make more tasks."""
+    from dossier.operators import suggest
+
+    frames, other = ([[[math.log(p if k == c else (1 - p) / 2) for k in range(3)] for c in (2, 1)]] for p in (0.5, 0.6))
+    lines = spark.createDataFrame([(k, frames) for k in range(30)] + [(99, other)], "doc long, views array<array<array<double>>>")
+    seeds = spark.createDataFrame([(k, ["ab"]) for k in range(29)] + [(29, ["ba"]), (99, ["ab"])], "doc long, names array<string>")
+    texts = spark.createDataFrame([(k, "f", "ab") for k in [*range(30), 99]], "doc long, family string, text string")
+    monkeypatch.setattr(suggest, "TASK_LINES", 0.25)
+    ranked = suggest.rank_on_frames(lines, seeds, texts, ["ab", "ba"], "ab")
+    told = plan(ranked)
+    assert ", 12), REPARTITION_BY_NUM" in told  # three different lines, four tasks each
+    found = {}
+    for r in ranked.collect():
+        found.setdefault(r.doc, []).append((r.rank, r.value, r.score))
+    assert set(found) == {*range(30), 99} and all(sorted(found[k]) == sorted(found[0]) for k in range(30)) and sorted(found[99]) != sorted(found[0])
