@@ -230,8 +230,8 @@ def test_equal_lines_are_ranked_once(spark, monkeypatch):
     from dossier.operators import suggest
 
     frames, other = ([[[math.log(p if k == c else (1 - p) / 2) for k in range(3)] for c in (2, 1)]] for p in (0.5, 0.6))
-    lines = spark.createDataFrame([(k, frames) for k in range(30)] + [(99, other)], "doc long, views array<array<array<double>>>")
-    seeds = spark.createDataFrame([(k, ["ab"]) for k in range(29)] + [(29, ["ba"]), (99, ["ab"])], "doc long, names array<string>")
+    lines = spark.createDataFrame([(k, frames) for k in range(30)] + [(99, other), (50, []), (51, None)], "doc long, views array<array<array<double>>>")
+    seeds = spark.createDataFrame([(k, ["ab"]) for k in range(29)] + [(29, ["ba"]), (99, ["ab"]), (50, ["ab"]), (51, ["ab"])], "doc long, names array<string>")
     texts = spark.createDataFrame([(k, "f", "ab") for k in [*range(30), 99]], "doc long, family string, text string")
     monkeypatch.setattr(suggest, "TASK_LINES", 0.25)
     ranked = suggest.rank_on_frames(lines, seeds, texts, ["ab", "ba"], "ab")
